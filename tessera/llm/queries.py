@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import chat, exact, simhash, urls
+from tessera.llm import bpe, chat, exact, packing, simhash, tokenfile, urls
+
+#: Where vocabulary files are, on every machine.
+TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    done = bpe.bpe_decode(bpe.bpe_encode(_read(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_crc(packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_documents(tokenfile.write_token_files(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -42,8 +60,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe": op4_bpe,
     "op5_url_rules": op5_url_rules,
+    "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
     "op10_chat": op10_chat,
 }

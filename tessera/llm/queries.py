@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, exact, packing, simhash, tokenfile, urls
+from tessera.llm import bpe, chat, exact, flac, packing, quality, simhash, tokenfile, urls
 
 #: Where vocabulary files are, on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -17,6 +17,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = flac.to_media(_read(spark, sf_dir, "documents"))
+    stored = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return flac.from_media(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pcm, -32, 32)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        F.size("block_offsets").alias("n_blocks"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     done = bpe.bpe_decode(bpe.bpe_encode(_read(spark, sf_dir, "documents"), path), path)
@@ -60,6 +80,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_flac": op3_flac,
     "op4_bpe": op4_bpe,
     "op5_url_rules": op5_url_rules,
     "op6_packing": op6_packing,

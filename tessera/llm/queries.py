@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, exact, flac, packing, quality, simhash, tokenfile, urls
+from tessera.llm import bpe, chat, exact, flac, packing, passages, quality, simhash, tokenfile, urls
 
 #: Where vocabulary files are, on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = flac.to_media(_read(spark, sf_dir, "documents"))
     stored = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
@@ -81,6 +85,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_passages": op2_passages,
     "op3_flac": op3_flac,
     "op4_bpe": op4_bpe,
     "op5_url_rules": op5_url_rules,

@@ -122,7 +122,8 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
 
     Matches on one diagonal join into runs. A run's best score is its words plus the best earlier chain that ends
     before it in both documents, less GAP_COST for each word between them; a Fenwick tree over the ends in y
-    gives that chain. Chains are taken from the highest score down and share no runs.
+    gives that chain; over a gap of more than MAX_GAP words a new one begins. Chains are taken from the highest
+    score down and share no runs. One that lies in words already covered, as repeated words give many, is left out.
     """
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
@@ -143,15 +144,23 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
         best, j = tree.best(int(np.searchsorted(sorted_stops, ys, side="right")))
         gain = best - GAP_COST * (xs + ys)
         score[i] = xe - xs + max(0.0, gain)
-        before[i] = j if gain > 0 else -1
+        near = gain > 0 and max(xs - runs[j][1], ys - runs[j][3]) <= MAX_GAP
+        before[i] = j if near else -1
+        if not near:
+            score[i] = float(xe - xs)
     out, used = [], [False] * len(runs)
+    base, covered = runs[0][0], np.zeros(max(r[1] for r in runs) - runs[0][0], dtype=bool)
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
             chain.append(runs[i])
             i = before[i]
-        if chain:
+        if not chain:
+            continue
+        own = covered[chain[-1][0] - base : chain[0][1] - base]
+        if own.mean() < (0.5 if len(chain) == 1 else 0.9):
+            own[:] = True
             out.append(chain[::-1])
     return out
 

@@ -1,4 +1,227 @@
 """Queries of the volume operators and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.operators import state, volume as V
+
+N = 12
+DIMS = (N, N, N)
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The volume of lineitem; a mask that leaves out every 17th voxel; the iso value, the 20th of 100 parts by rank.
+VOXEL = f"""voxel AS (
+  SELECT i AS idx, CAST(i % {N} AS INT) AS x, CAST(i // {N} % {N} AS INT) AS y, CAST(i // {N * N} AS INT) AS z, CAST(coalesce(s, 0) AS FLOAT) AS value, i % 17 <> 0 AS valid
+  FROM range({N**3}) g(i) LEFT JOIN (
+    SELECT l_orderkey % {N} + {N} * (l_partkey % {N}) + {N * N} * ((l_orderkey // {N} + l_linenumber) % {N}) AS idx, sum(CAST(round(l_quantity) AS BIGINT)) AS s
+    FROM lineitem GROUP BY 1) t ON t.idx = g.i)"""
+ISO = "iso AS (SELECT quantile_disc(value, 0.2) AS v FROM voxel)"
+NEAR = "(values (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) s(i,j,k)"
+VOIDS = f"""{VOXEL}, {ISO}, op AS (SELECT voxel.* FROM voxel, iso WHERE value < iso.v),
+reach AS (SELECT idx, x, y, z FROM op WHERE 0 IN (x, y, z) OR {N - 1} IN (x, y, z)
+  UNION SELECT o.idx, o.x, o.y, o.z FROM reach r, {NEAR}, op o WHERE o.x = r.x + s.i AND o.y = r.y + s.j AND o.z = r.z + s.k),
+inner_ AS (SELECT * FROM op WHERE idx NOT IN (SELECT idx FROM reach)),
+walk AS (SELECT idx AS start, idx, x, y, z FROM inner_
+  UNION SELECT w.start, o.idx, o.x, o.y, o.z FROM walk w, {NEAR}, inner_ o WHERE o.x = w.x + s.i AND o.y = w.y + s.j AND o.z = w.z + s.k),
+cell AS (SELECT i.*, r.root FROM inner_ i JOIN (SELECT idx, min(start) AS root FROM walk GROUP BY idx) r USING (idx))"""
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.voxelize(table(spark, sf_dir, "lineitem"), N).withColumn("valid", F.col("idx") % 17 != 0)
+
+
+def iso_of(v: DataFrame) -> float:
+    return v.agg(F.expr("percentile_disc(0.2) within group (order by value)")).first()[0]
+
+
+def voids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir).drop("valid").withColumn("valid", F.lit(True))
+    return V.interior(v, iso_of(v), DIMS)
+
+
+@query(f"WITH {VOXEL} SELECT idx, x, y, z, value FROM voxel")
+def voxelize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels(spark, sf_dir).drop("valid")
+
+
+@query(f"WITH {VOXEL} SELECT CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi FROM voxel")
+def scalar_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.scalar_range(voxels(spark, sf_dir))
+
+
+@query(f"WITH {VOXEL} SELECT CAST(min(value) AS DOUBLE) AS lo, CAST(max(value) AS DOUBLE) AS hi FROM voxel WHERE valid")
+def masked_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.masked_range(voxels(spark, sf_dir))
+
+
+HIST = f"""{VOXEL}, r AS (SELECT min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi FROM voxel),
+w AS (SELECT lo, hi, CASE WHEN hi > lo THEN (hi - lo) / 2047 ELSE 1.0 END AS width FROM r),
+c AS (SELECT CAST(least(floor((value::DOUBLE - lo) / width), 2047) AS INT) AS bin, count(*) AS frequency FROM voxel, w GROUP BY 1),
+h AS (SELECT CAST(b AS INT) AS bin, lo + b * width AS intensity, coalesce(frequency, 0) AS frequency FROM range(2048) g(b) CROSS JOIN w LEFT JOIN c ON c.bin = g.b)"""
+
+
+@query(f"WITH {HIST} SELECT bin, round(intensity, 6) AS intensity, frequency, round(ln(frequency + 1), 6) AS log_frequency FROM h")
+def histogram_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = V.histogram(voxels(spark, sf_dir))
+    return h.select("bin", F.round("intensity", 6).alias("intensity"), "frequency", F.round("log_frequency", 6).alias("log_frequency"))
+
+
+RANKED = f"""{HIST}, k AS (SELECT *, sum(frequency) OVER (ORDER BY bin) AS cum FROM h), n AS (SELECT count(*) AS n FROM voxel),
+p AS (SELECT q, CASE WHEN q < 0 OR q > 1 THEN NULL WHEN q = 0 THEN (SELECT lo FROM r) WHEN q = 1 THEN (SELECT hi FROM r)
+  ELSE (SELECT min(intensity) FROM k, n WHERE cum >= greatest(1, ceil(q * n.n))) END AS value
+  FROM (VALUES (-0.1::DOUBLE), (0.0), (0.02), (0.5), (0.98), (1.0)) t(q))"""
+
+
+@query(f"WITH {RANKED} SELECT q, round(value, 6) AS value FROM p")
+def histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.histogram_percentile(voxels(spark, sf_dir), [-0.1, 0, 0.02, 0.5, 0.98, 1]).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {RANKED} SELECT round((a.value - lo) / (hi - lo), 6) AS left_pos, round((b.value - lo) / (hi - lo), 6) AS right_pos
+FROM r, (SELECT value FROM p WHERE q = 0.02) a, (SELECT value FROM p WHERE q = 0.98) b""")
+def tf_percentile_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir)
+    p = V.histogram_percentile(v, [0.02, 0.98]).agg(F.min("value").alias("a"), F.max("value").alias("b")).crossJoin(V.scalar_range(v))
+    at = lambda c: F.round((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)
+    return p.select(at("a").alias("left_pos"), at("b").alias("right_pos"))
+
+
+@query(f"WITH {VOXEL} SELECT CAST({N - 1} - x + {N} * ({N - 1} - y) + {N * N} * z AS BIGINT) AS idx, {N - 1} - x AS x, {N - 1} - y AS y, z, value FROM voxel")
+def lps_to_ras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lps_to_ras(voxels(spark, sf_dir).drop("valid"), N, N)
+
+
+@query(f"WITH {VOXEL} SELECT idx, CAST(floor(least(1.0, greatest(0.0, (value::DOUBLE - 500.0) / 1000.0)) * 255 + 0.5) AS INT) AS gray FROM voxel")
+def window_level_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels(spark, sf_dir).select("idx", V.window_gray(F.col("value"), 1000.0, 1000.0).alias("gray"))
+
+
+@query(f"""WITH {VOXEL} SELECT idx, CAST(round(255 * CASE WHEN value <= 200 THEN 0.0 WHEN value < 800 THEN (value::DOUBLE - 200.0) / 600.0 WHEN value < 1000 THEN 1.0 - (value::DOUBLE - 800.0) / 200.0 * 0.5 ELSE 0.5 END) AS INT) AS red,
+round(0.5 * CASE WHEN value <= 200 THEN 0.1 WHEN value < 1000 THEN 0.1 + (value::DOUBLE - 200.0) / 800.0 * 0.8 ELSE 0.9 END, 6) AS opacity FROM voxel""")
+def tf_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value").cast("double")
+    red = F.round(255 * V.piecewise(v, [(200.0, 0.0), (800.0, 1.0), (1000.0, 0.5)])).cast("int")
+    opacity = F.round(0.5 * V.piecewise(v, [(200.0, 0.1), (1000.0, 0.1 + 0.8)]), 6)
+    return voxels(spark, sf_dir).select("idx", red.alias("red"), opacity.alias("opacity"))
+
+
+BOX = {"shape": "box", "inverse": [[0.25, 0, 0, -1.25], [0, 0.5, 0, -2.5], [0, 0, 0.125, -0.5]]}
+PLANE = {"shape": "plane", "center": [3.0, 4.0, 5.0], "normal": [0.6, 0.0, 0.8]}
+_BOX = "(abs(0.25::FLOAT * x::FLOAT + 0::FLOAT * y::FLOAT + 0::FLOAT * z::FLOAT + (-1.25)::FLOAT) <= 1.000001::FLOAT AND abs(0.5::FLOAT * y::FLOAT + (-2.5)::FLOAT) <= 1.000001::FLOAT AND abs(0.125::FLOAT * z::FLOAT + (-0.5)::FLOAT) <= 1.000001::FLOAT)"
+_PLANE = "((x::FLOAT - 3::FLOAT) * 0.6::FLOAT + (y::FLOAT - 4::FLOAT) * 0::FLOAT + (z::FLOAT - 5::FLOAT) * 0.8::FLOAT > 0::FLOAT)"
+
+
+def crop(name: str, ops: list[dict], where: str, count: int | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return voxels(spark, sf_dir).select("idx", (V.valid() & V.kept(V.point(), ops, len(ops) if count is None else count)).alias("valid"))
+
+    query(f"WITH {VOXEL} SELECT idx, valid AND {where} AS valid FROM voxel", name)(run)
+
+
+crop("crop_box_keep", [BOX | {"mode": "keep"}], _BOX)
+crop("crop_box_remove", [BOX | {"mode": "remove"}], f"NOT {_BOX}")
+crop("crop_plane_keep", [PLANE | {"mode": "keep"}], _PLANE)
+crop("crop_plane_remove", [PLANE | {"mode": "remove"}], f"NOT {_PLANE}")
+crop("crop_fused_prefix", [BOX | {"mode": "keep"}, PLANE | {"mode": "remove"}, PLANE | {"mode": "keep"}], f"{_BOX} AND NOT {_PLANE}", 2)
+
+
+@query(f"WITH RECURSIVE {VOIDS} SELECT idx, root FROM cell")
+def void_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voids(spark, sf_dir).select("idx", "root")
+
+
+@query(f"""WITH RECURSIVE {VOIDS}, e AS (SELECT c.idx, c.root FROM cell c, {NEAR}, cell o WHERE o.x = c.x + s.i AND o.y = c.y + s.j AND o.z = c.z + s.k GROUP BY c.idx, c.root HAVING count(*) = 6)
+SELECT idx FROM cell WHERE root IN (SELECT root FROM e)""")
+def void_candidates_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.opened(voids(spark, sf_dir), 1).select("idx")
+
+
+@query(f"""WITH RECURSIVE {VOIDS} SELECT CAST(row_number() OVER (ORDER BY root) AS INT) AS id, root, count(*) AS voxels, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz,
+min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, min(value)::DOUBLE AS min_gray, max(value)::DOUBLE AS max_gray, round(avg(value::DOUBLE), 6) AS mean_gray,
+round(sqrt(greatest(0, avg(value::DOUBLE * value::DOUBLE) - avg(value::DOUBLE) * avg(value::DOUBLE))), 4) AS std_gray, round(pow(6 * count(*) / pi(), 1.0::DOUBLE / 3), 6) AS diameter,
+count(DISTINCT (x, y)) AS n_xy, count(DISTINCT (x, z)) AS n_xz, count(DISTINCT (y, z)) AS n_yz FROM cell GROUP BY root""")
+def void_regions_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.regions(voids(spark, sf_dir))
+    rounded = {c: F.round(c, 6) for c in ("cx", "cy", "cz", "mean_gray", "diameter")} | {"std_gray": F.round("std_gray", 4)}
+    bounds = [f"{m}_{c}" for c in "xyz" for m in ("min", "max")]
+    return r.withColumns(rounded).select("id", "root", "voxels", "cx", "cy", "cz", *bounds, "min_gray", "max_gray", "mean_gray", "std_gray", "diameter", "n_xy", "n_xz", "n_yz")
+
+
+@query(f"""WITH RECURSIVE {VOIDS}, a AS (SELECT * FROM (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j), (VALUES (-1), (0), (1)) k(k) WHERE NOT (i = 0 AND j = 0 AND k = 0)),
+m AS (SELECT c.root, count(*) AS inside FROM cell c, a, cell o WHERE o.x = c.x + i AND o.y = c.y + j AND o.z = c.z + k AND o.root = c.root GROUP BY c.root),
+s AS (SELECT root, count(*) AS voxels, 26 * count(*) - coalesce(any_value(inside), 0) AS crossings FROM cell LEFT JOIN m USING (root) GROUP BY root), t AS (SELECT *, crossings / 13.0::DOUBLE AS surface FROM s)
+SELECT root, voxels, crossings, round(surface, 6) AS surface, round(2 * voxels / surface, 6) AS gap, round(36 * pi() * voxels * voxels / (surface * surface * surface), 6) AS compactness FROM t""")
+def void_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.surfaces(voids(spark, sf_dir))
+    return s.select("root", "voxels", "crossings", *[F.round(c, 6).alias(c) for c in ("surface", "gap", "compactness")])
+
+
+@query(f"""WITH RECURSIVE {VOIDS} SELECT {N**3} - count(*) AS object_voxels, count(*) AS void_voxels, CAST(count(*) AS DOUBLE) AS void_volume, round(count(*) / {N**3}.0::DOUBLE, 9) AS porosity FROM cell""")
+def porosity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir).drop("valid").withColumn("valid", F.lit(True))
+    return V.porosity(v, voids(spark, sf_dir)).withColumns({"porosity": F.round("porosity", 9), "void_volume": F.col("void_volume").cast("double")})
+
+
+def plane_slice(name: str, axis: str, u: str, v: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gray = F.when(V.valid(), V.window_gray(F.col("value"), 1000.0, 1000.0)).otherwise(0)
+        return voxels(spark, sf_dir).where(F.col(axis) == 5).select(F.col(u).alias("u"), F.col(v).alias("v"), gray.alias("gray"))
+
+    query(f"WITH {VOXEL} SELECT {u} AS u, {v} AS v, CASE WHEN valid THEN CAST(floor(least(1.0, greatest(0.0, (value::DOUBLE - 500.0) / 1000.0)) * 255 + 0.5) AS INT) ELSE 0 END AS gray FROM voxel WHERE {axis} = 5", name)(run)
+
+
+plane_slice("slice_top_down", "z", "x", "y")
+plane_slice("slice_front_back", "y", "x", "z")
+plane_slice("slice_left_right", "x", "y", "z")
+
+
+@query(f"""WITH {VOXEL}, g AS (SELECT i AS idx, i % 8 * 1.5::DOUBLE AS fx, i // 8 % 8 * 1.5::DOUBLE AS fy, i // 64 * 1.5::DOUBLE AS fz FROM range(512) t(i)), b AS (SELECT * FROM (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b), (VALUES (0), (1)) c(c)),
+w AS (SELECT g.*, (CASE a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w,
+least(floor(fx) + a, 11) AS x, least(floor(fy) + b, 11) AS y, least(floor(fz) + c, 11) AS z FROM g, b)
+SELECT w.idx, round(sum(w * value::DOUBLE), 6) AS value FROM w JOIN voxel USING (x, y, z) WHERE w > 0 GROUP BY w.idx""")
+def downsample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.resampled(voxels(spark, sf_dir), DIMS, (8, 8, 8)).select("idx", F.round("value", 6).alias("value"))
+
+
+@query("""WITH b AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT event_id, user_id, value FROM b WHERE before IS NULL OR abs(value - before) > 1e-6""")
+def state_diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.changes(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "user_id", "value")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, CAST(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS BIGINT) AS step, ts FROM events),
+l AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS level FROM s)
+SELECT event_id, user_id, CAST(level AS BIGINT) AS level FROM l WHERE (level = 0) <> (level - step = 0)""")
+def interaction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").withColumn("step", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(1).cast("long"))
+    return state.edges(steps, ["user_id"], ["ts", "event_id"], "step").select("event_id", "user_id", "level")
+
+
+@query("SELECT user_id, bit_or(CAST(1 AS BIGINT) << CAST(event_id % 17 AS INT)) AS flags FROM events GROUP BY user_id")
+def flag_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.expr("shiftleft(cast(1 as bigint), cast(event_id % 17 as int))")
+    return state.coalesced(table(spark, sf_dir, "events").withColumn("flag", flag), ["user_id"], "flag")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.latest(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])

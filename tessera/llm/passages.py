@@ -306,7 +306,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """
     spans = cut(repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")), "spans")
     held = docs.join(small_side(spans, 64), "doc_id", "left")
-    at = held.columns.index("text")
+    at = [c for c in held.columns if c != "_spans"].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,10 +318,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             for text, own in zip(b.column(at).cast(pa.large_binary()).to_pylist(), lists.to_pylist(), strict=True):
                 texts.append(_without(text, [(s["start"], s["stop"]) for s in own]).decode() if own and text is not None else None if text is None else text.decode())
             columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+            left = [not own or text is None or _WORD.search(text.encode()) is not None for text, own in zip(texts, lists.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(left))
 
-    cutout = held.mapInArrow(run, held.drop("_spans").schema)
-    out = cutout.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("text") == ""))
+    out = held.select(*[c for c in held.columns if c != "_spans"], "_spans").mapInArrow(run, held.drop("_spans").schema)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

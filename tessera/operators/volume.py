@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.components import connected_components
@@ -28,6 +30,11 @@ def valid(column: str = "valid") -> Column:
     return F.coalesce(F.col(column), F.lit(True))
 
 
+def valid_of(voxels: DataFrame) -> Column:
+    """valid(), or true for a volume without a mask."""
+    return valid() if "valid" in voxels.columns else F.lit(True)
+
+
 def scalar_range(voxels: DataFrame) -> DataFrame:
     """Unmasked minimum and maximum."""
     return voxels.agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"))
@@ -210,3 +217,54 @@ def resampled(voxels: DataFrame, dims: tuple[int, int, int], to: tuple[int, int,
     joined = spread.join(voxels.select("x", "y", "z", F.col("value").cast("double").alias("v")), ["x", "y", "z"])
     sums = joined.groupBy("idx").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
     return with_index(sums, to[0], to[1]).select("idx", "x", "y", "z", "value")
+
+
+def resliced(voxels: DataFrame, dims: tuple[int, int, int], to: tuple[int, int, int], back: list[list[float]], background: float = 0.0) -> DataFrame:
+    """(idx, x, y, z, value) of another grid: `back` (three rows of four) takes its indices to those of the volume.
+
+    Linear between voxels; the background where the place is outside the volume.
+    """
+    grid = with_index(voxels.sparkSession.range(to[0] * to[1] * to[2]).withColumnRenamed("id", "idx"), to[0], to[1])
+    place = _places(grid, back)
+    inside = reduce(lambda a, b: a & b, [F.col(f"f{c}").between(0, d - 1) for c, d in zip("xyz", dims, strict=True)])
+    bits = F.explode(F.array(*[F.struct(*[F.lit(b).alias(c) for b, c in zip((i, j, k), "abc", strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("p")
+    spread = place.where(inside).select("idx", "fx", "fy", "fz", bits).select("idx", "fx", "fy", "fz", "p.*")
+    weight, keys = F.lit(1.0), {}
+    for c, b in zip("xyz", "abc", strict=True):
+        low = F.floor(f"f{c}")
+        weight = weight * F.when(F.col(b) == 1, F.col(f"f{c}") - low).otherwise(1 - F.col(f"f{c}") + low)
+        keys[c] = (low + F.col(b)).cast("int")
+    spread = spread.withColumn("w", weight).withColumns(keys).where("w > 0")
+    sums = spread.join(voxels.select("x", "y", "z", F.col("value").cast("double").alias("v")), ["x", "y", "z"]).groupBy("idx").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+    return grid.join(sums, "idx", "left").select("idx", "x", "y", "z", F.coalesce("value", F.lit(float(background))).alias("value"))
+
+
+def _places(grid: DataFrame, back: list[list[float]]) -> DataFrame:
+    rows = {f"f{c}": F.col("x") * float(r[0]) + F.col("y") * float(r[1]) + F.col("z") * float(r[2]) + float(r[3]) for c, r in zip("xyz", back, strict=True)}
+    return grid.withColumns(rows)
+
+
+def resliced_mask(voxels: DataFrame, to: tuple[int, int, int], back: list[list[float]]) -> DataFrame:
+    """(idx, x, y, z, valid) of another grid, by the nearest voxel; false outside the volume."""
+    grid = with_index(voxels.sparkSession.range(to[0] * to[1] * to[2]).withColumnRenamed("id", "idx"), to[0], to[1])
+    near = _places(grid, back).select("idx", "x", "y", "z", *[F.floor(F.col(f"f{c}") + 0.5).cast("int").alias(f"n{c}") for c in "xyz"])
+    own = voxels.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], valid_of(voxels).alias("valid"))
+    return near.join(own, ["nx", "ny", "nz"], "left").select("idx", "x", "y", "z", F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+def _eigenvalues(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+    """Of symmetric matrices, largest first, none below zero; a batch at a time."""
+    m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], 1).astype(float).reshape(-1, 3, 3)
+    found = np.maximum(np.linalg.eigvalsh(m)[:, ::-1], 0.0)
+    return pd.DataFrame(found, columns=["l1", "l2", "l3"])
+
+
+def principal(found: DataFrame) -> DataFrame:
+    """regions() with l1 >= l2 >= l3, the eigenvalues of a region's covariance, and elongation, flatness, share and ratio."""
+    n = F.col("voxels")
+    cov = [F.col(f"s{a}{b}") / n - F.col(f"s{a}") / n * (F.col(f"s{b}") / n) for a in "xyz" for b in "xyz" if a <= b]
+    eigenvalues = F.pandas_udf(_eigenvalues, "l1 double, l2 double, l3 double")
+    out = found.withColumn("own", eigenvalues(*cov)).select("*", "own.*").drop("own")
+    some = lambda a, b: F.when(F.col(b) > 1e-9, F.col(a) / F.col(b)).otherwise(0.0)
+    share = F.when(F.col("l1") > 1e-9, F.col("l1") / (F.col("l1") + F.col("l2") + F.col("l3"))).otherwise(0.0)
+    return out.withColumns({"elongation": F.sqrt(some("l2", "l1")), "flatness": F.sqrt(some("l3", "l2")), "share": share, "ratio": some("l1", "l3")})

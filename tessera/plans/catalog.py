@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import state, volume as V
+from tessera.functions import geometry
+from tessera.operators import bricks, history, mesh, state, volume as V
+from tessera.sources import volumes
 
 N = 12
 DIMS = (N, N, N)
@@ -225,3 +228,111 @@ def flag_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
+
+
+@query(f"""WITH RECURSIVE {VOIDS}, m AS (SELECT root, count(*) AS n, avg(x) AS ax, avg(y) AS ay, avg(z) AS az, avg(x * x) AS xx, avg(y * y) AS yy, avg(z * z) AS zz, avg(x * y) AS xy, avg(x * z) AS xz, avg(y * z) AS yz FROM cell GROUP BY root),
+c AS (SELECT root, n, xx - ax * ax AS a, yy - ay * ay AS b, zz - az * az AS c, xy - ax * ay AS d, xz - ax * az AS e, yz - ay * az AS f FROM m),
+q AS (SELECT *, (a + b + c) / 3 AS q, sqrt(greatest(0, (pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6)) AS p FROM c),
+t AS (SELECT *, CASE WHEN p > 1e-9 THEN acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 ELSE 0 END AS w FROM q),
+l AS (SELECT root, n, q, greatest(0, q + 2 * p * cos(w)) AS l1, greatest(0, q + 2 * p * cos(w + 2 * pi() / 3)) AS l3 FROM t)
+SELECT root, n AS voxels, round(l1, 5) AS l1, round(greatest(0, 3 * q - l1 - l3), 5) AS l2, round(l3, 5) AS l3, round(CASE WHEN l1 > 1e-9 THEN l1 / (3 * q) ELSE 0 END, 5) AS share FROM l""")
+def void_regions_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = V.principal(V.regions(voids(spark, sf_dir)))
+    return found.select("root", "voxels", *[(F.round(c, 5) + 0.0).alias(c) for c in ("l1", "l2", "l3", "share")])
+
+
+#: From indices of a 10 x 9 x 8 grid to those of the volume: a shear and a turn of a quarter about z, with a shift.
+BACK = [[0, -1, 0.25, 9.5], [1, 0, 0, 0.75], [0, 0.125, 1.25, 0.5]]
+_GRID = "g AS (SELECT i AS idx, CAST(i % 10 AS INT) AS gx, CAST(i // 10 % 9 AS INT) AS gy, CAST(i // 90 AS INT) AS gz FROM range(720) t(i)), p AS (SELECT *, -gy + 0.25::DOUBLE * gz + 9.5 AS fx, gx + 0.75::DOUBLE AS fy, 0.125::DOUBLE * gy + 1.25::DOUBLE * gz + 0.5 AS fz FROM g)"
+
+
+@query(f"""WITH {VOXEL}, {_GRID}, b AS (SELECT * FROM (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b), (VALUES (0), (1)) c(c)),
+w AS (SELECT p.*, (CASE a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w,
+floor(fx) + a AS x, floor(fy) + b AS y, floor(fz) + c AS z FROM p, b WHERE fx BETWEEN 0 AND 11 AND fy BETWEEN 0 AND 11 AND fz BETWEEN 0 AND 11),
+s AS (SELECT w.idx, sum(w * value::DOUBLE) AS value FROM w JOIN voxel USING (x, y, z) WHERE w > 0 GROUP BY w.idx)
+SELECT g.idx, gx AS x, gy AS y, gz AS z, round(coalesce(s.value, -1), 6) AS value FROM g LEFT JOIN s ON s.idx = g.idx""")
+def reslice_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.resliced(voxels(spark, sf_dir), DIMS, (10, 9, 8), BACK, -1.0).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {VOXEL}, {_GRID} SELECT p.idx, gx AS x, gy AS y, gz AS z, coalesce(v.valid, false) AS valid
+FROM p LEFT JOIN voxel v ON v.x = floor(fx + 0.5) AND v.y = floor(fy + 0.5) AND v.z = floor(fz + 0.5)""")
+def reslice_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.resliced_mask(voxels(spark, sf_dir), (10, 9, 8), BACK)
+
+
+_PASS = "v{b} AS (SELECT a.idx, a.x, a.y, a.z, any_value(a.v) + 0.125::DOUBLE * coalesce(sum(CASE WHEN abs(o.v - a.v) < most THEN o.v - a.v END), 0) AS v FROM v{a} a CROSS JOIN e LEFT JOIN v{a} o ON abs(o.x - a.x) + abs(o.y - a.y) + abs(o.z - a.z) = 1 GROUP BY a.idx, a.x, a.y, a.z)"
+
+
+@query(f"""WITH {VOXEL}, e AS (SELECT 0.2::DOUBLE * (max(value)::DOUBLE - min(value)::DOUBLE) AS most FROM voxel), v0 AS (SELECT idx, x, y, z, value::DOUBLE AS v FROM voxel WHERE valid),
+{_PASS.format(a=0, b=1)}, {_PASS.format(a=1, b=2)} SELECT x, y, z, round(v, 6) AS value FROM v2""")
+def denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bricks.denoised(voxels(spark, sf_dir), 2, 0.125, 0.2).withColumn("value", F.round("value", 6))
+
+
+@query()
+def iso_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir)
+    return bricks.iso_surface(v, iso_of(v) + 0.5)
+
+
+@query()
+def mesh_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.clipped(iso_mesh(spark, sf_dir), lambda p: V.kept(tuple(c.cast("float") for c in p), [BOX | {"mode": "keep"}], 1))
+
+
+@query()
+def mesh_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.points(iso_mesh(spark, sf_dir))
+
+
+@query()
+def png_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volumes.slice_pictures(voxels(spark, sf_dir), DIMS, "top_down", 1000.0, 1000.0)
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 50 + 1 AS INT) AS nx, CAST(p_size AS INT) AS ny, 7 AS nz FROM part")
+def raw_dims_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.format_string("scan_%dx%dX7.raw", F.col("p_partkey") % 50 + 1, "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", *geometry.raw_dims_columns(name))
+
+
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS place FROM part")
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = geometry.natural_key(F.concat(F.lit("plane_"), F.col("p_partkey"), F.lit(".tif")))
+    ranked = mesh.numbered(table(spark, sf_dir, "part").select("p_partkey", key.alias("key")), ["key"], "natural-sort")
+    return ranked.select("p_partkey", (F.col("number") + 1).cast("int").alias("place"))
+
+
+@query(f"WITH {VOXEL} SELECT idx, round(0.5 * x - 3, 6)::DOUBLE AS wx, round(1.5 * y + 1, 6)::DOUBLE AS wy, round(2.0 * z, 6)::DOUBLE AS wz FROM voxel")
+def index_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = np.array([[0.5, 0, 0, -3], [0, 1.5, 0, 1], [0, 0, 2, 0], [0, 0, 0, 1]])
+    at = geometry.transformed((F.col("x"), F.col("y"), F.col("z")), matrix)
+    return voxels(spark, sf_dir).select("idx", *[F.round(c, 6).alias(n) for c, n in zip(at, ("wx", "wy", "wz"), strict=True)])
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS volume_id, event_id AS seq, event_id % 3 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT volume_id, seq, k, CASE WHEN expected = 0 THEN 1 ELSE 0 END AS now, expected = 0 AS accepted FROM r WHERE k = 1
+  UNION ALL SELECT r.volume_id, r.seq, r.k, s.now + CASE WHEN r.expected = s.now THEN 1 ELSE 0 END, r.expected = s.now FROM s JOIN r ON r.volume_id = s.volume_id AND r.k = s.k + 1)
+SELECT volume_id, seq, CASE WHEN accepted THEN CAST(now AS BIGINT) END AS version, accepted FROM s""")
+def version_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.published(table(spark, sf_dir, "events").selectExpr("user_id AS volume_id", "event_id AS seq", "event_id % 3 AS expected"))
+
+
+@query("""WITH n AS (SELECT user_id, max(event_id // 50) AS newest FROM events GROUP BY user_id)
+SELECT event_id, e.user_id AS volume_id, event_id // 50 AS version FROM events e JOIN n ON n.user_id = e.user_id AND event_id // 50 = newest""")
+def stale_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS volume_id", "event_id div 50 AS version")
+    return history.fresh(rows, rows).select("event_id", "volume_id", "version")
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS h, event_id AS op, CASE WHEN event_id % 3 = 0 THEN 'previous' WHEN event_id % 7 = 0 THEN 'next' ELSE 'add' END AS verb, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT DISTINCT user_id AS h, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ops, CAST(0 AS BIGINT) AS c FROM events
+  UNION ALL SELECT r.h, r.k, CASE r.verb WHEN 'add' THEN list_append(s.ops[:s.c], r.op) ELSE s.ops END, CASE r.verb WHEN 'add' THEN s.c + 1 WHEN 'previous' THEN greatest(0, s.c - 1) ELSE least(len(s.ops), s.c + 1) END
+  FROM s JOIN r ON r.h = s.h AND r.k = s.k + 1)
+SELECT h AS history_id, CAST(arg_max(len(ops), k) AS INT) AS n_ops, CAST(arg_max(c, k) AS INT) AS active, CAST(arg_max(list_sum(ops[:c]), k) AS BIGINT) AS active_sum FROM s GROUP BY h""")
+def history_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verb = "CASE WHEN event_id % 3 = 0 THEN 'previous' WHEN event_id % 7 = 0 THEN 'next' ELSE 'add' END AS verb"
+    found = history.crop_histories(table(spark, sf_dir, "events").selectExpr("user_id AS history_id", "event_id AS seq", verb, "event_id AS op"))
+    total = F.when(F.size("active") > 0, F.aggregate("active", F.lit(0).cast("long"), lambda a, b: a + b))
+    return found.select("history_id", F.size("ops").alias("n_ops"), F.size("active").alias("active"), total.alias("active_sum"))

@@ -19,23 +19,35 @@ TRIE_LIMIT = 1024
 CHUNK = 8192
 #: Bits by which a large trie is deepened in a round.
 STEP = 4
+#: Longs of a wide fingerprint, and the bits by which near copies may differ in all of it and in its first long.
+WIDE, NEAR_BITS, FIRST_BITS = 16, 168, 22
+#: Least hashes by which a level deals documents into tries, the levels, and members of a trie that one task joins.
+KEYS, LEVELS, GROUP_LIMIT = 4, 2, 512
 
+_SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-def _fingerprint(text: bytes, words: int) -> int:
+
+def _shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, repeats included, some at a time; nothing for a text without words."""
     tokens = text.lower().split()  # bytes: A-Z only, and exactly the six ASCII white spaces
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
-    votes = np.zeros(64, dtype=np.int64)
     hashed = xxhash.xxh64_intdigest
     for at in range(0, n, 1 << 15):
         part = zip(starts[at : at + (1 << 15)].tolist(), last[at : at + (1 << 15)].tolist(), strict=False)
-        h = np.array([hashed(joined[s:e], 42) for s, e in part], dtype=">u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([hashed(joined[s:e], 42) for s, e in part], dtype=np.uint64)
+
+
+def _fingerprint(text: bytes, words: int) -> int:
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for h in _shingle_hashes(text, words):
+        votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big", signed=True)
 
 
@@ -67,7 +79,7 @@ def key_masks(max_bits: int, spare: int = 2) -> list[int]:
 
 
 def trie_links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints (unsigned, distinct within a group) of the same group, as pairs of positions.
+    """Links between fingerprints (unsigned) of the same group, as pairs of positions; equal ones link, too.
 
     All groups are tries over one sorted array, whose nodes are ranges. The frontier holds pairs of nodes with
     the bits in which they differ so far; each level replaces a pair by the pairs of its children and prunes
@@ -98,7 +110,14 @@ def trie_links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.nd
         )
         keep = (diff <= max_bits) & (ahi > alo) & (bhi > blo) & ~((alo == blo) & (ahi - alo < 2))
         alo, ahi, blo, bhi, diff = alo[keep], ahi[keep], blo[keep], bhi[keep], diff[keep]
-    return order[alo], order[blo]
+    # A leaf holds one fingerprint, perhaps several times.
+    wide = bhi - blo
+    size = (ahi - alo) * wide
+    pair = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+    a, b = alo[pair] + nth // wide[pair], blo[pair] + nth % wide[pair]
+    keep = (alo[pair] != blo[pair]) | (a < b)
+    return order[a[keep]], order[b[keep]]
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -209,12 +228,150 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 3, trie_
     return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataFrame:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WIDE words of fingerprint bits: each bit is the majority of as many independent bits as there are hashes."""
+    votes = np.zeros(64 * WIDE, dtype=np.int64)
+    for at in range(0, len(h), 1 << 13):
+        bits = np.unpackbits(_mixed(h[at : at + (1 << 13), None] + _SALTS).view(np.uint8), axis=1)
+        for row in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            votes += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(h)).view(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, fp, mins) of every document that has an id and words, over its distinct word shingles.
+
+    fp is a SimHash of WIDE longs. mins are the least shingle hashes under KEYS x LEVELS hash functions; two
+    documents agree in each with a probability of their Jaccard similarity.
+    """
+    seeds = _mixed(np.arange(1, KEYS * LEVELS + 1, dtype=np.uint64))
+
+    def lists(rows: list[np.ndarray], width: int) -> pa.Array:
+        flat = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(flat, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, fps, mins = [], [], []
+            for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+                parts = [*_shingle_hashes(text.as_py(), words)]
+                if parts:
+                    h = np.unique(np.concatenate(parts))
+                    ids.append(name)
+                    fps.append(_wide_fingerprint(h))
+                    mins.append(np.array([_mixed(h ^ s).min() for s in seeds], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(fps, WIDE), lists(mins, KEYS * LEVELS)], ["doc_id", "fp", "mins"])
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, fp array<long>, mins array<long>")
+
+
+def _links_in_groups(groups: DataFrame, max_bits: int) -> DataFrame:
+    """groups(members array<struct<id, open, fp>>): a spanning forest (src, dst) of each one's links of open members.
+
+    The trie is made of the first 64 bits; pairs that stay within FIRST_BITS there go on to the other bits.
+    """
+
+    def solve(lists: list[pa.Array]) -> pa.RecordBatch:
+        ids = np.concatenate([x.field("id").to_numpy() for x in lists])
+        open_ = np.concatenate([x.field("open").to_numpy(zero_copy_only=False) for x in lists])
+        fps = np.concatenate([x.field("fp").flatten().to_numpy() for x in lists]).view(np.uint64).reshape(-1, WIDE)
+        group = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        a, b = trie_links(fps[:, 0], group, FIRST_BITS)
+        near = open_[a] | open_[b]
+        a, b = a[near], b[near]
+        diff = np.zeros(len(a), dtype=np.int64)
+        for w in range(WIDE):
+            diff += np.bitwise_count(fps[a, w] ^ fps[b, w])
+            near = diff <= max_bits
+            a, b, diff = a[near], b[near], diff[near]
+        root = _spanning(a, b, len(ids))
+        child = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            waiting, rows = [], 0
+            for one in b.column(0):
+                waiting.append(one.values)
+                rows += len(waiting[-1])
+                if rows >= CHUNK:
+                    yield solve(waiting)
+                    waiting, rows = [], 0
+            if waiting:
+                yield solve(waiting)
+
+    return groups.mapInArrow(run, "src long, dst long")
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """rows with the number of members (n) and open members (opens) of their item, where these have pairs to compare."""
+    sizes = rows.groupBy("item").agg(F.count("*").alias("n"), F.count_if("open").alias("opens")).where("n > 1 and opens > 0")
+    return cut(rows.join(sizes, "item"), "groups")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("item").agg(F.collect_list(F.struct("id", "open", "fp")).alias("members")).select("members")
+
+
+def near_links(classes: DataFrame, max_bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
+    """classes(id, fp, mins), as by wide_fingerprints() without repeats: links (src, dst) that connect those within max_bits.
+
+    A trie holds the fingerprints that share one of the first KEYS least hashes, which two documents with a
+    similarity of 0.8 do with a probability of 0.998. Tries up to `limit` are joined by one task each. In larger ones
+    every member within the budget of a pivot is linked to it and closed: from then on it is compared with open
+    members only. If open ones are left, the next KEYS least hashes deal the trie into smaller ones. What is still
+    too large after LEVELS of them is compared whole: blocks of open members with every block.
+    """
+    keyed = lambda level: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("mins")[level * KEYS + k].alias("m")) for k in range(KEYS)])).alias("key")
+    rows = classes.select("id", "fp", "mins", F.lit(True).alias("open"), keyed(0)).withColumn("item", F.xxhash64("key.k", "key.m")).drop("key")
+    found = []
+    for level in range(1, LEVELS + 1):
+        live = _live(rows)
+        found.append(_links_in_groups(_members(live.where(F.col("n") <= limit)), max_bits))
+        big = live.where(F.col("n") > limit).drop("n", "opens")
+        if big.isEmpty():
+            break
+        pivots = big.where("open").groupBy("item").agg(F.min_by(F.struct("id", "fp"), F.struct(F.xxhash64("id"), "id")).alias("pivot"))
+        differ = F.aggregate(F.zip_with("fp", "pivot.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        told = cut(big.join(small_side(pivots, 300), "item").withColumn("near", differ <= max_bits), "pivots")
+        found.append(told.where("near and id != pivot.id").select(F.col("pivot.id").alias("src"), F.col("id").alias("dst")))
+        rows = told.select("id", "fp", "mins", (F.col("open") & ~F.col("near")).alias("open"), "item")
+        if level < LEVELS:
+            rows = rows.select("id", "fp", "mins", "open", "item", keyed(level)).withColumn("item", F.xxhash64("item", "key.k", "key.m")).drop("key")
+    else:
+        live = _live(rows)
+        half = limit // 2
+        few = F.ceil(F.col("opens") / half)
+        block = F.when(F.col("open"), F.pmod(F.xxhash64("id"), few)).otherwise(few + F.pmod(F.xxhash64("id"), F.ceil((F.col("n") - F.col("opens")) / half)))
+        live = live.withColumn("block", block)
+        blocks = live.select("item", "block", "open").distinct()
+        pairs = blocks.where("open").select("item", F.col("block").alias("i")).join(blocks.select("item", F.col("block").alias("j")), "item").where("i <= j")
+        ends = pairs.select("item", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        dealt = live.join(ends, ["item", "block"]).withColumn("item", F.xxhash64("item", "i", "j"))
+        found.append(_links_in_groups(_members(dealt), max_bits))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = NEAR_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest doc_id. All columns stay.
 
-    Rows without a doc_id can't be told apart and stay. Documents without words aren't near copies of
-    anything and stay, too.
+    Near means a Jaccard similarity of about 0.8 or more of the distinct word shingles, told by the differing bits
+    of a fingerprint of 1024. Rows without a doc_id can't be told apart and stay. Documents without words aren't near
+    copies of anything and stay, too. Rows that share a doc_id count as one document.
     """
-    found = cut(simhash_components(docs, words, max_bits), "components")
-    out_of = found.where("doc_id != component_id and fp != 0").select("doc_id").distinct()
+    marked = cut(wide_fingerprints(docs, words), "fingerprints")
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins")), "classes")
+    roots = connected_components(near_links(classes, max_bits, limit))
+    copies = marked.join(classes.select("fp", "id"), "fp").where("doc_id != id").select("doc_id")
+    out_of = cut(copies.union(roots.where("node != component").select(F.col("node").alias("doc_id"))).distinct(), "copies")
     return docs.join(small_side(out_of, 16), "doc_id", "left_anti").select(docs.columns)

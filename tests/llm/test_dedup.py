@@ -93,6 +93,43 @@ def words(rng, n):
     return [f"w{i}" for i in rng.integers(0, 4000, n)]
 
 
+@pytest.mark.parametrize("limit", [512, 8])
+def test_near_copies_fall_with_their_text(spark, limit):
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in (60, 300, 300, 1000):
+        base = words(rng, n)
+        texts.append(base)
+        for _ in range(20):
+            w = list(base)
+            for at in rng.choice(n, n // 60, replace=False).tolist():
+                w[at] = "other"
+            texts.append(w)
+    shared = words(rng, 60)  # a passage of many documents that are no near copies
+    texts += [shared + words(rng, 120) for _ in range(40)] + [words(rng, 200) for _ in range(20)]
+    ids = rng.permutation(len(texts)).tolist()
+    docs = table(spark, [(i, " ".join(w)) for i, w in zip(ids, texts, strict=True)] + [(900, None), (901, " "), (None, "a b"), (None, "a b")])
+    # Copies have a similarity of 0.83 or more to their text and less to each other; the texts stand 21 apart.
+    want = {min(ids[at : at + 21]) for at in range(0, 84, 21)} | set(ids[84:])
+    left = {r.doc_id for r in simhash.simhash_dedup(docs, limit=limit).collect()}
+    assert left == want | {900, 901, None}
+    assert simhash.simhash_dedup(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_by_brute_force(spark):
+    rng = np.random.default_rng(10)
+    text = " ".join(words(rng, 700))
+    h = np.unique(np.concatenate([*simhash._shingle_hashes(text.encode(), 5)]))
+    mixed = [[int(simhash._mixed(np.array([x], dtype=np.uint64) + s)[0]) for s in simhash._SALTS] for x in h]
+    bits = "".join(f"{int.from_bytes(int(v).to_bytes(8, 'little'), 'big'):064b}" for v in mixed[0])
+    votes = np.zeros(len(bits))
+    for row in mixed:
+        votes += [int(x) for v in row for x in f"{int.from_bytes(int(v).to_bytes(8, 'little'), 'big'):064b}"]
+    got = simhash.wide_fingerprints(table(spark, [(1, text), (2, text.upper()), (3, None)])).collect()
+    want = np.packbits(votes * 2 > len(h)).view(np.int64).tolist()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(r.fp == want for r in got)
+
+
 def test_planted_passages_are_found_and_cut(spark):
     rng = np.random.default_rng(5)
     shared, fuzzy = words(rng, 60), words(rng, 120)

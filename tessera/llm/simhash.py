@@ -313,7 +313,7 @@ def _links_in_groups(groups: DataFrame, max_bits: int) -> DataFrame:
 def _live(rows: DataFrame) -> DataFrame:
     """rows with the number of members (n) and open members (opens) of their item, where these have pairs to compare."""
     sizes = rows.groupBy("item").agg(F.count("*").alias("n"), F.count_if("open").alias("opens")).where("n > 1 and opens > 0")
-    return cut(rows.join(sizes, "item"), "groups")
+    return cut(rows.join(small_side(cut(sizes, "sizes"), 24), "item"), "groups")
 
 
 def _members(rows: DataFrame) -> DataFrame:

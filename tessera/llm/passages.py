@@ -123,14 +123,21 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
     Matches on one diagonal join into runs. A run's best score is its words plus the best earlier chain that ends
     before it in both documents, less GAP_COST for each word between them; a Fenwick tree over the ends in y
     gives that chain; over a gap of more than MAX_GAP words a new one begins. Chains are taken from the highest
-    score down and share no runs. One that lies in words already covered, as repeated words give many, is left out.
+    score down and share no runs. One that lies in words already covered, as repeated words give many, is left out;
+    words of a gap between seeds of more than WINDOW words aren't covered.
     """
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
+    base = int(x.min())
     new = np.concatenate(([True], (np.diff(y - x) != 0) | (np.diff(x) > MAX_GAP)))
     begin = np.flatnonzero(new)
     last = np.concatenate((begin[1:], [len(x)])) - 1
-    runs = sorted(zip(x[begin].tolist(), (x[last] + SEED).tolist(), y[begin].tolist(), (y[last] + SEED).tolist(), strict=True))
+    rows = sorted(zip(x[begin].tolist(), (x[last] + SEED).tolist(), y[begin].tolist(), (y[last] + SEED).tolist(), begin.tolist(), last.tolist(), strict=True))
+    runs, held = [r[:4] for r in rows], [r[4:] for r in rows]
+    # Where each seed's words end, or those up to the next seed of its run if that is near.
+    ends = x + SEED
+    close = np.flatnonzero(~new[1:] & (np.diff(x) <= WINDOW))
+    ends[close] = np.maximum(ends[close], x[close + 1])
     stops = sorted({r[3] for r in runs})
     tree, score, before = MaxTree(len(stops)), [0.0] * len(runs), [-1] * len(runs)
     place = {s: i for i, s in enumerate(stops)}
@@ -149,18 +156,21 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
         if not near:
             score[i] = float(xe - xs)
     out, used = [], [False] * len(runs)
-    base, covered = runs[0][0], np.zeros(max(r[1] for r in runs) - runs[0][0], dtype=bool)
+    covered = np.zeros(max(r[1] for r in runs) - base, dtype=bool)
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
-        chain = []
+        chain, spans = [], []
         while i >= 0 and not used[i]:
             used[i] = True
             chain.append(runs[i])
+            begun, ended = held[i]
+            spans.extend(zip((x[begun : ended + 1] - base).tolist(), (ends[begun : ended + 1] - base).tolist(), strict=True))
             i = before[i]
         if not chain:
             continue
         own = covered[chain[-1][0] - base : chain[0][1] - base]
         if own.mean() < (0.5 if len(chain) == 1 else 0.9):
-            own[:] = True
+            for at, stop in spans:
+                covered[at:stop] = True
             out.append(chain[::-1])
     return out
 
@@ -186,44 +196,95 @@ def _chained(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "doc_id long, rep_id long, xs int, xe int, ys int, ye int, runs array<int>")
 
 
-def _common(a: list[str], b: list[str]) -> int:
-    """Words of a longest common subsequence; the gaps of a chain are short."""
-    if not a or not b:
-        return 0
-    row = [0] * (len(b) + 1)
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence in both; the gaps of a chain are short."""
+    rows = [[0] * (len(b) + 1)]
     for w in a:
-        above, row = row, [0]
+        above, row = rows[-1], [0]
         for j, v in enumerate(b):
             row.append(above[j] + 1 if v == w else max(above[j + 1], row[j]))
-    return row[-1]
-
-
-def _extend(a: list[str], b: list[str]) -> tuple[int, int]:
-    """Words by which a and b go on alike, with a few differing ones in between, and how many of them match."""
-    score = best = matched = kept = length = 0
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j and rows[i][j]:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def _extend(a: list[str], b: list[str]) -> int:
+    """Words by which a and b go on alike, with a few differing ones in between."""
+    score = best = length = 0
     for n, (v, w) in enumerate(zip(a, b, strict=False), 1):
         score += 1 if v == w else -2
-        matched += v == w
         if score > best:
-            best, length, kept = score, n, matched
+            best, length = score, n
         elif score < best - 8:
             break
-    return length, kept
+    return length
 
 
-def align(a: list[str], b: list[str], runs: list[int]) -> tuple[int, int, int, int, int]:
-    """The passage around a chain's runs within word lists a and b: its ends in both, and the words that match."""
+def _cut_stretches(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First and last place in pairs (of matching words) of its best-scoring stretches.
+
+    A match scores 1 and a word without one as much less as MIN_IDENTITY allows, so that each stretch is above
+    it. Stretches are maximal: none gains by its neighbour (Ruzzo and Tompa). One that is too short to stand by
+    itself joins its neighbour where both together keep MIN_IDENTITY.
+    """
+    loss = MIN_IDENTITY / (1 - MIN_IDENTITY)
+    total, found = 0.0, []  # (first, last, score before, score after)
+    n, at = len(pairs), 0
+    while at < n:
+        end = at + 1
+        while end < n and pairs[end][0] == pairs[end - 1][0] + 1 and pairs[end][1] == pairs[end - 1][1] + 1:
+            end += 1
+        if at:
+            total -= loss * (max(pairs[at][0] - pairs[at - 1][0], pairs[at][1] - pairs[at - 1][1]) - 1)
+        first, low, high = at, total, total + end - at
+        j = len(found) - 1
+        while j >= 0:
+            if found[j][2] >= low:
+                j -= 1
+            elif found[j][3] < high:
+                first, low = found[j][0], found[j][2]
+                del found[j:]
+                j -= 1
+            else:
+                break
+        found.append((first, end - 1, low, high))
+        total, at = high, end
+    size = lambda s: max(pairs[s[1]][0] - pairs[s[0]][0], pairs[s[1]][1] - pairs[s[0]][1]) + 1
+    at = 0
+    while at + 1 < len(found):
+        one, two = found[at], found[at + 1]
+        if min(size(one), size(two)) < MIN_WORDS and two[1] - one[0] + 1 >= MIN_IDENTITY * size((one[0], two[1])):
+            found[at : at + 2] = [(one[0], two[1], one[2], two[3])]
+            at = max(0, at - 1)
+        else:
+            at += 1
+    return [(s[0], s[1]) for s in found]
+
+
+def align(a: list[str], b: list[str], runs: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """Passages around a chain's runs, its best-scoring stretches: their ends in word lists a and b, and the words that match."""
     parts = [runs[i : i + 4] for i in range(0, len(runs), 4)]
-    matched, x, y = 0, parts[0][0], parts[0][2]
-    for xs, xe, ys, ye in parts:
-        gap_a, gap_b = a[x:xs], b[y:ys]
-        matched += sum(map(str.__eq__, gap_a, gap_b)) if len(gap_a) == len(gap_b) else _common(gap_a[:200], gap_b[:200])
-        matched += sum(map(str.__eq__, a[xs:xe], b[ys:ye]))
+    left = _extend(a[: parts[0][0]][::-1], b[: parts[0][2]][::-1])
+    right = _extend(a[parts[-1][1] :], b[parts[-1][3] :])
+    x, y = parts[0][0] - left, parts[0][2] - left
+    pairs: list[tuple[int, int]] = []
+    for xs, xe, ys, ye in [*parts, [parts[-1][1] + right] * 2 + [parts[-1][3] + right] * 2]:
+        if xs - x == ys - y:
+            pairs += [(x + i, y + i) for i, same in enumerate(map(str.__eq__, a[x:xs], b[y:ys])) if same]
+        else:
+            pairs += [(x + i, y + j) for i, j in _common(a[x:xs], b[y:ys])]
+        pairs += [(xs + i, ys + i) for i, same in enumerate(map(str.__eq__, a[xs:xe], b[ys:ye])) if same]
         x, y = xe, ye
-    right, more = _extend(a[x:], b[y:])
-    xs, ys = parts[0][0], parts[0][2]
-    left, again = _extend(a[:xs][::-1], b[:ys][::-1])
-    return xs - left, x + right, ys - left, y + right, matched + more + again
+    ends = [(pairs[i], pairs[j], j - i + 1) for i, j in _cut_stretches(pairs)]
+    return [(p[0], q[0] + 1, p[1], q[1] + 1, n) for p, q, n in ends]
 
 
 def _words(text: Column) -> Column:
@@ -246,8 +307,9 @@ def _aligned(found: DataFrame, docs: DataFrame) -> DataFrame:
             out = []
             for r in b.to_pylist():
                 shift = [r["a0"], r["a0"], r["b0"], r["b0"]]
-                xs, xe, ys, ye, matched = align(r["a"], r["b"], [v - shift[i % 4] for i, v in enumerate(r["runs"])])
-                out.append((r["doc_id"], xs + r["a0"], xe + r["a0"], r["rep_id"], ys + r["b0"], ye + r["b0"], matched))
+                for xs, xe, ys, ye, matched in align(r["a"], r["b"], [v - shift[i % 4] for i, v in enumerate(r["runs"])]):
+                    if xe - xs >= MIN_FRAGMENT:
+                        out.append((r["doc_id"], xs + r["a0"], xe + r["a0"], r["rep_id"], ys + r["b0"], ye + r["b0"], matched))
             columns = [*zip(*out, strict=True)] or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "stop", "rep_id", "rep_start", "rep_stop", "matched"])
@@ -262,7 +324,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Positions count words, stop exclusive. Each seed's class is represented by its first occurrence (smallest
     doc_id and position); every other occurrence is matched with that one only, so a passage in a third of all
     documents gives one match for each of its seeds and documents, and no pairs among them. The matches of two
-    documents are chained and aligned; aligned fragments of MIN_FRAGMENT words and MIN_IDENTITY count if they and
+    documents are chained, aligned and cut into stretches; those of MIN_FRAGMENT words and MIN_IDENTITY count if they and
     their neighbours in the document, whichever document these come from, make up MIN_WORDS without a gap of more
     than SEED words. Documents with null id or text have no passages; rows that repeat a doc_id with another text
     are searched but aligned by the smallest text.

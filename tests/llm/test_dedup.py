@@ -149,6 +149,50 @@ def test_planted_passages_are_found_and_cut(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def cover(spans, n):
+    """Which of n words the (start, stop) spans hold."""
+    held = np.zeros(n, dtype=bool)
+    for start, stop in spans:
+        held[start:stop] = True
+    return held
+
+
+def test_passages_with_own_words_between_are_found_each(spark):
+    rng = np.random.default_rng(11)
+    rows, own, gaps = [], {}, [15, 20, 25, 30, 35, 40, 44, 48] * 3
+    for n, gap in enumerate(gaps):
+        shared, one, two = [words(rng, 60) for _ in range(3)], [], []
+        for k, w in enumerate(shared):
+            one += (words(rng, gap) if k else words(rng, 40)) + w
+            two += (words(rng, gap) if k else words(rng, 30)) + w
+        rows += [(n, one + words(rng, 40)), (n + 100, two + words(rng, 40))]
+        own[n + 100] = cover([(30 + k * (60 + gap), 90 + k * (60 + gap)) for k in range(3)], len(rows[-1][1]))
+    got = {}
+    for r in passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        assert r.rep_id == r.doc_id - 100 and r.stop - r.start >= 20 and r.identity >= 0.8
+        got.setdefault(r.doc_id, []).append((r.start, r.stop))
+    for i, want in own.items():
+        have = cover(got.get(i, []), len(want))
+        assert have[want].mean() > 0.98
+        if gaps[i - 100] >= 25:
+            assert have[~want].mean() < 0.05
+
+
+def test_stretches_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        same = rng.random(160) < rng.choice([0.2, 0.95], 8, p=[0.4, 0.6]).repeat(20)
+        pairs = [(i, i) for i in np.flatnonzero(same).tolist()]
+        found = passages._cut_stretches(pairs)
+        sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
+        best = max(sums[j] - sums[i] for i in range(161) for j in range(i, 161))
+        assert all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+        spans = [(pairs[i][0], pairs[j][0] + 1) for i, j in found]
+        assert all(same[a:b].mean() >= 0.8 for a, b in spans)
+        # The best stretch of all lies in one of them.
+        assert any(sums[b] - sums[a] == best or max(sums[j] - sums[i] for i in range(a, b) for j in range(i, b + 1)) == best for a, b in spans)
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):

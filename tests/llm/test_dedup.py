@@ -116,6 +116,25 @@ def test_near_copies_fall_with_their_text(spark, limit):
     assert simhash.simhash_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [512, 8])
+def test_near_copies_around_the_limit_by_exact_similarity(spark, limit):
+    rng = np.random.default_rng(13)
+    texts = {}
+    for n in range(200):
+        base = words(rng, 400)
+        copy = base[: 400 - n % 3] + words(rng, n % 5)
+        for at in rng.choice(380, rng.integers(6, 13), replace=False).tolist():
+            copy[at] = "other"
+        texts[n], texts[n + 1000] = base, copy
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    likeness = {n: len(sets[n] & sets[n + 1000]) / len(sets[n] | sets[n + 1000]) for n in range(200)}
+    assert sum(0.75 < x < 0.8 for x in likeness.values()) > 30 and sum(0.8 <= x < 0.85 for x in likeness.values()) > 30
+    left = {r.doc_id for r in simhash.simhash_dedup(table(spark, [(i, " ".join(w)) for i, w in texts.items()]), limit=limit).collect()}
+    wrong = [x for n, x in likeness.items() if (n + 1000 in left) == (x >= 0.8)]
+    # Two with a similarity of 0.8 share one of four least hashes but for one pair in 600.
+    assert set(range(200)) <= left and len(wrong) <= 1 and all(x >= 0.8 for x in wrong)
+
+
 def test_wide_fingerprints_by_brute_force(spark):
     rng = np.random.default_rng(10)
     text = " ".join(words(rng, 700))

@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.storage import cut, small_side
 
-#: Words of a seed; of so many seeds in a row at least one is kept, chosen by its hash alone.
-SEED, WINDOW = 8, 16
+#: Words of a seed; of so many seeds in a row at least one is kept, chosen by its hash alone. Where one word in eight
+#: differs, runs of seven words have three seeds each.
+SEED, WINDOW = 5, 4
+#: The same of longer seeds beside these, whose first occurrence is less often in a third document.
+LONG_SEED, LONG_WINDOW = 8, 16
+#: Words between seeds of a run that count as covered, and between fragments that count as one passage.
+HOLE, APART = 16, 8
 #: Words of a passage, of a fragment of one, and the share of its words that must match.
 MIN_WORDS, MIN_FRAGMENT, MIN_IDENTITY = 50, 20, 0.8
 #: Words without a seed inside a run of one diagonal; cost of a gap's word on either side; words around a chain to extend it.
@@ -51,29 +56,29 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, np.concatenate(([0], borders))))
 
 
-def pick_seeds(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word position and hash of the seeds kept: in any WINDOW seeds in a row, those with the least hash."""
-    seeds = np.maximum(0, counts - SEED + 1)
+def pick_seeds(hashes: np.ndarray, counts: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, word position and hash of the seeds kept: in any `window` seeds in a row, those with the least hash."""
+    seeds = np.maximum(0, counts - size + 1)
     text = np.repeat(np.arange(len(counts)), seeds)
     place = np.arange(len(text)) - np.repeat(np.cumsum(seeds) - seeds, seeds)
     first = (np.cumsum(counts) - counts)[text] + place
     h = np.zeros(len(text), dtype=np.uint64)
-    for j in range(SEED):
+    for j in range(size):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[first + j])
-    # Texts lie WINDOW apart, so that windows at their ends see nothing of their neighbours.
-    at = np.arange(len(text)) + (text + 1) * WINDOW
-    spread = np.full(len(text) + (len(counts) + 2) * WINDOW, _NONE)
+    # Texts lie `window` apart, so that windows at their ends see nothing of their neighbours.
+    at = np.arange(len(text)) + (text + 1) * window
+    spread = np.full(len(text) + (len(counts) + 2) * window, _NONE)
     spread[at] = h
     least, most = spread, None
     step = 1
-    while step < WINDOW:
+    while step < window:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     most, step = least, 1
-    while step < WINDOW:
+    while step < window:
         most = np.maximum(most[:-step], most[step:])
         step *= 2
-    kept = most[at - WINDOW + 1] == h
+    kept = most[at - window + 1] == h
     return text[kept], place[kept], h[kept]
 
 
@@ -89,8 +94,10 @@ def seeds(docs: DataFrame) -> DataFrame:
                 while stop < len(texts) and size < CHUNK:
                     size += len(texts[stop])
                     stop += 1
-                text, place, h = pick_seeds(*word_hashes(texts[at:stop]))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "seed"])
+                words = word_hashes(texts[at:stop])
+                for size, window in ((SEED, WINDOW), (LONG_SEED, LONG_WINDOW)):
+                    text, place, h = pick_seeds(*words, size, window)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "seed"])
                 at = stop
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -124,7 +131,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
     before it in both documents, less GAP_COST for each word between them; a Fenwick tree over the ends in y
     gives that chain; over a gap of more than MAX_GAP words a new one begins. Chains are taken from the highest
     score down and share no runs. One that lies in words already covered, as repeated words give many, is left out;
-    words of a gap between seeds of more than WINDOW words aren't covered.
+    words of a gap between seeds of more than HOLE words aren't covered.
     """
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
@@ -136,7 +143,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
     runs, held = [r[:4] for r in rows], [r[4:] for r in rows]
     # Where each seed's words end, or those up to the next seed of its run if that is near.
     ends = x + SEED
-    close = np.flatnonzero(~new[1:] & (np.diff(x) <= WINDOW))
+    close = np.flatnonzero(~new[1:] & (np.diff(x) <= HOLE))
     ends[close] = np.maximum(ends[close], x[close + 1])
     stops = sorted({r[3] for r in runs})
     tree, score, before = MaxTree(len(stops)), [0.0] * len(runs), [-1] * len(runs)
@@ -176,9 +183,11 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
 
 
 def _chained(pairs: DataFrame) -> DataFrame:
-    """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain that may hold a fragment."""
-    # Seeds lie up to WINDOW - 1 words inside a passage's ends.
-    least = max(SEED, MIN_FRAGMENT - 2 * (WINDOW - 1))
+    """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain.
+
+    Any may hold a fragment: repeated words have few first occurrences, which lie side by side, and a fuzzy
+    fragment may have one seed only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,8 +196,7 @@ def _chained(pairs: DataFrame) -> DataFrame:
                 flat = own.values
                 x, y = flat.field("pos").to_numpy().astype(np.int64), flat.field("rep_pos").to_numpy().astype(np.int64)
                 for c in chains(x, y):
-                    if c[-1][1] - c[0][0] >= least:
-                        found.append((doc, rep, c[0][0], c[-1][1], c[0][2], c[-1][3], [v for r in c for v in r]))
+                    found.append((doc, rep, c[0][0], c[-1][1], c[0][2], c[-1][3], [v for r in c for v in r]))
             columns = [*zip(*found, strict=True)] or [()] * 7
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "rep_id", "xs", "xe", "ys", "ye", "runs"])
@@ -326,7 +334,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     documents gives one match for each of its seeds and documents, and no pairs among them. The matches of two
     documents are chained, aligned and cut into stretches; those of MIN_FRAGMENT words and MIN_IDENTITY count if they and
     their neighbours in the document, whichever document these come from, make up MIN_WORDS without a gap of more
-    than SEED words. Documents with null id or text have no passages; rows that repeat a doc_id with another text
+    than APART words. Documents with null id or text have no passages; rows that repeat a doc_id with another text
     are searched but aligned by the smallest text.
     """
     kept = cut(seeds(docs), "seeds")
@@ -341,7 +349,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     good = cut(good.distinct(), "fragments")
     own = Window.partitionBy("doc_id").orderBy("start", "stop", "rep_id", "rep_start")
     reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    islands = good.withColumn("new", F.coalesce((F.col("start") > reach + SEED).cast("int"), F.lit(1)))
+    islands = good.withColumn("new", F.coalesce((F.col("start") > reach + APART).cast("int"), F.lit(1)))
     islands = islands.withColumn("island", F.sum("new").over(own))
     whole = Window.partitionBy("doc_id", "island")
     long = islands.withColumn("words", F.max("stop").over(whole) - F.min("start").over(whole)).where(F.col("words") >= MIN_WORDS)

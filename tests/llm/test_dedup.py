@@ -197,6 +197,23 @@ def test_passages_with_own_words_between_are_found_each(spark):
             assert have[~want].mean() < 0.05
 
 
+@pytest.mark.parametrize("every", [8, 9, 10, 12])
+def test_passages_with_every_few_words_changed_are_found(spark, every):
+    rng = np.random.default_rng(14)
+    rows = []
+    for n in range(60):
+        size = 55 if n % 2 else 100
+        shared = words(rng, size)
+        changed = [w if (k + 1) % every else f"x{n}_{k}" for k, w in enumerate(shared)]
+        rows += [(n, words(rng, 40) + shared + words(rng, 40)), (n + 100, words(rng, 30) + changed + words(rng, 40))]
+    held = {n + 100: [] for n in range(60)}
+    for r in passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        held[r.doc_id].append((r.start, r.stop))
+    share = [cover(held[n + 100], 200)[30 : 30 + (55 if n % 2 else 100)].mean() for n in range(60)]
+    # A passage of 55 words that loses a few at its ends is below the least length.
+    assert np.mean([x > 0.8 for x in share[::2]]) >= 0.95 and np.mean([x > 0.8 for x in share[1::2]]) >= 0.8
+
+
 def test_stretches_by_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(200):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.storage import cut
+from tessera.storage import cut, small_side
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): a host with its subdomains, then the start of the path.
@@ -44,18 +44,25 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_sort(F.array_distinct(tokens))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_count: int = 10, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.0, min_count: int = 10, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
     """labelled(tokens, bad): rules (antecedent, confidence, lift, support, key) whose consequent is a bad page.
 
-    FP-growth finds the token sets in at least min_count pages and a min_support of all labelled pages; rules
+    FP-growth finds the token sets in at least min_count bad pages (and a min_support of all labelled pages, if
+    that is set), so evidence counts alike at every size. Tokens in fewer bad pages can't be in a rule and go first; rules
     below min_confidence or min_lift are pruned. key is the antecedent's rarest token, under which the rule is indexed.
     """
     schema = "antecedent array<string>, confidence double, lift double, support double, key string"
     total = labelled.count()
     if total < min_count:
         return labelled.sparkSession.createDataFrame([], schema)
-    items = labelled.select(F.array_append("tokens", F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total), minConfidence=min_confidence).fit(items)
+    often = labelled.where("bad").select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    pages = cut(labelled.withColumn("page", F.monotonically_increasing_id()), "pages")
+    tokens = pages.select("page", F.explode("tokens").alias("token")).join(small_side(cut(often.select("token"), "tokens"), 64), "token")
+    held = pages.select("page", "bad").join(tokens.groupBy("page").agg(F.collect_set("token").alias("tokens")), "page", "left")
+    none = F.array().cast("array<string>")
+    items = held.select(F.array_append(F.coalesce("tokens", none), F.when(F.col("bad"), BAD).otherwise(GOOD)).alias("items"))
+    # Half a page less: FP-growth multiplies the share by the total again and rounds up.
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / total), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0] == BAD).where(~F.array_contains("antecedent", GOOD) & (F.col("lift") >= min_lift))
     rules = cut(rules.select("antecedent", "confidence", "lift", "support"), "rules")
     seen = labelled.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count("*").alias("n"))

@@ -132,3 +132,11 @@ def test_mined_rules_by_brute_force(spark):
     assert {tuple(sorted(r.antecedent)): r.confidence for r in rules.collect()} == pytest.approx(want) and want
     matched = urls.match_rules(frame.select("tokens").distinct(), rules).collect()
     assert {tuple(r.tokens): r.confidence for r in matched} == {tuple(sorted(s)): max(c for x, c in want.items() if set(x) <= s) for s in ({"a", "b"}, {"a", "b", "c"})}
+
+
+def test_a_bad_host_is_blocked_however_large_the_table(spark):
+    rows = [(i, f"http://{'bad.example.info' if i < 12 else f'h{chr(97 + i % 26)}.example.info'}/x", 0 if i < 12 or i % 40 == 0 else 1) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, quality int")
+    labels = frame.select(frame.page_id.alias("doc_id"), "quality").selectExpr("*", "0 as toxic")
+    got = {r.page_id for r in urls.judge_urls(frame.select("page_id", "url"), labels).collect() if r.verdict == "block"}
+    assert got == set(range(12))

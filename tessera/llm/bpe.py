@@ -6,7 +6,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +144,14 @@ class Bpe:
             out[i] = self.merge(pieces[i])
         return out
 
+    def encode_words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece of the pre-tokenizer as little-endian 32 bits."""
+        return [array("I", x).tobytes() for x in self.encode_pieces([p.encode() for p in pieces])]
+
     def encode_strings(self, strings: list[str]) -> list[bytes]:
-        """Ids of each piece as little-endian 32 bits. Strings that may hold an added token are split into pieces here."""
+        """The same of strings that may hold added tokens, which are found first, and many pieces."""
         parts: list[list[int | bytes]] = []
         for w in strings:
-            if "<" not in w:
-                parts.append([w.encode()])
-                continue
             own: list[int | bytes] = []
             for s in self.split_added.split(w) if self.split_added else [w]:
                 own += [self.added[s]] if s in self.added else [p.encode() for p in self.pieces.findall(s)]
@@ -162,7 +163,8 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordCache:
-    return WordCache(byte_words, " ", BYTE_PIECES, _vocabulary(path).encode_strings)
+    vocabulary = _vocabulary(path)
+    return WordCache(partial(byte_words, added=tuple(vocabulary.added)), " ", BYTE_PIECES, vocabulary.encode_words, vocabulary.encode_strings)
 
 
 @lru_cache(maxsize=2)
@@ -174,14 +176,14 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text, as little-endian unsigned 32-bit integers.
 
     path names a tokenizers file of kind byte-level BPE, readable on every worker. A null text counts as empty
-    and has no ids. Rows stay as they are, repeated ones included.
+    and has no ids. Rows stay as they are, repeated ones included; other columns are left out, whatever their names;
+    an empty table gives none. A text longer than CHUNK_CHARS is encoded by itself, so memory is bounded by the longest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for at, part in chunks(texts):
+            for at, part in chunks(b.column("text")):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(encoder.texts(part), pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -194,8 +196,10 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _vocabulary(path).bytes_of
         for b in batches:
-            texts = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), dtype="<u4").tolist())).decode("utf-8", "replace") for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), dtype="<u4").tolist())).decode("utf-8", "replace") for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias("text")).schema)

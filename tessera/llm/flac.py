@@ -9,9 +9,11 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 576
@@ -20,8 +22,12 @@ FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608}
 #: Of the encoder: residual partitions as a power of two, order and shift of its own linear predictors.
 PARTS, ORDER, SHIFT = 2, 4, 6
-#: Bytes of payload coded together.
-CHUNK = 2_400_000
+#: The byte that is sample zero: text lies around it, so its residuals are small. Samples are bytes less this, modulo 256.
+LEVEL = 106
+#: Bytes of payload taken from a batch at a time, and frames of these coded and decoded side by side, whatever a text's size.
+CHUNK, ENCODE_FRAMES, DECODE_FRAMES = 1_200_000, 512, 2048
+#: Seek points of one metadata block.
+SEEK_POINTS = 900_000
 
 
 def _crc_table(poly: int, bits: int, feed: int) -> np.ndarray:
@@ -171,27 +177,41 @@ def _encode_frames(s: np.ndarray) -> list[bytes]:
     return out
 
 
+def _samples(payload: bytes) -> np.ndarray:
+    return (np.frombuffer(payload, dtype=np.uint8) - np.uint8(LEVEL)).view(np.int8)
+
+
+def _frames(samples: np.ndarray, numbers: np.ndarray) -> Iterator[bytes]:
+    """Whole frames of the rows of samples, some at a time."""
+    for at in range(0, len(samples), ENCODE_FRAMES):
+        part = samples[at : at + ENCODE_FRAMES].astype(np.int64)
+        bodies = [frame_header(i) + body for i, body in zip(numbers[at : at + ENCODE_FRAMES].tolist(), _encode_frames(part), strict=True)]
+        ends = np.cumsum([len(b) for b in bodies])
+        crcs = crc16(np.frombuffer(b"".join(bodies), dtype=np.uint8), np.concatenate(([0], ends[:-1])), ends)
+        yield from (b + struct.pack(">H", crc) for b, crc in zip(bodies, crcs.tolist(), strict=True))
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload (a positive multiple of 576 bytes): samples are the bytes less 128.
+    """A FLAC stream of each payload (a positive multiple of 576 bytes): samples are the bytes less LEVEL.
 
-    The seek table has a point for every frame, so any sample offset leads to its frame's bytes.
+    The seek table has a point for every frame, so any sample offset leads to its frame's bytes. What is coded at
+    once is bounded by ENCODE_FRAMES, however long a payload is.
     """
-    s = np.frombuffer(b"".join(payloads), dtype=np.uint8).astype(np.int64).reshape(-1, BLOCK) - 128
     counts = [len(p) // BLOCK for p in payloads]
-    bodies = [frame_header(i) + body for i, body in zip((i for c in counts for i in range(c)), _encode_frames(s), strict=True)]
-    ends = np.cumsum([len(b) for b in bodies])
-    crcs = crc16(np.frombuffer(b"".join(bodies), dtype=np.uint8), np.concatenate(([0], ends[:-1])), ends)
-    out, at = [], 0
+    numbers = np.concatenate([np.arange(c) for c in counts]) if counts else np.empty(0, dtype=np.int64)
+    coded = _frames(_samples(b"".join(payloads)).reshape(-1, BLOCK), numbers)
+    out = []
     for payload, c in zip(payloads, counts, strict=True):
-        frames = [b + struct.pack(">H", crc) for b, crc in zip(bodies[at : at + c], crcs[at : at + c].tolist(), strict=True)]
+        frames = [*islice(coded, c)]
         sizes = [len(f) for f in frames]
-        signed = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()
         info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
-        info += (44100 << 44 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
+        info += (44100 << 44 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(_samples(payload).tobytes()).digest()
         starts = np.cumsum([0, *sizes[:-1]])
-        points = b"".join(struct.pack(">QQH", i * BLOCK, o, BLOCK) for i, o in enumerate(starts.tolist()))
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(frames))
-        at += c
+        points = [struct.pack(">QQH", i * BLOCK, o, BLOCK) for i, o in enumerate(starts.tolist())]
+        # A metadata block holds at most 2^24 - 1 bytes; a longer seek table is cut into several.
+        tables = [b"".join(points[at : at + SEEK_POINTS]) for at in range(0, len(points), SEEK_POINTS)]
+        heads = [bytes([3 | 128 * (i == len(tables) - 1)]) + len(t).to_bytes(3, "big") for i, t in enumerate(tables)]
+        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"".join(h + t for h, t in zip(heads, tables, strict=True)) + b"".join(frames))
     return out
 
 
@@ -359,9 +379,9 @@ def decode_frames(data: bytes, starts: list[int]) -> tuple[list[np.ndarray], np.
 
 
 def decode(streams: list[bytes]) -> list[tuple[bytes, list[int]]]:
-    """PCM bytes of each stream (samples plus 128) and the sample offset of each of its blocks.
+    """PCM bytes of each stream (samples plus LEVEL) and the sample offset of each of its blocks.
 
-    Where the seek table has a point for every frame, all frames are decoded at once; else one frame of every
+    Where the seek table has a point for every frame, DECODE_FRAMES are decoded at once; else one frame of every
     stream at a time, each starting where the last ended. Header CRC-8, frame CRC-16 and MD5 are verified.
     """
     data, base = b"".join(streams), np.cumsum([0, *(len(s) for s in streams)])
@@ -373,30 +393,35 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, list[int]]]:
         while True:
             kind, size = s[at], int.from_bytes(s[at + 1 : at + 4], "big")
             body = s[at + 4 : at + 4 + size]
-            info, points = (body, points) if kind & 127 == 0 else (info, body) if kind & 127 == 3 else (info, points)
+            info, points = (body, points) if kind & 127 == 0 else (info, points + body) if kind & 127 == 3 else (info, points)
             at += 4 + size
             if kind & 128:
                 break
         total = int.from_bytes(info[10:18], "big") & (1 << 36) - 1
-        listed = [p for p in struct.iter_unpack(">QQH", points) if p[0] != (1 << 64) - 1]
+        listed = sorted(p for p in struct.iter_unpack(">QQH", points) if p[0] != (1 << 64) - 1)
         full = sum(p[2] for p in listed) == total
         infos.append((total, info[18:34]))
         waiting += [(i, int(base[i]) + at + p[1]) for p in listed] if full else [(i, int(base[i]) + at)]
     blocks: list[list[np.ndarray]] = [[] for _ in streams]
     got = [0] * len(streams)
     while waiting:
-        samples, _, ends = decode_frames(data, [a for _, a in waiting])
-        for (i, _), x in zip(waiting, samples, strict=True):
-            blocks[i].append(x)
-            got[i] += len(x)
-        last = {i: int(e) for (i, _), e in zip(waiting, ends, strict=True)}
+        last = {}
+        for at in range(0, len(waiting), DECODE_FRAMES):
+            part = waiting[at : at + DECODE_FRAMES]
+            low = part[0][1]
+            high = waiting[at + DECODE_FRAMES][1] if at + DECODE_FRAMES < len(waiting) else len(data)
+            samples, _, ends = decode_frames(data[low:high], [a - low for _, a in part])
+            for (i, _), x, e in zip(part, samples, ends.tolist(), strict=True):
+                blocks[i].append(x.astype(np.int8))
+                got[i] += len(x)
+                last[i] = low + e
         waiting = [(i, e) for i, e in last.items() if got[i] < infos[i][0]]
     out = []
     for own, (_, md5) in zip(blocks, infos, strict=True):
-        signed = np.concatenate(own).astype(np.int8)
+        signed = np.concatenate(own)
         if hashlib.md5(signed.tobytes()).digest() != md5:
             raise ValueError("samples fail the stream's MD5")
-        out.append(((signed.view(np.uint8) ^ 0x80).tobytes(), np.cumsum([0, *(len(x) for x in own[:-1])]).tolist()))
+        out.append(((signed.view(np.uint8) + np.uint8(LEVEL)).tobytes(), np.cumsum([0, *(len(x) for x in own[:-1])]).tolist()))
     return out
 
 
@@ -405,32 +430,38 @@ def padded(text: bytes) -> bytes:
 
 
 def _feature(pcm: bytes) -> str:
-    x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
-    signs = x >= 0
-    return f"energy={int((x * x).sum())};crossings={int((signs[1:] != signs[:-1]).sum())};peak={int(np.abs(x).max())}"
-
-
-def _by_size(items: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    at, size = 0, 0
-    for i, x in enumerate(items):
-        size += len(x)
-        if size >= CHUNK:
-            yield at, items[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(items):
-        yield at, items[at:]
+    energy = crossings = peak = 0
+    for at in range(0, len(pcm), 1 << 20):  # each part begins with the last byte of the one before
+        x = np.frombuffer(pcm[max(0, at - 1) : at + (1 << 20)], dtype=np.uint8).astype(np.int32) - 128
+        signs, own = x >= 0, x[1 if at else 0 :]
+        crossings += int((signs[1:] != signs[:-1]).sum())
+        energy, peak = energy + int((own * own).sum(dtype=np.int64)), max(peak, int(np.abs(own).max()))
+    return f"energy={energy};crossings={crossings};peak={peak}"
+
+
+def _by_size(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Slices of a binary column of about CHUNK bytes each (a longer value is one by itself), and where they start."""
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(column):
+        stop, held = at + 1, int(sizes[at])
+        while stop < len(column) and held + sizes[stop] <= CHUNK:
+            held += int(sizes[stop])
+            stop += 1
+        yield at, column.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's UTF-8 as a FLAC stream, padded with 255 to a positive multiple of 576.
 
-    A null text counts as empty. Rows stay as they are, repeated ones included.
+    A null text counts as empty. Rows stay as they are, repeated ones included; other columns are left out, whatever
+    their names. An empty table gives none. Memory is bounded by the longest text, which is coded in slabs of frames.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").cast(pa.large_binary()).to_pylist()
-            for at, part in _by_size(texts):
+            for at, part in _by_size(b.column("text").cast(pa.large_binary())):
                 sizes = pa.array([len(t) for t in part], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), sizes, pa.array(encode([padded(t) for t in part]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -439,12 +470,15 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def from_media(stored: DataFrame) -> DataFrame:
-    """stored(media, ...): adds pcm (all blocks), block_offsets (each block's first sample) and feature, and drops media."""
+    """stored(media, ...): adds pcm (all blocks), block_offsets (each block's first sample) and feature, and drops media.
+
+    Other columns stay. A damaged stream raises an error.
+    """
     rest = [c for c in stored.columns if c != "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, part in _by_size(b.column("media").to_pylist()):
+            for at, part in _by_size(b.column("media")):
                 done = decode(part)
                 columns = [b.column(c).slice(at, len(part)) for c in rest]
                 columns += [pa.array([p for p, _ in done], pa.binary()), pa.array([o for _, o in done], pa.list_(pa.int64())), pa.array([_feature(p) for p, _ in done])]

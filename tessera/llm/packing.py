@@ -37,7 +37,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         encoder, end = byte_texts(path), np.array([end_id], dtype="<u2").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, texts in chunks(b.column("text").to_pylist()):
+            for first, texts in chunks(b.column("text")):
                 ids = [x + end for x in encoder.texts(texts)]
                 n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
                 starts = at + np.cumsum(n) - n

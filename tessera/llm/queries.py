@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import bpe, chat, exact, flac, packing, passages, quality, simhash, tokenfile, urls
+from tessera.storage import cut
 
-#: Where vocabulary files are, on every machine.
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+#: Vocabulary files, at the same place on every machine.
+BYTE_BPE, WORD_BPE = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,7 +27,8 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = flac.to_media(_read(spark, sf_dir, "documents"))
+    # Streams are high-entropy: Zstandard takes another tenth off them.
+    media = cut(flac.to_media(_read(spark, sf_dir, "documents")), "media", compression="zstd")
     stored = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     return flac.from_media(stored).select(
         "doc_id",
@@ -42,8 +44,7 @@ def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
-    done = bpe.bpe_decode(bpe.bpe_encode(_read(spark, sf_dir, "documents"), path), path)
+    done = bpe.bpe_decode(bpe.bpe_encode(_read(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
     return done.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
@@ -52,7 +53,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json"))
+    return packing.with_crc(packing.pack(_read(spark, sf_dir, "documents"), BYTE_BPE))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.read_documents(tokenfile.write_token_files(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return tokenfile.read_documents(tokenfile.write_token_files(_read(spark, sf_dir, "documents"), WORD_BPE))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

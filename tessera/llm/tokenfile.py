@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "at", "n", "doc_ids", "data"])
 
         for b in batches:
-            for first, texts in chunks(b.column("text").to_pylist()):
+            for first, texts in chunks(b.column("text")):
                 own = b.column("doc_id").slice(first, len(texts)).to_pylist()
                 for name, ids in zip(own, encoder.texts(texts), strict=True):
                     held.append(ids + end)

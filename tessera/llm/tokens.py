@@ -9,14 +9,16 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 #: Words and their pieces that a worker remembers; beyond that it starts anew. Longer ones are not remembered.
 CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 400_000, 600_000, 40
-#: Characters of text that are encoded together.
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that are encoded together; a longer text is encoded by itself.
+CHUNK_CHARS = 1_000_000
 
 #: How the two kinds of tokenizer split a text into pieces.
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,13 +37,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def byte_words(text: str) -> tuple[list[str], bool]:
+def byte_words(text: str, added: tuple[str, ...] = ()) -> tuple[list[str], bool]:
     """Words of a byte-level BPE text, each but the first without its leading space, and whether they can be cut into pieces.
 
-    The pre-tokenizer always starts a piece at a space before a character that isn't white space, and its
-    added token holds no space, so words can be encoded by themselves.
+    The pre-tokenizer always starts a piece at a space before a character that isn't white space, so words can be
+    encoded by themselves. An added token ends the text before it, white space included: such a text stays whole.
     """
-    return _CUT.split(text) if _UNEVEN.search(text) else text.split(" "), "<" not in text
+    if any(a in text for a in added):
+        return [text], False
+    return _CUT.split(text) if _UNEVEN.search(text) else text.split(" "), True
 
 
 def plain_words(text: str) -> tuple[list[str], bool]:
@@ -59,19 +63,19 @@ def _bounded(cache: dict[str, bytes], most: int) -> dict[str, bytes]:
 class WordCache:
     """Encodes texts as the joined ids of their words, and words as those of their pieces.
 
-    split cuts a text into words; all but the first get `lead` before them. What wasn't seen before goes to
-    `encode` in one list: pieces, or whole words of texts that can't be cut further. A word alone encodes alike
-    in either way, so one table holds both.
+    split cuts a text into words; all but the first get `lead` before them. Pieces that weren't seen before go to
+    `encode` in one list, and words of texts that can't be cut into pieces to `encode_whole`. A word alone encodes
+    alike in either way, so one table holds both.
     """
 
-    def __init__(self, split: Callable[[str], tuple[list[str], bool]], lead: str, pieces: str, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.split, self.lead, self.encode = split, lead, encode
+    def __init__(self, split: Callable[[str], tuple[list[str], bool]], lead: str, pieces: str, encode: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]] | None = None) -> None:
+        self.split, self.lead, self.encode, self.encode_whole = split, lead, encode, encode_whole or encode
         self.find = regex.compile(pieces).findall
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _by_pieces(self, words: list[str]) -> list[bytes]:
-        """Words with their lead."""
+        """Words with their lead, if any."""
         self.pieces = _bounded(self.pieces, CACHE_PIECES)
         find = self.find
         parts = [(w,) if w.isalpha() else find(w) for w in words]
@@ -87,31 +91,34 @@ class WordCache:
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         first = [words.pop(0) for words, _ in split]
+        heads = [list({f for f, (_, s) in zip(first, split, strict=True) if s == simple}) for simple in (False, True)]
+        known = [dict(zip(h, f(h), strict=True)) for h, f in zip(heads, (self.encode_whole, self._by_pieces), strict=True)]
         self.words = _bounded(self.words, CACHE_WORDS)
         simple = set().union(*(w for w, s in split if s)).difference(self.words)
         whole = set().union(*(w for w, s in split if not s)).difference(self.words, simple)
         order = list(simple)
         self.words.update(zip(order, self._by_pieces([self.lead + w for w in order] if self.lead else order), strict=True))
         order = list(whole)
-        self.words.update(zip(order, self.encode([self.lead + w for w in order]), strict=True))
+        self.words.update(zip(order, self.encode_whole([self.lead + w for w in order]), strict=True))
         get = self.words.__getitem__
-        out = [f + b"".join(map(get, words)) for f, (words, _) in zip(self.encode(first), split, strict=True)]
+        out = [known[s][f] + b"".join(map(get, words)) for f, (words, s) in zip(first, split, strict=True)]
         for word in simple | whole:
             if len(word) > CACHE_CHARS:
                 del self.words[word]
         return out
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Slices of a list with about CHUNK_CHARS characters each, and where they start."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Slices of a string column with about CHUNK_CHARS bytes each, as lists, and where they start."""
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(column):
+        stop, held = at + 1, int(sizes[at])
+        while stop < len(column) and held + sizes[stop] <= CHUNK_CHARS:
+            held += int(sizes[stop])
+            stop += 1
+        yield at, column.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 class ByteTexts:

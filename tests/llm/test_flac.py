@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +36,27 @@ def test_streams_without_seek_table_decode_alike():
     assert [p for p, _ in flac.decode(bare)] == want
 
 
+def test_slabs_do_not_change_streams(monkeypatch):
+    want = payloads()
+    media = flac.encode(want)
+    monkeypatch.setattr(flac, "ENCODE_FRAMES", 7)
+    monkeypatch.setattr(flac, "DECODE_FRAMES", 5)
+    monkeypatch.setattr(flac, "SEEK_POINTS", 3)
+    cut = flac.encode(want)
+    assert [p for p, _ in flac.decode(cut)] == [p for p, _ in flac.decode(media)] == want
+    assert [s for s, p in zip(cut, want, strict=True) if len(p) <= 3 * 576] == [s for s, p in zip(media, want, strict=True) if len(p) <= 3 * 576]
+
+
+def test_a_text_of_20_mb_in_bounded_memory():
+    payload = flac.padded(b"The and attion to thanedble the, anea. " * 512_000)
+    tracemalloc.start()
+    (pcm, offsets), = flac.decode(flac.encode([payload]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pcm == payload and offsets[-1] == len(payload) - 576
+    assert peak < 20 * len(payload)
+
+
 def test_seek_point_leads_to_its_block():
     payload = payloads()[4]
     s = flac.encode([payload])[0]
@@ -43,7 +65,7 @@ def test_seek_point_leads_to_its_block():
     sample, offset = int.from_bytes(point[:8], "big"), int.from_bytes(point[8:16], "big")
     frames, numbers, _ = flac.decode_frames(s, [46 + size + offset])
     assert sample == 5 * 576 and numbers.tolist() == [5]
-    assert (frames[0] + 128).astype(np.uint8).tobytes() == payload[sample : sample + 576]
+    assert (frames[0] + flac.LEVEL).astype(np.uint8).tobytes() == payload[sample : sample + 576]
 
 
 def test_damage_is_found():

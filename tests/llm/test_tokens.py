@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing, queries, tokenfile, tokens
 
-BYTE, WORD = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = queries.BYTE_BPE, queries.WORD_BPE
 TEXTS = [
     "", None, "  a  b ", "x<|endoftext|> y <|endoftext|>", "a \n b\n\n  c\t d ", "\x1c x\x85y  z", "a" * 1300, "don't  WE'LL they've",
     "日本語 テキスト 😀😀 é é", "<|ENDOFTEXT|> <|startoftext|>abc İSTANBUL ΣΑΣ", "0123456789 12 3½", "    ", "\n", "   x",
@@ -34,6 +35,25 @@ def test_bpe_equals_library_and_decodes(docs):
     assert sorted(r.text for r in got) == sorted(library.decode(x, skip_special_tokens=False) for _, x in want)
 
 
+#: Quotes behind punctuation, white space of all kinds, added tokens and parts of them, letters of several scripts.
+BITS = ["f('s')", "a]'s", "'s", "'re", "'", "!'ll", "x", "word", "The", " ", "  ", "   ", "\n", "\n\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "<", "<|", "|>", "<|endoftext|>", "<b>", "(", "]", ";", ".", "1", "23", "½", "é", "ß", "日本", "😀", "e\u0301", "İ", "\u200b", "\ufeff", "_", "==", '"', "don't", "'S", "\r\n", "²", "\x00"]
+
+
+@pytest.mark.parametrize("encoder, path, kind", [(bpe._encoder, BYTE, "<u4"), (tokens.byte_texts, BYTE, "<u2"), (tokens.plain_texts, WORD, "<u2")])
+def test_random_strings_equal_library(encoder, path, kind):
+    rng, library = random.Random(7), Tokenizer.from_file(path)
+    texts = ["".join(rng.choices(BITS, k=rng.randint(0, 14))) for _ in range(20_000)] + ["x ('re) <b>", "if (x < y) { t('save'); }", "a  <|endoftext|>  'll"]
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, got, w in zip(texts, encoder(path).texts(texts), want, strict=True) if np.frombuffer(got, kind).tolist() != w.ids]
+    assert wrong == []
+
+
+def test_one_very_long_text_and_one_very_long_word():
+    for text in ("The and attion's to thanedble, (the) " * 20_000, "ab" * 50_000):
+        want = np.array(ids_of(BYTE, text), "<u4").tobytes()
+        assert bpe._encoder(BYTE).texts([text]) == [want]
+
+
 def test_compatible_pairs_by_merging():
     vocabulary = bpe._vocabulary(BYTE)
     rng = np.random.default_rng(1)

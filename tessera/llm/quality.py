@@ -1,57 +1,145 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of letters, trained on trusted text."""
+"""Quality classifier: an interpolated modified Kneser-Ney model of letters in running text, trained on trusted text.
+
+N-grams run over the borders of words. Their counts are joined with each other and with the n-grams of the texts on
+sharded keys; neither the model nor the counts pass through the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.storage import cut
+from tessera.llm.rows import digest, without
+from tessera.storage import cut, small_side
+
+#: Longest n-grams, in letters; MARK stands for the places before a text.
+ORDER, MARK = 6, "\u0002"
+#: Letters handled together, and distinct n-grams that a task holds before it hands their counts on.
+CHUNK, HELD_GRAMS = 1_000_000, 1_500_000
+#: The most n-grams whose scores are broadcast (12 bytes each, twice over in a table half full); rarer ones are joined by shuffle.
+FREQUENT = 1_000_000
+#: One of so many trusted documents is kept out of the counts; thresholds are quantiles of these.
+HELD_OUT = 5
+#: The quantile of trusted and of rejected text, by language, between which a threshold lies: of the perplexity, and of the
+#: share of a text's word pairs that are new, which tells text that repeats itself.
+PERPLEXITY_QUANTILES, VARIETY_QUANTILES = (0.995, 0.4), (0.002, 0.1)
 
-#: Longest n-grams, in letters; words are padded with MARK on both sides and scored by themselves.
-ORDER, MARK = 5, "\u0002"
-#: Rows of a model shard that a broadcast may hold, about 64 MB of keys and numbers.
-SHARD_ROWS = 2_500_000
-#: Words whose scores a worker remembers.
-CACHE_WORDS = 300_000
-#: The quantile of trusted and of rejected text, by language, between which the threshold lies.
-TRUSTED_QUANTILE, REJECTED_QUANTILE = 0.995, 0.4
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_COUNTED = np.uint64(0xD6E8FEB86659FD93)
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) over all texts; words are runs without ASCII white space."""
-    words = F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), words.alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang)
 
 
-def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, k, gram, c): counts of the n-grams of all padded words, k letters long, for k up to order.
+def _pieces(texts: list[bytes], order: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Owners and pieces of all texts, about CHUNK letters at a time. A piece begins with order - 1 letters of context.
 
-    The longest, and those that start with the mark, count occurrences; shorter ones count the distinct
-    letters before them, as Kneser-Ney asks.
+    Words are joined by one space, with one behind the last; U+0000 and MARK inside a text count as U+FFFD.
     """
-    padded = words.select("lang", F.concat(F.lit(MARK), "word", F.lit(MARK)).alias("w"), "n")
-    ends = padded.select("lang", "w", "n", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("e"))
-    longest = ends.select("lang", F.expr(f"substring(w, greatest(e - {order - 1}, 1), least(e, {order}))").alias("gram"), "n")
-    # An n-gram at a word's start is shorter than `order` and starts with the mark: it counts occurrences.
-    raw = cut(longest.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
-    at_start = lambda k: (F.length("gram") == k) & F.col("gram").startswith(MARK)
-    levels = [raw.where(F.length("gram") == order).select("lang", F.lit(order).alias("k"), "gram", "c")]
-    wider = raw.where(F.length("gram") == order).select("lang", "gram")
+    owners, pieces, size = [], [], 0
+    for i, text in enumerate(texts):
+        words = text.split()
+        if not words:
+            continue
+        letters = b" ".join(words).decode().replace("\0", "�").replace(MARK, "�") + " "
+        letters = MARK * (order - 1) + letters
+        for at in range(order - 1, len(letters), CHUNK):
+            owners.append(i)
+            pieces.append(letters[at - order + 1 : at + CHUNK])
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                yield owners, pieces
+                owners, pieces, size = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
+def _windows(owners: list[int], pieces: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all pieces, where each window of `order` letters starts, and its owner."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype="<u4")
+    sizes = np.array([len(p) for p in pieces])
+    own = sizes - (order - 1)
+    begin = np.cumsum(sizes) - sizes
+    starts = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    return codes, starts, np.repeat(np.array(owners), own)
+
+
+def _keys(codes: np.ndarray, starts: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
+    """64-bit keys of the windows, with a seed for each window (its language's)."""
+    h = np.zeros(len(codes) - order + 1, dtype=np.uint64)
+    for j in range(order):
+        h = h * _BASE + codes[j : len(h) + j]
+    return _mix(_mix(h[starts] + seeds) * _BASE)
+
+
+def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """docs(lang, text, counted): (lang, gram, n, c), the n-grams of all texts, how often they occur, and how often in counted ones.
+
+    Each task adds up its own before they are shuffled, and never holds more than about HELD_GRAMS of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, bool], int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            keys, n, grams, group = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
+            return keys, np.bincount(where, weights=n).astype(np.int64), grams[first], group[first]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = list(groups)
+            for at in range(0, len(held[0][0]), 1 << 18):
+                _, n, grams, group = (x[at : at + (1 << 18)] for x in held[0])
+                text = pa.array(np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist(), pa.string())
+                langs, counted = (pa.array([names[g][i] for g in group.tolist()]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([langs, text, pa.array(n), pa.array(np.where(np.array(counted), n, 0))], ["lang", "gram", "n", "c"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                kinds = list(zip(part.column("lang").to_pylist(), part.column("counted").to_pylist(), strict=True))
+                for kind in kinds:
+                    groups.setdefault(kind, len(groups))
+                own = np.array([groups[k] for k in kinds], dtype=np.int32)
+                seeds = np.array([_seed(lang) for lang, _ in kinds], dtype=np.uint64) + np.array([c for _, c in kinds], dtype=np.uint64) * _COUNTED
+                for owners, pieces in _pieces(part.column("text").cast(pa.large_binary()).to_pylist(), order):
+                    codes, starts, owner = _windows(owners, pieces, order)
+                    keys, first, n = np.unique(_keys(codes, starts, seeds[owner], order), return_index=True, return_counts=True)
+                    held.append((keys, n, codes[starts[first][:, None] + np.arange(order)], own[owner[first]]))
+                    if sum(len(x[0]) for x in held[1:]) > HELD_GRAMS // 2:
+                        held = [merged()]
+                        if len(held[0][0]) > HELD_GRAMS:
+                            yield from out()
+                            held = []
+        if held:
+            held = [merged()]
+            yield from out()
+
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), "counted")
+    counts = rows.mapInArrow(run, "lang string, gram string, n long, c long")
+    return cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "grams")
+
+
+def level_counts(grams: DataFrame, order: int) -> DataFrame:
+    """grams(lang, gram, c): (lang, k, gram, c) of all orders. The longest count occurrences, shorter ones distinct letters before them."""
+    level = grams.where("c > 0").select("lang", F.lit(order).alias("k"), "gram", "c")
+    out = level
     for k in range(order - 1, 0, -1):
-        starts = raw.where(at_start(k)).select("lang", "gram", "c")
-        inner = wider.select("lang", F.substr("gram", F.lit(2)).alias("gram"))
-        met = inner.groupBy("lang", "gram").agg(F.count("*").alias("c"))
-        now = met.unionByName(starts).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-        levels.append(now.select("lang", F.lit(k).alias("k"), "gram", "c"))
-        wider = now.select("lang", "gram")
-    out = levels[0]
-    for level in levels[1:]:
+        inner = level.select("lang", F.substr("gram", F.lit(2)).alias("gram"))
+        level = inner.groupBy("lang", "gram").agg(F.count("*").alias("c")).select("lang", F.lit(k).alias("k"), "gram", "c")
         out = out.unionByName(level)
     return cut(out, "counts")
 
@@ -69,20 +157,20 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return at.select("lang", "k", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
 
 
-def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model of trusted docs(lang, text), all of them: (lang, k, gram, logp, backoff).
+def train(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model of grams(lang, gram, c): (lang, k, gram, logp, backoff).
 
     logp is the interpolated probability of the gram's last letter after the others; backoff is the weight that
     the gram, as a context, leaves to shorter ones. Counts of each order join those of the order below, sharded
     by their keys. Unseen letters share what one more letter than those seen would have.
     """
-    counts = gram_counts(word_counts(docs), order)
+    counts = level_counts(grams, order)
     rates = F.broadcast(_discounts(counts))  # one row for a language and order
     rated = counts.join(rates, ["lang", "k"]).withColumn("head", F.expr("substring(gram, 1, k - 1)"))
     cut_off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rated = rated.withColumn("d", cut_off)
     heads = cut(rated.groupBy("lang", "k", "head").agg(F.sum("c").alias("total"), F.sum("d").alias("left")), "heads")
-    letters = F.broadcast(counts.where("k = 1").groupBy("lang").agg((F.count("*") + 1).alias("letters")))
+    letters = F.broadcast(counts.where("k = 1").groupBy("lang").agg((F.count("*") + 1).alias("letters")))  # one row for a language
     level = None
     out = []
     for k in range(1, order + 1):
@@ -104,173 +192,181 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return cut(roots.select("lang", "k", "gram", "logp", F.coalesce("backoff", F.lit(0.0)).alias("backoff")), "model")
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
+def resolve(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """grams(lang, gram, n): adds logp, that of the last letter after the others, and key; null logp without a model.
 
-def _key(lang: int | np.ndarray, letters: list[np.ndarray]) -> np.ndarray:
-    """64-bit keys of n-grams given letter by letter, in a language by number."""
-    h = np.zeros(len(letters[0]) if letters else 1, dtype=np.uint64) + np.uint64(len(letters) * 7919) + np.asarray(lang, dtype=np.uint64) * np.uint64(0x100000001B3)
-    for x in letters:
-        h = _mix((h + x.astype(np.uint64) + np.uint64(1)) * _PRIME)
-    return h
-
-
-class Shard:
-    """Part of a model: sorted keys, log probabilities and backoff weights."""
-
-    def __init__(self, rows: pa.Table, langs: list[str], order: int) -> None:
-        self.langs, self.order = {x: i for i, x in enumerate(langs)}, order
-        keys, logp, back = [], [], []
-        for k in range(order + 1):
-            part = rows.filter(pa.compute.equal(rows["k"], k))
-            points = np.array([[ord(c) for c in g] for g in part["gram"].to_pylist()], dtype=np.uint64).reshape(part.num_rows, k)
-            lang = np.array([self.langs[x] for x in part["lang"].to_pylist()], dtype=np.uint64)
-            keys.append(_key(lang, [points[:, i] for i in range(k)]) if part.num_rows else np.empty(0, dtype=np.uint64))
-            logp.append(part["logp"].to_numpy())
-            back.append(part["backoff"].to_numpy())
-        whole = np.concatenate(keys)
-        order_ = np.argsort(whole)
-        self.keys = whole[order_]
-        self.logp, self.back = np.concatenate(logp)[order_], np.concatenate(back)[order_]
+    From the longest order down, grams join the model's on their keys, and those that it lacks go on with what
+    their context leaves to shorter ones.
+    """
+    open_ = grams.select("lang", "gram", "n", F.col("gram").alias("part"), F.lit(0.0).alias("sum"))
+    done = []
+    for k in range(order, 0, -1):
+        own = model.where(F.col("k") == k).select("lang", F.col("gram").alias("part"), "logp")
+        heads = model.where(F.col("k") == k - 1).select("lang", F.col("gram").alias("head"), "backoff")
+        if k == 1:
+            heads = F.broadcast(heads.select("lang", "backoff", F.col("head")))  # one row for a language
+        met = open_.join(own, ["lang", "part"], "left").withColumn("head", F.expr("substring(part, 1, length(part) - 1)"))
+        met = cut(met.join(heads, ["lang", "head"], "left"), "met")
+        done.append(met.where("logp is not null").select("lang", "gram", "n", (F.col("sum") + F.col("logp")).alias("logp")))
+        open_ = met.where("logp is null").select("lang", "gram", "n", F.substr("part", F.lit(2)).alias("part"), (F.col("sum") + F.coalesce("backoff", F.lit(0.0))).alias("sum"))
+    root = F.broadcast(model.where("k = 0").select("lang", "logp"))  # one row for a language
+    out = open_.join(root, "lang", "left").select("lang", "gram", "n", (F.col("sum") + F.col("logp")).alias("logp"))
+    for one in done:
+        out = out.unionByName(one)
+
+    @F.pandas_udf("long")
+    def key(lang: pd.Series, gram: pd.Series) -> pd.Series:
+        codes = np.frombuffer("".join(gram).encode("utf-32-le"), dtype="<u4")
+        seeds = np.array([_seed(x) for x in lang], dtype=np.uint64)
+        return pd.Series(_keys(codes, np.arange(len(gram)) * order, seeds, order).view(np.int64) if len(gram) else np.empty(0, dtype=np.int64))
+
+    return cut(out.select("lang", "gram", "n", "logp", key("lang", "gram").alias("key")), "resolved")
+
+
+class Table:
+    """Log probabilities by key, in an open table at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.mask, self.keys, self.values, self.used = np.uint64(size - 1), np.zeros(size, dtype=np.uint64), np.zeros(size), np.zeros(size, dtype=bool)
+        slot = keys & self.mask
+        while len(keys):
+            free = np.flatnonzero(~self.used[slot])
+            place, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[place], self.values[place], self.used[place] = keys[won], values[won], True
+            rest = np.ones(len(keys), dtype=bool)
+            rest[won] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + np.uint64(1)) & self.mask
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
-
-    def score(self, lang: str, words: list[str], mine: tuple[int, int]) -> np.ndarray:
-        """Summed log probability of each padded word's letters after the first mark, of those in shard mine[0] of mine[1]."""
-        number = self.langs[lang]
-        text = np.frombuffer("".join(f"{MARK}{w}{MARK}" for w in words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        sizes = np.array([len(w) + 2 for w in words])
-        owner = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.flatnonzero(place > 0)
-        if mine[1] > 1:
-            at = at[_mix(text[at - 1] * _PRIME) % np.uint64(mine[1]) == mine[0]]
-        out, open_ = np.zeros(len(at)), np.ones(len(at), dtype=bool)
-        for k in range(self.order, -1, -1):
-            live = np.flatnonzero(open_ & (place[at] >= k - 1))
-            if not len(live):
-                continue
-            end = at[live]
-            found_at, found = self.find(_key(number, [text[end - k + 1 + i] for i in range(k)]) if k else np.repeat(_key(number, []), len(end)))
-            out[live[found]] += self.logp[found_at[found]]
-            open_[live[found]] = False
-            rest = live[~found]
-            if k > 1 and len(rest):  # the context that the missing gram has leaves its weight to shorter ones
-                end = at[rest]
-                head_at, known = self.find(_key(number, [text[end - k + 1 + i] for i in range(k - 1)]))
-                out[rest[known]] += self.back[head_at[known]]
-            elif k == 1 and len(rest):
-                root_at, _ = self.find(_key(number, []))
-                out[rest] += self.back[root_at]
-        return np.bincount(owner[at], weights=out, minlength=len(words))
-
-
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, lang, logp, letters) per row of docs: the summed log probability of its letters and their number.
-
-    The model is dealt into shards by the letter before the one that is scored, so that all n-grams and contexts
-    of a letter are in one shard. Each shard, at most about shard_rows long, is broadcast to a pass over the
-    texts, and the partial sums of the passes are added up. Languages without a model get null.
+        """The value of each key and whether it is there."""
+        slot = keys & self.mask
+        out, there = self.values[slot], self.keys[slot] == keys
+        there &= self.used[slot]
+        left = np.flatnonzero(~there & self.used[slot])
+        while len(left):
+            at = slot[left] = (slot[left] + np.uint64(1)) & self.mask
+            hit = self.used[at] & (self.keys[at] == keys[left])
+            out[left[hit]], there[left[hit]] = self.values[at[hit]], True
+            left = left[~hit & self.used[at]]
+        return out, there
+
+
+def frequent(resolved: DataFrame, most: int = FREQUENT) -> Table:
+    """The grams that occur most often, `most` of them or fewer: those over a count that the histogram of counts gives."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    found = resolved.where("logp is not null")
+    counts = found.groupBy(step.alias("step")).agg(F.count("*").alias("grams")).collect()  # one row for a sixteenth of a power of two
+    total, least = 0, None
+    for r in sorted(counts, key=lambda r: -r.step):
+        total += r.grams
+        if total > most:
+            break
+        least = r.step
+    rows = found.where(step >= least if least is not None else F.lit(False)).select("key", "logp").toArrow()
+    return Table(rows["key"].to_numpy().view(np.uint64), rows["logp"].to_numpy())
+
+
+def score(docs: DataFrame, resolved: DataFrame, order: int = ORDER, most: int = FREQUENT) -> DataFrame:
+    """(row, doc_id, digest, lang, logp, letters, variety) per row of docs, from resolve()'s table of all their n-grams.
+
+    logp sums the log probabilities of the letters; null for languages without a model. Grams that occur often
+    (bounded by `most`) are looked up in a broadcast table; a text's rarer ones join the resolved table by shuffle.
+    variety is the share of distinct ones among a text's word pairs, null for less than two words.
     """
     spark = docs.sparkSession
-    shards = max(1, -(-model.count() // shard_rows))
-    langs = [r.lang for r in model.select("lang").distinct().orderBy("lang").collect()]
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = rows.select("doc_id", "lang", F.lit(None).cast("double").alias("logp"), F.lit(0).cast("long").alias("letters")).schema
-    passes = []
-    for s in range(shards):
-        table = model.toArrow() if shards == 1 else _shard_rows(model, s, shards)
-        held = spark.sparkContext.broadcast(Shard(table, langs, order)) if langs else None
-
-        def run(batches: Iterator[pa.RecordBatch], held: object = held, mine: tuple[int, int] = (s, shards)) -> Iterator[pa.RecordBatch]:
-            cache: dict[str, dict[str, float]] = {}
-            for b in batches:
-                names, texts = b.column("lang").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist()
-                logp, letters = [], []
-                step = 256
-                for at in range(0, len(texts), step):
-                    split = [t.decode().translate(_SPACES).split(" ") for t in texts[at : at + step]]
-                    for lang in {*names[at : at + step]}:
-                        if held is None or lang not in held.value.langs:  # type: ignore[attr-defined]
-                            continue
-                        known = cache.setdefault(lang, {})
-                        if len(known) > CACHE_WORDS:
-                            known.clear()
-                        new = list(set().union(*(w for w, x in zip(split, names[at : at + step], strict=True) if x == lang)).difference(known, [""]))
-                        known[""] = 0.0
-                        if new:
-                            known.update(zip(new, held.value.score(lang, new, mine).tolist(), strict=True))  # type: ignore[attr-defined]
-                    for words, lang in zip(split, names[at : at + step], strict=True):
-                        known = cache.get(lang, {})
-                        logp.append(sum(map(known.__getitem__, words)) if known else None)
-                        letters.append(sum(map(len, words)) + len(words) - words.count(""))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(logp, pa.float64()), pa.array(letters, pa.int64())], ["doc_id", "lang", "logp", "letters"])
-
-        passes.append(rows.mapInArrow(run, schema))
-    if shards == 1:
-        return passes[0]
-    return _add_up(passes)
-
-
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
-
-
-def _shard_rows(model: DataFrame, s: int, shards: int) -> pa.Table:
-    """The model's rows that scoring needs where the letter before falls into shard s."""
-    # The letter before the scored one ends every context, and stands before the last letter of every longer gram.
-    @F.pandas_udf("boolean")
-    def mine(grams):  # noqa: ANN001, ANN202
-        def falls(letter: str) -> bool:
-            return int(_mix(np.array([ord(letter)], dtype=np.uint64) * _PRIME)[0] % np.uint64(shards)) == s
-
-        return grams.map(lambda g: len(g) < 2 or falls(g[-2]) or falls(g[-1]))
-
-    return model.where(mine("gram")).toArrow()
-
-
-def _add_up(passes: list[DataFrame]) -> DataFrame:
-    """Partial sums of the same rows in several passes: rows of equal id and letters are told apart by their order."""
-    parts = [cut(p.withColumn("row", F.monotonically_increasing_id()), "scores") for p in passes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("logp").alias("logp"), F.first("letters").alias("letters")).drop("row")
-
-
-def judge(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, keep) per row of docs.
-
-    Trusted text is every document that labels call quality 1 (and no label quality 0). The threshold of a
-    language is the geometric mean of a high quantile of its trusted documents' perplexity and a middling one of
-    those labelled quality 0, if the latter is larger; else, or without such labels, the trusted quantile alone.
-    Documents above it go. Those without words, and languages without trusted text, are kept. A null lang is a
-    language of its own; a null text counts as empty.
+    held = spark.sparkContext.broadcast(frequent(resolved, most))
+    langs = {r.lang for r in resolved.where("logp is not null").select("lang").distinct().collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, row = held.value, TaskContext.get().partitionId() << 33
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                names, texts = part.column("lang").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist()
+                seeds = np.array([_seed(x) for x in names], dtype=np.uint64)
+                known = np.array([x in langs for x in names])
+                logp, letters = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+                rare: list[tuple[np.ndarray, np.ndarray]] = []
+                for owners, pieces in _pieces(texts, order):
+                    codes, starts, owner = _windows(owners, pieces, order)
+                    keys = _keys(codes, starts, seeds[owner], order)
+                    value, there = table.find(keys)
+                    logp += np.bincount(owner[there], weights=value[there], minlength=len(texts))
+                    letters += np.bincount(owner, minlength=len(texts))
+                    missing = np.flatnonzero(~there & known[owner])
+                    rare.append((owner[missing], keys[missing]))
+                owner, keys = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.empty(0, dtype=np.int64),) * 2
+                order_ = np.argsort(owner, kind="stable")
+                borders = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(keys[order_].view(np.int64)))
+                columns = [pa.array(np.arange(row, row + len(texts))), part.column("doc_id"), part.column("digest"), part.column("lang")]
+                columns += [pa.array(logp, mask=~known), pa.array(letters), pa.array([_variety(t) for t in texts], pa.float64()), lists]
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "digest", "lang", "logp", "letters", "variety", "rare"])
+
+    rows = docs.select("doc_id", digest("text").alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    null = F.lit(None).cast("double")
+    schema = rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "digest", "lang", null.alias("logp"), F.lit(0).cast("long").alias("letters"), null.alias("variety"), F.expr("cast(array() as array<long>)").alias("rare")).schema
+    scored = cut(rows.mapInArrow(run, schema), "scores")
+    held.destroy()
+    asked = scored.where(F.size("rare") > 0)
+    if asked.isEmpty():
+        return scored.drop("rare")
+    each = asked.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("n"))
+    sums = each.join(resolved.select("key", F.col("logp").alias("one")), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("one")).alias("more"))
+    return cut(scored.drop("rare").join(sums, "row", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).drop("more"), "scores")
+
+
+def _variety(text: bytes) -> float | None:
+    words = text.split()
+    if len(words) < 2:
+        return None
+    h = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    pairs = _mix(h[:-1] * _BASE) + h[1:]
+    return len(np.unique(pairs)) / len(pairs)
+
+
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = FREQUENT) -> DataFrame:
+    """(doc_id, digest, lang, perplexity, threshold, variety, variety_threshold, keep) per row of docs.
+
+    Trusted text is every document that labels call quality 1 (and no label quality 0); one of HELD_OUT is kept out
+    of the model. A language's threshold is the geometric mean of a high quantile of the perplexity of these and a
+    middling one of documents labelled quality 0, if the latter is larger; else, or without such labels, the trusted
+    quantile alone. Documents above it go, and so do those that repeat their own word pairs more than a low quantile
+    of trusted text, found in the same way.
+
+    Documents without words, and languages without trusted text, are kept. A null lang is a language of its own; a
+    null text counts as empty. Equal texts of a language get equal values; a doc_id's labels hold for all its rows,
+    and repeated labels count once. Columns beside doc_id, lang and text are left out, whatever their names. An empty
+    table gives none. Memory is bounded by the longest text.
     """
-    marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marked = docs.select("doc_id", "lang", "text").join(F.broadcast(marks.where("quality = 1")) if _few(marks) else marks.where("quality = 1"), "doc_id")
-    model = train(marked.select("lang", "text"))
-    scored = cut(score(docs, model, shard_rows=shard_rows), "scores")
-    ppl = scored.withColumn("perplexity", F.when(F.col("letters") > 0, F.round(F.exp(-F.col("logp") / F.col("letters")), 6)))
-    known = ppl.join(marks, "doc_id").where("perplexity is not null")
-    at = lambda q, v: F.percentile_approx(F.when(F.col("quality") == v, F.col("perplexity")), q, 100_000)
-    limits = known.groupBy("lang").agg(at(TRUSTED_QUANTILE, 1).alias("high"), at(REJECTED_QUANTILE, 0).alias("low"))
-    threshold = F.when(F.col("low") > F.col("high"), F.sqrt(F.col("low") * F.col("high"))).otherwise(F.col("high"))
-    limits = limits.select("lang", F.round(threshold, 6).alias("threshold"))
-    out = ppl.join(F.broadcast(limits), "lang", "left")  # one row for a language
-    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "perplexity", "threshold", keep.alias("keep"))
-
-
-def _few(marks: DataFrame) -> bool:
-    return marks.count() * 16 <= 32 << 20
+    marks = cut(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "marks")
+    out_of = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    trusted = marks.where((F.col("quality") == 1) & ~out_of).select("doc_id", F.lit(True).alias("counted"))
+    marked = docs.select("doc_id", "lang", "text").join(small_side(trusted, 16), "doc_id", "left").select("lang", "text", F.coalesce("counted", F.lit(False)).alias("counted"))
+    grams = count_grams(marked, order)
+    resolved = resolve(grams, train(grams, order), order)
+    scored = score(docs, resolved, order, most)
+    rated = scored.withColumn("perplexity", F.when(F.col("letters") > 0, F.round(F.exp(-F.col("logp") / F.col("letters")), 6)))
+    known = rated.join(small_side(marks, 16), "doc_id").where("perplexity is not null").withColumn("own", F.when(F.col("quality") == 0, "bad").when(out_of, "held").otherwise("seen"))
+
+    def at(column: str, q: float, *kinds: str) -> Column:
+        """The quantile over the first kind that a language has."""
+        return F.coalesce(*[F.percentile_approx(F.when(F.col("own") == kind, F.col(column)), q, 100_000) for kind in kinds])
+
+    (high, bad_low), (low, bad_high) = PERPLEXITY_QUANTILES, VARIETY_QUANTILES
+    limits = known.groupBy("lang").agg(at("perplexity", high, "held", "seen").alias("p"), at("perplexity", bad_low, "bad").alias("bad_p"), at("variety", low, "held", "seen").alias("v"), at("variety", bad_high, "bad").alias("bad_v"))
+    threshold = F.when(F.col("bad_p") > F.col("p"), F.sqrt(F.col("bad_p") * F.col("p"))).otherwise(F.col("p"))
+    variety = F.when(F.col("bad_v") < F.col("v"), F.sqrt(F.col("bad_v") * F.col("v"))).otherwise(F.col("v"))
+    limits = limits.select("lang", F.round(threshold, 6).alias("threshold"), F.round(variety, 6).alias("variety_threshold"))
+    out = rated.join(F.broadcast(limits), "lang", "left")  # one row for a language
+    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("variety") >= F.col("variety_threshold"), F.lit(True))
+    return out.select("doc_id", "digest", "lang", "perplexity", "threshold", "variety", "variety_threshold", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that judge() rejects; rows without doc_id stay."""
-    bad = cut(judge(docs, labels).where("not keep").select("doc_id").distinct(), "rejected")
-    side = F.broadcast(bad) if bad.count() * 16 <= 32 << 20 else bad
-    return docs.join(side, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that judge() rejects, told by doc_id, text and language; every column stays as it is."""
+    bad = judge(docs, labels).where("not keep").select("doc_id", F.xxhash64("digest", "lang").alias("digest")).distinct()
+    return without(docs, cut(bad, "rejected"), by_lang=True)

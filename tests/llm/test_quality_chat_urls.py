@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,34 +11,26 @@ from tessera.llm import chat, quality, queries, urls
 M = quality.MARK
 
 
-def brute(texts, order, word):
-    """log probability of a word's letters by interpolated modified Kneser-Ney, counted plainly."""
-    grams = [collections.Counter() for _ in range(order + 1)]
-    for t in texts:
-        for w in t.split():
-            p = M + w + M
-            for e in range(2, len(p) + 1):
-                g = p[max(0, e - order) : e]
-                grams[len(g)][g] += 1
+def windows(text, order):
+    letters = M * (order - 1) + " ".join(text.split()) + " "
+    return [letters[e - order : e] for e in range(order, len(letters) + 1)] if text.split() else []
+
+
+def brute(texts, order, text):
+    """log probability of a text's letters by interpolated modified Kneser-Ney, counted plainly."""
     count = [collections.Counter() for _ in range(order + 1)]
-    count[order] = collections.Counter({g: c for g, c in grams[order].items()})
+    count[order] = collections.Counter(g for t in texts for g in windows(t, order))
     for k in range(order - 1, 0, -1):
         for g in count[k + 1]:
             count[k][g[1:]] += 1
-        for g, c in grams[k].items():
-            if g.startswith(M):
-                count[k][g] += c
-    rate = []
-    for k in range(order + 1):
+    rate = [[]]
+    for k in range(1, order + 1):
         n = [sum(c == i for c in count[k].values()) for i in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        rate.append([0] + [max(0.01, min(i - 0.01, i - (i + 1) * y * n[i + 1] / n[i] if n[1] and n[i] else 0.5 * i)) if i < 4 else 0 for i in range(1, 4)] if k else [])
-        if k:
-            n5 = n
-            rate[k] = [0]
-            for i in (1, 2, 3):
-                nn = n5[i + 1] if i + 1 < 5 else 0
-                rate[k].append(max(0.01, min(i - 0.01, i - (i + 1) * y * nn / n5[i] if n5[1] and n5[i] else 0.5 * i)))
+        rate.append([0, *(max(0.01, min(i - 0.01, i - (i + 1) * y * n[i + 1] / n[i] if n[1] and n[i] else 0.5 * i)) for i in (1, 2, 3) if i < 4)])
+        for i in (1, 2, 3):
+            above = n[i + 1] if i + 1 < 5 else 0
+            rate[k][i] = max(0.01, min(i - 0.01, i - (i + 1) * y * above / n[i] if n[1] and n[i] else 0.5 * i))
     letters = len(count[1]) + 1
 
     def p(g):
@@ -50,27 +43,57 @@ def brute(texts, order, word):
         c = count[k].get(g, 0)
         return (c - rate[k][min(3, c)] if c else 0) / total + left / total * below
 
-    w = M + word + M
-    return sum(math.log(p(w[max(0, e - order) : e])) for e in range(2, len(w) + 1))
+    return sum(math.log(p(g)) for g in windows(text, order))
 
 
-@pytest.mark.parametrize("rows", [10**6, 40])
-def test_kneser_ney_by_brute_force(spark, rows):
+@pytest.mark.parametrize("most, held", [(10**6, 10**6), (40, 30), (0, 10**6)])
+def test_kneser_ney_by_brute_force(spark, monkeypatch, most, held):
+    monkeypatch.setattr(quality, "HELD_GRAMS", held)
     texts = ["the cat sat on the mat", "a dog sat in the sun and the cat ran", "on and on the dog ran"]
-    model = quality.train(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"))
-    asked = ["the", "catnip", "zebra", "o", "sat dogs"]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)] + [(9, "x", "xx"), (8, None, "en")], "doc_id long, text string, lang string").coalesce(2)
-    got = {r.doc_id: r for r in quality.score(docs, model, shard_rows=rows).collect()}
+    asked = ["the", "catnip  on", "zebra", "o", "sat\tdogs dogs", "on the mat the", None, "", "\u65e5\U0001f600 \u0002\0x", "the " * 30]
+    rows = [(None, t, "en", True) for t in texts] + [(i, t, "en", False) for i, t in enumerate(asked)] + [(99, "x y", "xx", False), (99, "z", None, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, counted boolean").coalesce(2)
+    grams = quality.count_grams(docs)
+    plain = collections.Counter(g for _, t, lang, _ in rows if lang == "en" for g in windows((t or "").replace(M, "\ufffd").replace("\0", "\ufffd"), quality.ORDER))
+    assert {r.gram: r.n for r in grams.where("lang = 'en'").collect()} == plain
+    resolved = quality.resolve(grams, quality.train(grams))
+    got = {r.doc_id: r for r in quality.score(docs.where("not counted"), resolved, most=most).collect()}
     for i, t in enumerate(asked):
-        assert got[i].logp == pytest.approx(sum(brute(texts, quality.ORDER, w) for w in t.split()), rel=1e-9)
+        t = (t or "").replace(M, "\ufffd").replace("\0", "\ufffd")
+        assert got[i].logp == pytest.approx(brute(texts, quality.ORDER, t), rel=1e-9)
         assert got[i].letters == sum(len(w) + 1 for w in t.split())
-    assert got[9].logp is None and got[8].letters == 0
+    assert got[99].logp is None and got[7].letters == 0 and got[7].variety is None and got[9].variety == pytest.approx(1 / 29)
+
+
+def test_chunks_of_a_long_text_do_not_change_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([("one two three four " * 40, "en", True)], "text string, lang string, counted boolean")
+    want = {(r.gram, r.n) for r in quality.count_grams(docs).collect()}
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert {(r.gram, r.n) for r in quality.count_grams(docs).collect()} == want
 
 
-def test_quality_keeps_good_and_rejects_junk(spark):
-    rows = queries.op1_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+def test_hash_table_finds_what_it_holds():
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate((rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.arange(64, dtype=np.uint64) << np.uint64(20))))
+    table = quality.Table(keys, keys.astype(np.float64))
+    value, there = table.find(np.concatenate((keys, keys + np.uint64(1))))
+    assert there[: len(keys)].all() and (value[: len(keys)] == keys.astype(np.float64)).all()
+    assert there[len(keys) :].tolist() == np.isin(keys + np.uint64(1), keys).tolist()
+
+
+def test_quality_by_labels_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     good, bad = [r.keep for r in rows if r.quality == 1], [r.keep for r in rows if r.quality == 0]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_rejected_rows_go_by_text_and_other_columns_stay(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran", "en", "a", 1) for i in range(40)] + [(i, "QX!! ZZ!! VJ!! KW!!", "en", "b", 2) for i in range(30, 50)] + [(None, "the cat", "en", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, digest string, perplexity int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(25)] + [(i, 0, 1) for i in range(40, 50)] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
+    left = quality.keep_good(docs, labels)
+    assert left.columns == docs.columns and sorted(left.collect(), key=str) == sorted(docs.where("digest != 'b'").collect(), key=str)
 
 
 def test_quality_without_labels_or_rows(spark):

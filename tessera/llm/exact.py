@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.rows import digest, free_name, only, without
 from tessera.storage import cut, small_side
 
 #: Characters of a text that its prefix hash covers.
@@ -19,29 +20,36 @@ def _with_keys(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "norm", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("head"))
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """Groups of two rows or more with equal text: (len, head, sha, keep_id, keep_rows, group_size).
+def _members(docs: DataFrame) -> DataFrame:
+    """(len, head, sha, doc_id, digest, n): the rows of equal length and prefix hash as others, summed by doc_id and text.
 
     Each level groups only what the level before left with company: rows of equal length, then of equal
     prefix hash. Only these get the hash of their whole text. Whole texts are never shuffled: the
     surviving keys are broadcast to the scan while their counted size is below a limit; beyond it the scan
     hashes every text and the narrow rows are joined by shuffle. Counts are summed per doc_id and text
     before they meet in a group, so that a group with a third of all rows is spread over the tasks.
-
-    A null text counts as empty. keep_id is the smallest doc_id; null ids come last. keep_rows counts the
-    rows that share keep_id and text (over one only if rows are repeated).
     """
-    narrow = cut(_with_keys(docs).select("doc_id", "len", "head"), "lengths")
-    lengths = narrow.groupBy("len").count().where("count > 1").select("len")
-    heads = narrow.join(lengths, "len").groupBy("len", "head").count().where("count > 1").select("len", "head")
+    narrow = cut(_with_keys(docs).select("len", "head"), "lengths")
+    lengths = cut(narrow.groupBy("len").count().where("count > 1").select("len"), "repeated")
+    heads = narrow.join(small_side(lengths, 16), "len").groupBy("len", "head").count().where("count > 1").select("len", "head")
     heads = cut(heads, "heads")
-    full = _with_keys(docs).join(small_side(heads, 24), ["len", "head"])
+    rows = docs.select("doc_id", digest("text").alias("digest"), normal_text(F.col("text")).alias("norm"))
+    rows = rows.withColumns({"len": F.length("norm"), "head": F.xxhash64(F.substring("norm", 1, PREFIX))})
     # Beyond the broadcast limit the join shuffles: hash first then, so that it moves no texts.
     if heads.count() * 24 > 32 << 20:
-        full = _with_keys(docs).withColumn("sha", F.sha2("norm", 256)).drop("norm").join(heads, ["len", "head"])
+        full = rows.withColumn("sha", F.sha2("norm", 256)).drop("norm").join(heads, ["len", "head"])
     else:
-        full = full.withColumn("sha", F.sha2("norm", 256))
-    ids = full.groupBy("len", "head", "sha", "doc_id").agg(F.count("*").alias("n"))
+        full = rows.join(F.broadcast(heads), ["len", "head"]).withColumn("sha", F.sha2("norm", 256))
+    return cut(full.groupBy("len", "head", "sha", "doc_id", "digest").agg(F.count("*").alias("n")), "members")
+
+
+def duplicate_groups(docs: DataFrame) -> DataFrame:
+    """Groups of two rows or more with equal text: (len, head, sha, keep_id, keep_rows, group_size).
+
+    A null text counts as empty. keep_id is the smallest doc_id; null ids come last. keep_rows counts the
+    rows that share keep_id and text (over one only if rows are repeated).
+    """
+    ids = _members(docs).groupBy("len", "head", "sha", "doc_id").agg(F.sum("n").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("first")
     groups = ids.groupBy("len", "head", "sha").agg(first, F.sum("n").alias("group_size")).where("group_size > 1")
     return cut(groups.select("len", "head", "sha", F.col("first.doc_id").alias("keep_id"), F.col("first.n").alias("keep_rows"), "group_size"), "groups")
@@ -50,7 +58,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 def exact_report(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of rows that repeat both the kept doc_id and its text, one is kept.
+    Of rows that repeat both the kept doc_id and its text, one is kept. Other columns of docs are left out.
     """
     groups = duplicate_groups(docs)
     rows = _with_keys(docs).select("doc_id", "len", "head", F.sha2("norm", 256).alias("sha"))
@@ -72,17 +80,22 @@ def exact_report(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier doc_id has; every column stays as it is."""
-    groups = duplicate_groups(docs)
-    sha = F.sha2(normal_text(docs["text"]), 256)
-    shas = cut(docs.select("doc_id", sha.alias("_sha")).join(groups.select(F.col("sha").alias("_sha"), "keep_id", "keep_rows"), "_sha"), "copies")
-    out_of = shas.where("not doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), "_sha").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    kept = docs.join(small_side(out_of, 80), same, "left_anti")
-    again = shas.where("doc_id <=> keep_id and keep_rows > 1").select(F.col("doc_id").alias("_id"), "_sha").distinct()
+    """docs with one row of those that have equal text: the one with the smallest doc_id. Every column stays as it is.
+
+    A null text counts as empty. Of rows that share this doc_id too, one with the least digest stays; of rows that
+    repeat doc_id and text, the first in the order of all columns. Null ids come last. An empty table gives none.
+    """
+    members = _members(docs)
+    key = ["len", "head", "sha"]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("first")
+    groups = cut(members.groupBy(key).agg(first, F.sum("n").alias("size")).where("size > 1").drop("size"), "groups")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    kept = without(docs, cut(members.join(small_side(groups, 120), key).where(other).select("doc_id", "digest"), "copies"))
+    again = cut(groups.where("first.n > 1").select("first.doc_id", "first.digest"), "repeats")
     if again.isEmpty():
         return kept
-    repeats = docs.join(small_side(again, 80), same, "left_semi")
-    pick = Window.partitionBy("doc_id", normal_text(F.col("text"))).orderBy(*docs.columns)
-    one = repeats.withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n")
-    return kept.join(small_side(again, 80), same, "left_anti").union(one)
+    name = free_name(docs.columns, "nth")
+    repeats = only(docs, again)
+    pick = Window.partitionBy("doc_id", digest("text")).orderBy(*docs.columns)
+    one = repeats.withColumn(name, F.row_number().over(pick)).where(F.col(name) == 1).drop(name)
+    return without(kept, again).union(one)

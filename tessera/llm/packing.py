@@ -83,17 +83,18 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0) -> Dat
     return based.select("doc_id", "at", "base", "n", "ids").mapInArrow(run, schema)
 
 
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """pieces with ids_crc32, over the ids as little-endian 32 bits, in place of the ids."""
+def with_crc(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """pieces with ids_crc32, over the ids as little-endian 32 bits, in place of the ids or beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crcs = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype="<u2").astype("<u4")) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names[:-1]), pa.array(crcs, pa.int64())], [*b.schema.names[:-1], "ids_crc32"])
+            kept = b.schema.names if keep_ids else b.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(crcs, pa.int64())], [*kept, "ids_crc32"])
 
     rest = [c for c in pieces.columns if c != "ids"]
     rows = pieces.select(*rest, "ids")
-    return rows.mapInArrow(run, rows.select(*rest, F.lit(0).cast("long").alias("ids_crc32")).schema)
+    return rows.mapInArrow(run, rows.select(*rest, *["ids"] * keep_ids, F.lit(0).cast("long").alias("ids_crc32")).schema)
 
 
 def sequences(pieces: DataFrame, length: int = 1024, pad_id: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.rows import digest, free_name
 from tessera.storage import cut, small_side
 
 #: Words of a seed; of so many seeds in a row at least one is kept, chosen by its hash alone. Where one word in eight
@@ -20,8 +21,11 @@ LONG_SEED, LONG_WINDOW = 8, 16
 HOLE, APART = 16, 8
 #: Words of a passage, of a fragment of one, and the share of its words that must match.
 MIN_WORDS, MIN_FRAGMENT, MIN_IDENTITY = 50, 20, 0.8
-#: Words without a seed inside a run of one diagonal; cost of a gap's word on either side; words around a chain to extend it.
+#: Words without a seed inside a run of one diagonal, and of the longest gap that is aligned word by word; cost of a gap's
+#: word on either side; words around a chain to extend it. Any alike run of 8 words further out holds a seed of its own.
 MAX_GAP, GAP_COST, MARGIN = 48, 0.2, 48
+#: The most seeds whose first occurrence is broadcast (32 bytes each): those that make up more than one in so many of all.
+HOT_SEEDS = 20_000
 #: Bytes hashed together.
 CHUNK = 1_000_000
 
@@ -82,8 +86,30 @@ def pick_seeds(hashes: np.ndarray, counts: np.ndarray, size: int = SEED, window:
     return text[kept], place[kept], h[kept]
 
 
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None, bool]:
+    """docs with a key (long) for each document, the keys that aren't doc_ids, and whether rows repeat doc_id and text.
+
+    The key is the doc_id. Where a doc_id has several texts, all but the one with the least digest get a hash of both
+    instead: (key, doc_id). Rows without id or text have no key.
+    """
+    there = docs["doc_id"].isNotNull() & docs["text"].isNotNull()
+    ids = docs.where(there).select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"))
+    counts = ids.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most")).where("n > 1")
+    counts = cut(counts, "repeats")
+    plain = F.when(there, docs["doc_id"].cast("long"))
+    if counts.isEmpty():
+        return docs.withColumn(name, plain), None, False
+    side = free_name(docs.columns, "least")
+    least = counts.where("least != most").select(F.struct(F.col("doc_id").alias("id")).alias(f"{side}id"), F.col("least").alias(side))
+    own = docs.join(small_side(least, 24), F.struct(plain.alias("id")) == F.col(f"{side}id"), "left")
+    odd = F.col(side).isNotNull() & (digest(docs["text"]) != F.col(side))
+    own = own.withColumn(name, F.when(odd & there, F.xxhash64(docs["doc_id"], digest(docs["text"]))).otherwise(plain))
+    odd_keys = own.where(odd & there).select(F.col(name).alias("key"), docs["doc_id"].cast("long").alias("doc_id")).distinct()
+    return own.drop(side, f"{side}id"), cut(odd_keys, "keys"), True
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, seed) of every document with an id: kept word k-mers and their word positions."""
+    """docs(doc_id, text): (doc_id, pos, seed), kept word k-mers of every row and their word positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,8 +126,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "seed"])
                 at = stop
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, pos int, seed long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, seed long")
 
 
 class MaxTree:
@@ -124,14 +149,35 @@ class MaxTree:
         return out
 
 
+def link_runs(runs: list[tuple[int, int, int, int]]) -> tuple[list[float], list[int]]:
+    """The best score of a chain that ends with each run (x, x end, y, y end; sorted), and the run before it there, or -1.
+
+    A run scores its words plus the best chain that ends before it in both documents, less GAP_COST for each word
+    between them in either, if that is a gain. A Fenwick tree over the ends in y gives that chain.
+    """
+    stops = np.array(sorted({r[3] for r in runs}))
+    place = {s: i for i, s in enumerate(stops.tolist())}
+    tree, score, before = MaxTree(len(stops)), [0.0] * len(runs), [-1] * len(runs)
+    by_end, done = sorted(range(len(runs)), key=lambda i: runs[i][1]), 0
+    for i, (xs, xe, ys, _) in enumerate(runs):
+        while done < len(by_end) and runs[by_end[done]][1] <= xs:
+            j = by_end[done]
+            tree.put(place[runs[j][3]], (score[j] + GAP_COST * (runs[j][1] + runs[j][3]), j))
+            done += 1
+        best, j = tree.best(int(np.searchsorted(stops, ys, side="right")))
+        gain = best - GAP_COST * (xs + ys) if j >= 0 else 0.0
+        score[i] = xe - xs + max(0.0, gain)
+        before[i] = j if gain > 0 else -1
+    return score, before
+
+
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
     """Chains of the matches (x, y) of two documents, each a list of runs (x, x end, y, y end) in order.
 
-    Matches on one diagonal join into runs. A run's best score is its words plus the best earlier chain that ends
-    before it in both documents, less GAP_COST for each word between them; a Fenwick tree over the ends in y
-    gives that chain; over a gap of more than MAX_GAP words a new one begins. Chains are taken from the highest
-    score down and share no runs. One that lies in words already covered, as repeated words give many, is left out;
-    words of a gap between seeds of more than HOLE words aren't covered.
+    Matches on one diagonal join into runs, and runs into chains by link_runs(), over gaps of any length that their
+    cost allows: alignment cuts them again. Chains are taken from the highest score down and share no runs. One that
+    lies in words already covered, as repeated words give many, is left out; words of a gap between seeds of more
+    than HOLE words aren't covered.
     """
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
@@ -145,23 +191,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
     ends = x + SEED
     close = np.flatnonzero(~new[1:] & (np.diff(x) <= HOLE))
     ends[close] = np.maximum(ends[close], x[close + 1])
-    stops = sorted({r[3] for r in runs})
-    tree, score, before = MaxTree(len(stops)), [0.0] * len(runs), [-1] * len(runs)
-    place = {s: i for i, s in enumerate(stops)}
-    by_end, done = sorted(range(len(runs)), key=lambda i: runs[i][1]), 0
-    sorted_stops = np.array(stops)
-    for i, (xs, xe, ys, _) in enumerate(runs):
-        while done < len(by_end) and runs[by_end[done]][1] <= xs:
-            j = by_end[done]
-            tree.put(place[runs[j][3]], (score[j] + GAP_COST * (runs[j][1] + runs[j][3]), j))
-            done += 1
-        best, j = tree.best(int(np.searchsorted(sorted_stops, ys, side="right")))
-        gain = best - GAP_COST * (xs + ys)
-        score[i] = xe - xs + max(0.0, gain)
-        near = gain > 0 and max(xs - runs[j][1], ys - runs[j][3]) <= MAX_GAP
-        before[i] = j if near else -1
-        if not near:
-            score[i] = float(xe - xs)
+    score, before = link_runs(runs)
     out, used = [], [False] * len(runs)
     covered = np.zeros(max(r[1] for r in runs) - base, dtype=bool)
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
@@ -277,6 +307,18 @@ def _cut_stretches(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s[0], s[1]) for s in found]
 
 
+def _bridge(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of matching words in the gap between two runs; in a long one only near its ends."""
+    if len(a) == len(b):
+        return [(i, i) for i, same in enumerate(map(str.__eq__, a, b)) if same]
+    if max(len(a), len(b)) <= MAX_GAP:
+        return _common(a, b)
+    left = _extend(a, b)
+    right = min(_extend(a[::-1], b[::-1]), min(len(a), len(b)) - left)
+    ends = [*((i, i) for i in range(left)), *((len(a) - i, len(b) - i) for i in range(right, 0, -1))]
+    return [(i, j) for i, j in ends if a[i] == b[j]]
+
+
 def align(a: list[str], b: list[str], runs: list[int]) -> list[tuple[int, int, int, int, int]]:
     """Passages around a chain's runs, its best-scoring stretches: their ends in word lists a and b, and the words that match."""
     parts = [runs[i : i + 4] for i in range(0, len(runs), 4)]
@@ -285,10 +327,7 @@ def align(a: list[str], b: list[str], runs: list[int]) -> list[tuple[int, int, i
     x, y = parts[0][0] - left, parts[0][2] - left
     pairs: list[tuple[int, int]] = []
     for xs, xe, ys, ye in [*parts, [parts[-1][1] + right] * 2 + [parts[-1][3] + right] * 2]:
-        if xs - x == ys - y:
-            pairs += [(x + i, y + i) for i, same in enumerate(map(str.__eq__, a[x:xs], b[y:ys])) if same]
-        else:
-            pairs += [(x + i, y + j) for i, j in _common(a[x:xs], b[y:ys])]
+        pairs += [(x + i, y + j) for i, j in _bridge(a[x:xs], b[y:ys])]
         pairs += [(xs + i, ys + i) for i, same in enumerate(map(str.__eq__, a[xs:xe], b[ys:ye])) if same]
         x, y = xe, ye
     ends = [(pairs[i], pairs[j], j - i + 1) for i, j in _cut_stretches(pairs)]
@@ -300,10 +339,12 @@ def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(lowered, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
 
 
-def _aligned(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found as by _chained(): (doc_id, start, stop, rep_id, rep_start, rep_stop, matched)."""
+def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """found as by _chained(): (doc_id, start, stop, rep_id, rep_start, rep_stop, matched); docs(doc_id, text) may repeat rows."""
     ids = found.select("doc_id").union(found.select("rep_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(cut(ids, "ids"), 16), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(small_side(cut(ids, "ids"), 16), "doc_id")
+    if repeated:
+        texts = texts.dropDuplicates(["doc_id"])
     texts = texts.select("doc_id", _words(F.col("text")).alias("words"))
     low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
     spans = found.withColumns({"a0": low("xs"), "b0": low("ys")})
@@ -326,24 +367,27 @@ def _aligned(found: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start int, stop int, rep_id long, rep_start int, rep_stop int, matched int")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages that an earlier document has, too: (doc_id, start, stop, rep_id, rep_start, rep_stop, matched, identity).
+def _matches(kept: DataFrame) -> DataFrame:
+    """kept(doc_id, pos, seed): each seed with its first occurrence, where that is in another document.
 
-    Positions count words, stop exclusive. Each seed's class is represented by its first occurrence (smallest
-    doc_id and position); every other occurrence is matched with that one only, so a passage in a third of all
-    documents gives one match for each of its seeds and documents, and no pairs among them. The matches of two
-    documents are chained, aligned and cut into stretches; those of MIN_FRAGMENT words and MIN_IDENTITY count if they and
-    their neighbours in the document, whichever document these come from, make up MIN_WORDS without a gap of more
-    than APART words. Documents with null id or text have no passages; rows that repeat a doc_id with another text
-    are searched but aligned by the smallest text.
+    The first occurrences of frequent seeds, HOT_SEEDS at most by their definition, are broadcast, so that no task
+    gathers a frequent seed's rows; the others meet by shuffle.
     """
-    kept = cut(seeds(docs), "seeds")
-    first = kept.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
-    first = first.select("seed", F.col("first.doc_id").alias("rep_id"), F.col("first.pos").alias("rep_pos"))
-    matches = kept.join(first, "seed").where("doc_id != rep_id").select("doc_id", "rep_id", F.struct("pos", "rep_pos").alias("m"))
+    often = kept.count() // HOT_SEEDS
+    first = kept.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("last > first.doc_id")
+    first = cut(first.select("seed", F.col("first.doc_id").alias("rep_id"), F.col("first.pos").alias("rep_pos"), "n"), "first")
+    hot = F.broadcast(first.where(F.col("n") > often).drop("n"))
+    rest = kept.join(hot.select("seed"), "seed", "left_anti").join(first.where(F.col("n") <= often).drop("n"), "seed")
+    met = kept.join(hot, "seed").unionByName(rest)
+    return met.where("doc_id != rep_id").select("doc_id", "rep_id", F.struct("pos", "rep_pos").alias("m"))
+
+
+def _fragments(texts: DataFrame, repeated: bool) -> DataFrame:
+    """texts(doc_id, text), doc_id a key of the text: what repeated_passages() returns."""
+    matches = _matches(cut(seeds(texts), "seeds"))
     pairs = matches.groupBy("doc_id", "rep_id").agg(F.collect_list("m").alias("seeds"))
     found = cut(_chained(pairs), "chains")
-    aligned = _aligned(found, docs)
+    aligned = _aligned(found, texts, repeated)
     size = F.greatest(F.col("stop") - F.col("start"), F.col("rep_stop") - F.col("rep_start"))
     good = aligned.withColumn("identity", F.round(F.col("matched") / size, 4)).where((F.col("stop") - F.col("start") >= MIN_FRAGMENT) & (F.col("identity") >= MIN_IDENTITY))
     good = cut(good.distinct(), "fragments")
@@ -356,6 +400,31 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return long.select("doc_id", "start", "stop", "rep_id", "rep_start", "rep_stop", "matched", "identity")
 
 
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Passages that an earlier document has, too: (doc_id, start, stop, rep_id, rep_start, rep_stop, matched, identity).
+
+    Positions count words, stop exclusive. Each seed's class is represented by its first occurrence (smallest
+    doc_id and position); every other occurrence is matched with that one only, so a passage in a third of all
+    documents gives one match for each of its seeds and documents, and no pairs among them; a passage that only one
+    document repeats isn't found. The matches of two documents are chained, aligned and cut into stretches; those of
+    MIN_FRAGMENT words and MIN_IDENTITY count if they and their neighbours in the document, whichever document these
+    come from, make up MIN_WORDS without a gap of more than APART words.
+
+    Documents with null id or text have no passages. Texts that share a doc_id are documents of their own, with
+    positions in their own words; rows that repeat both count once. Columns beside doc_id and text are left out,
+    whatever their names. An empty table gives none. A text's words are held together, so memory is bounded by the longest.
+    """
+    name = free_name(docs.columns, "key")
+    own, odd, repeated = keyed(docs, name)
+    found = _fragments(own.where(F.col(name).isNotNull()).select(F.col(name).alias("doc_id"), "text"), repeated)
+    if odd is None:
+        return found
+    for c in ("doc_id", "rep_id"):
+        names = odd.select(F.col("key").alias(c), F.col("doc_id").alias("known"))
+        found = found.join(small_side(names, 16), c, "left").withColumn(c, F.coalesce("known", c)).drop("known")
+    return found.select("doc_id", "start", "stop", "rep_id", "rep_start", "rep_stop", "matched", "identity")
+
+
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without words of the given ranges, and without the white space behind them."""
     words = [m.span() for m in _WORD.finditer(text)]
@@ -372,26 +441,30 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, n_chars, ...) with repeated passages cut from all but the first document that has them.
 
-    n_chars is set anew where a text changed. A document of which no word is left goes. Other columns stay.
+    n_chars is set anew where a text changed. A document of which no word is left goes. Other columns stay, whatever
+    their names. Rows and texts count as in repeated_passages(): each text loses its own passages only.
     """
-    spans = cut(repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")), "spans")
-    held = docs.join(small_side(spans, 64), "doc_id", "left")
-    at = [c for c in held.columns if c != "_spans"].index("text")
+    key, spans_name = (free_name(docs.columns, name) for name in ("key", "spans"))
+    own, _, repeated = keyed(docs, key)
+    found = _fragments(own.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text"), repeated)
+    spans = cut(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "stop")).alias(spans_name)), "spans")
+    held = own.join(small_side(spans, 64), key, "left").drop(key)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("_spans")
+            lists = b.column(b.num_columns - 1)
             if lists.null_count == b.num_rows:
                 yield b.select(b.schema.names[:-1])
                 continue
             texts = []
-            for text, own in zip(b.column(at).cast(pa.large_binary()).to_pylist(), lists.to_pylist(), strict=True):
-                texts.append(_without(text, [(s["start"], s["stop"]) for s in own]).decode() if own and text is not None else None if text is None else text.decode())
+            for text, cuts in zip(b.column(at).cast(pa.large_binary()).to_pylist(), lists.to_pylist(), strict=True):
+                texts.append(_without(text, [(s["start"], s["stop"]) for s in cuts]).decode() if cuts and text is not None else None if text is None else text.decode())
             columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            left = [not own or text is None or _WORD.search(text.encode()) is not None for text, own in zip(texts, lists.to_pylist(), strict=True)]
+            left = [not cuts or text is None or _WORD.search(text.encode()) is not None for text, cuts in zip(texts, lists.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(left))
 
-    out = held.select(*[c for c in held.columns if c != "_spans"], "_spans").mapInArrow(run, held.drop("_spans").schema)
+    out = held.select(*docs.columns, spans_name).mapInArrow(run, docs.schema)
     if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -20,18 +20,25 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame, by_lang: bool = False) -> DataFrame:
-    """docs without the rows whose doc_id (null included) and digest are in gone(doc_id, digest).
-
-    The digest is that of the text, or with by_lang a hash of it and the language (null counts as empty).
-
-    Columns stay as they are, whatever their names. gone is broadcast if its counted rows are few; else rows meet
-    by a shuffle.
-    """
-    name = free_name(docs.columns, "gone")
-    side = gone.select(F.struct(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "digest").alias(name))
+def _met(docs: DataFrame, rows: DataFrame, by_lang: bool, how: str) -> DataFrame:
+    name = free_name(docs.columns, "row")
+    side = rows.select(F.struct(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "digest").alias(name))
     told = digest(docs["text"])
     if by_lang:
         told = F.xxhash64(told, F.coalesce(docs["lang"], F.lit("")))
     own = F.struct(docs["doc_id"], told.alias("digest"))
-    return docs.join(small_side(side, 32), own == F.col(name), "left_anti")
+    return docs.join(small_side(side, 32), own == F.col(name), how)
+
+
+def without(docs: DataFrame, gone: DataFrame, by_lang: bool = False) -> DataFrame:
+    """docs without the rows whose doc_id (null included) and digest are in gone(doc_id, digest).
+
+    The digest is that of the text, or with by_lang a hash of it and the language (null counts as empty). Columns stay
+    as they are, whatever their names. gone is broadcast if its counted rows are few; else rows meet by a shuffle.
+    """
+    return _met(docs, gone, by_lang, "left_anti")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The other rows, as by without()."""
+    return _met(docs, kept, False, "left_semi")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.llm.rows import digest, without
 from tessera.operators.components import connected_components
 from tessera.storage import cut, small_side
 
@@ -248,10 +249,10 @@ def _wide_fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, fp, sig, mins) of every document that has an id and words, over its distinct word shingles.
+    """(doc_id, digest, fp, sig, mins) of every row that has an id and words, over its distinct word shingles.
 
-    fp is a SimHash of WIDE longs, sig a hash of all shingles. mins are the least shingle hashes under KEYS x LEVELS hash functions; two
-    documents agree in each with a probability of their Jaccard similarity.
+    digest tells texts of one doc_id apart. fp is a SimHash of WIDE longs, sig a hash of all shingles. mins are the least
+    shingle hashes under KEYS x LEVELS hash functions; two documents agree in each with a probability of their Jaccard similarity.
     """
     seeds = _mixed(np.arange(1, KEYS * LEVELS + 1, dtype=np.uint64))
 
@@ -261,28 +262,30 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fps, sigs, mins = [], [], [], []
-            for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+            at, fps, sigs, mins = [], [], [], []
+            for row, text in enumerate(b.column("text").cast(pa.large_binary())):
                 parts = [*_shingle_hashes(text.as_py(), words)]
                 if parts:
                     h = np.unique(np.concatenate(parts))
-                    ids.append(name)
+                    at.append(row)
                     fps.append(_wide_fingerprint(h))
                     sigs.append(xxhash.xxh64_intdigest(h.tobytes()))
                     mins.append(np.array([_mixed(h ^ s).min() for s in seeds], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(fps, WIDE), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), lists(mins, KEYS * LEVELS)], ["doc_id", "fp", "sig", "mins"])
+            own = [b.column(c).take(pa.array(at, pa.int32())) for c in ("doc_id", "digest")]
+            yield pa.RecordBatch.from_arrays([*own, lists(fps, WIDE), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), lists(mins, KEYS * LEVELS)], ["doc_id", "digest", "fp", "sig", "mins"])
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp array<long>, sig long, mins array<long>")
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest long, fp array<long>, sig long, mins array<long>")
 
 
-def similar_links(links: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Those of links(src, dst) between doc_ids whose sets of word shingles have a Jaccard similarity of SIMILAR or more.
+def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Those of links(src, dst) between classes(id, doc_id, digest) whose sets of word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Each document's set is made once; a doc_id with several texts is similar if one of them is.
+    A class has one text of docs, named by doc_id and digest; its set is made once.
     """
     pairs = cut(links.where("src != dst").select("src", "dst").distinct(), "pairs")
-    ids = cut(pairs.select(F.col("src").alias("doc_id")).union(pairs.select("dst")).distinct(), "ids")
+    ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    asked = cut(classes.select("id", "doc_id", "digest").join(ids, "id"), "ids")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,11 +294,12 @@ def similar_links(links: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *_shingle_hashes(t.as_py(), words)])).view(np.int64) for t in part.column("text").cast(pa.large_binary())]
                 borders = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 flat = pa.array(np.concatenate(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(borders), flat)], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(borders), flat)], ["id", "shingles"])
 
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(texts.join(small_side(ids, 16), "doc_id").mapInArrow(shingle, "doc_id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("b")), "dst")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
+    met = texts.join(small_side(asked, 32), ["doc_id", "digest"]).select("id", "text")
+    sets = cut(met.mapInArrow(shingle, "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -422,15 +426,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = NEAR_BITS, limit: int = GROUP_LIMIT) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest doc_id. All columns stay.
+    """docs with one document of each near-duplicate group: the one with the smallest doc_id. All columns stay, whatever their names.
 
     Near means a Jaccard similarity of SIMILAR or more of the distinct word shingles, compared exactly where the
-    fingerprints of 1024 bits differ in max_bits or less. Rows without a doc_id can't be told apart and stay. Documents without words aren't near
-    copies of anything and stay, too. Rows that share a doc_id count as one document.
+    fingerprints of 1024 bits differ in max_bits or less (and in FIRST_BITS or less of their first 64). Documents are told
+    apart by doc_id and text, so texts that share a doc_id are compared like any others (of equal ones the least
+    digest stays), and rows that repeat both stay or go together. Rows without a doc_id or words stay.
+    An empty table gives none. A text's shingle hashes are held together, so memory is bounded by the longest text.
     """
     marked = cut(wide_fingerprints(docs, words), "fingerprints")
-    classes = cut(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins")), "classes")
-    roots = connected_components(near_links(classes, lambda links: similar_links(links, docs, words), max_bits, limit))
-    copies = marked.join(classes.select("fp", "sig", "id"), ["fp", "sig"]).where("doc_id != id").select("doc_id")
-    out_of = cut(copies.union(roots.where("node != component").select(F.col("node").alias("doc_id"))).distinct(), "copies")
-    return docs.join(small_side(out_of, 16), "doc_id", "left_anti").select(docs.columns)
+    rep = F.min(F.struct("doc_id", "digest")).alias("rep")
+    classes = marked.groupBy("sig").agg(rep, F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.count("*").alias("rows"))
+    classes = cut(classes.select(F.col("sig").alias("id"), "rep.doc_id", "rep.digest", "fp", "mins", "rows"), "classes")
+    roots = connected_components(near_links(classes.select("id", "fp", "mins"), lambda links: similar_links(links, classes, docs, words), max_bits, limit))
+    named = classes.select("id", "doc_id", "digest", "rows").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+    named = cut(named, "roots")
+    kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
+    company = cut(named.select("id", "root").join(small_side(cut(kept, "kept"), 40), "root").select("id", "kept"), "company")
+    rows = marked.select("doc_id", "digest", F.col("sig").alias("id")).join(small_side(company, 40), "id")
+    gone = rows.where("doc_id != kept.doc_id or digest != kept.digest").select("doc_id", "digest").distinct()
+    return without(docs, cut(gone, "copies"))

@@ -231,11 +231,67 @@ def test_stretches_by_brute_force():
 
 def test_chains_by_brute_force():
     rng = np.random.default_rng(6)
-    for _ in range(50):
-        x = np.sort(rng.choice(400, 12, replace=False))
-        y = rng.permutation(x + rng.integers(0, 3))
-        best = max(passages.chains(x, y), key=lambda c: sum(r[1] - r[0] for r in c))
-        assert all(a[1] <= b[0] and a[3] <= b[2] for a, b in zip(best, best[1:], strict=False))
+    linked = 0
+    for n in range(300):
+        if n % 2:
+            x, y = rng.integers(0, 300, 14), rng.integers(0, 300, 14)
+        else:  # mostly in order, with gaps short and long
+            x = np.cumsum(rng.integers(1, 90, 14))
+            y = np.cumsum(rng.integers(1, 90, 14))
+        sizes = rng.integers(5, 90, 14)
+        runs = sorted(zip(x.tolist(), (x + sizes).tolist(), y.tolist(), (y + sizes).tolist(), strict=True))
+        score, before = passages.link_runs(runs)
+        best = []
+        for xs, xe, ys, _ in runs:  # every earlier chain, asked one by one
+            gains = [best[j] - passages.GAP_COST * (xs - r[1] + ys - r[3]) for j, r in enumerate(runs[: len(best)]) if r[1] <= xs and r[3] <= ys]
+            best.append(xe - xs + max([0.0, *gains]))
+        assert score == pytest.approx(best)
+        for i, j in enumerate(before):
+            if j >= 0:
+                linked += 1
+                gap = passages.GAP_COST * (runs[i][0] - runs[j][1] + runs[i][2] - runs[j][3])
+                assert runs[j][1] <= runs[i][0] and runs[j][3] <= runs[i][2] and score[i] == pytest.approx(runs[i][1] - runs[i][0] + score[j] - gap)
+    assert linked > 300
+
+
+def test_a_near_run_is_chained_though_a_long_one_lies_further_back():
+    x = np.concatenate((np.arange(0, 60), [100, 101], [110, 111]))
+    y = np.concatenate((np.arange(0, 60), [102, 103], [113, 114]))
+    assert [r[0] for r in passages.chains(x, y)[-1]][-2:] == [100, 110]
+
+
+def shared_docs(rng):
+    """Documents of a repeated doc_id with unrelated texts, among copies and shared passages."""
+    base, passage, near = words(rng, 300), words(rng, 80), words(rng, 200)
+    other = [*near[:150], "changed", *near[151:]]
+    return {
+        "a": (1, base), "a2": (2, base), "lone": (2, words(rng, 250)), "near": (3, near), "near2": (4, other),
+        "lone4": (4, words(rng, 220)), "first": (5, words(rng, 40) + passage + words(rng, 40)), "second": (6, passage + words(rng, 90)),
+        "lone6": (6, words(rng, 260)), "again": (7, words(rng, 30) + passage),
+    }
+
+
+def test_a_repeated_doc_id_never_decides_about_another_text(spark):
+    rows = shared_docs(np.random.default_rng(21))
+    names = ["_id", "_sha", "_n", "_spans", "fp", "item", "key", "least", "gone", "row", "digest", "sig", "id", "rep_id", "spans", "nth", "len", "head"]
+    schema = "doc_id long, text string, n_chars int, tag string, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame([(i, " ".join(w), len(" ".join(w)), tag, *range(len(names))) for tag, (i, w) in rows.items()], schema)
+
+    def left(frame):
+        assert frame.columns == docs.columns
+        return {r.tag: r.text.split() for r in frame.collect()}
+
+    whole = {tag: w for tag, (_, w) in rows.items()}
+    assert left(exact.exact_dedup(docs)) == {t: w for t, w in whole.items() if t != "a2"}
+    assert left(simhash.simhash_dedup(docs)) == {t: w for t, w in whole.items() if t not in ("a2", "near2")}
+    cut = left(passages.remove_passages(docs))
+    assert {t: len(w) for t, w in cut.items()} == {t: len(w) for t, w in whole.items() if t not in ("a2", "near2")} | {"second": 90, "again": 30}
+    assert all(cut[t] == whole[t] for t in ("a", "lone", "near", "lone4", "lone6", "first"))
+    found = {(r.doc_id, r.rep_id) for r in passages.repeated_passages(docs).collect()}
+    assert found == {(2, 1), (4, 3), (6, 5), (7, 5)}
+    twice = docs.union(docs)
+    assert sorted(r.tag for r in exact.exact_dedup(twice).collect()) == sorted(t for t in whole if t != "a2")
+    assert {(r.doc_id, r.rep_id) for r in passages.repeated_passages(twice).collect()} == found
 
 
 def test_picked_seeds_do_not_depend_on_neighbours():

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,17 +33,51 @@ def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    for held in _open.__dict__.get("scopes", [])[-1:]:
+        held[path] = spark
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that cut() wrote inside it, but for those handed to the function it yields.
+
+    These must be all that a result made inside still reads. A scope within another hands its kept tables to that.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    held: dict[str, SparkSession] = {}
+    kept: dict[str, SparkSession] = {}
+    scopes.append(held)
+
+    def keep(df: DataFrame) -> DataFrame:
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+        kept.update({path: spark for path, spark in held.items() if path.rsplit("/", 1)[-1] in folders})
+        return df
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for path, spark in held.items():
+            if path not in kept:
+                _delete(spark, path)
+        for outer in scopes[-1:]:
+            outer.update(kept)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table made by cut()."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:

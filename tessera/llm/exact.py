@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.rows import digest, free_name, only, without
-from tessera.storage import cut, small_side
+from tessera.storage import cut, scratch, small_side
 
 #: Characters of a text that its prefix hash covers.
 PREFIX = 256
@@ -85,13 +85,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     A null text counts as empty. Of rows that share this doc_id too, one with the least digest stays; of rows that
     repeat doc_id and text, the first in the order of all columns. Null ids come last. An empty table gives none.
     """
-    members = _members(docs)
     key = ["len", "head", "sha"]
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("first")
-    groups = cut(members.groupBy(key).agg(first, F.sum("n").alias("size")).where("size > 1").drop("size"), "groups")
-    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
-    kept = without(docs, cut(members.join(small_side(groups, 120), key).where(other).select("doc_id", "digest"), "copies"))
-    again = cut(groups.where("first.n > 1").select("first.doc_id", "first.digest"), "repeats")
+    with scratch() as keep:
+        members = _members(docs)
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("first")
+        groups = cut(members.groupBy(key).agg(first, F.sum("n").alias("size")).where("size > 1").drop("size"), "groups")
+        other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+        copies = keep(cut(members.join(small_side(groups, 120), key).where(other).select("doc_id", "digest"), "copies"))
+        again = keep(cut(groups.where("first.n > 1").select("first.doc_id", "first.digest"), "repeats"))
+    kept = without(docs, copies)
     if again.isEmpty():
         return kept
     name = free_name(docs.columns, "nth")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.rows import digest, free_name
-from tessera.storage import cut, small_side
+from tessera.storage import cut, scratch, small_side
 
 #: Words of a seed; of so many seeds in a row at least one is kept, chosen by its hash alone. Where one word in eight
 #: differs, runs of seven words have three seeds each.
@@ -24,7 +24,7 @@ MIN_WORDS, MIN_FRAGMENT, MIN_IDENTITY = 50, 20, 0.8
 #: Words without a seed inside a run of one diagonal, and of the longest gap that is aligned word by word; cost of a gap's
 #: word on either side; words around a chain to extend it. Any alike run of 8 words further out holds a seed of its own.
 MAX_GAP, GAP_COST, MARGIN = 48, 0.2, 48
-#: The most seeds whose first occurrence is broadcast (32 bytes each): those that make up more than one in so many of all.
+#: The most seeds whose first occurrence is broadcast (32 bytes each); those that make up more than one in so many of all.
 HOT_SEEDS = 20_000
 #: Bytes hashed together.
 CHUNK = 1_000_000
@@ -367,30 +367,48 @@ def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start int, stop int, rep_id long, rep_start int, rep_stop int, matched int")
 
 
+def frequent_seeds(kept: DataFrame) -> DataFrame:
+    """Seeds, HOT_SEEDS at most, that make up more than one in HOT_SEEDS of kept; all with more than twice that share are there.
+
+    Each task hands on those that are more than half as frequent as that among its own rows, with their counts. A
+    seed's counts that are left out are then at most half of that share of all rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column("seed").to_numpy() for b in batches]
+        if held:
+            seed, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > sum(map(len, held)) / (2 * HOT_SEEDS)
+            yield pa.RecordBatch.from_arrays([pa.array(seed[often]), pa.array(n[often])], ["seed", "n"])
+
+    own = kept.select("seed").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    return cut(own.where(F.col("n") > kept.count() / HOT_SEEDS).select("seed"), "frequent")
+
+
 def _matches(kept: DataFrame) -> DataFrame:
     """kept(doc_id, pos, seed): each seed with its first occurrence, where that is in another document.
 
-    The first occurrences of frequent seeds, HOT_SEEDS at most by their definition, are broadcast, so that no task
-    gathers a frequent seed's rows; the others meet by shuffle.
+    Frequent seeds and their first occurrences are broadcast, so that no task gathers their rows. The others' rows
+    meet in one shuffle, sorted by document and place.
     """
-    often = kept.count() // HOT_SEEDS
-    first = kept.groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("last > first.doc_id")
-    first = cut(first.select("seed", F.col("first.doc_id").alias("rep_id"), F.col("first.pos").alias("rep_pos"), "n"), "first")
-    hot = F.broadcast(first.where(F.col("n") > often).drop("n"))
-    rest = kept.join(hot.select("seed"), "seed", "left_anti").join(first.where(F.col("n") <= often).drop("n"), "seed")
-    met = kept.join(hot, "seed").unionByName(rest)
-    return met.where("doc_id != rep_id").select("doc_id", "rep_id", F.struct("pos", "rep_pos").alias("m"))
+    hot = frequent_seeds(kept)
+    first = kept.join(F.broadcast(hot), "seed").groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    met = kept.join(F.broadcast(cut(first, "first")), "seed")
+    own = Window.partitionBy("seed").orderBy("doc_id", "pos")
+    rest = kept.join(F.broadcast(hot), "seed", "left_anti").withColumn("first", F.first(F.struct("doc_id", "pos")).over(own))
+    both = met.unionByName(rest).where("doc_id != first.doc_id")
+    return both.select("doc_id", F.col("first.doc_id").alias("rep_id"), F.struct("pos", F.col("first.pos").alias("rep_pos")).alias("m"))
 
 
 def _fragments(texts: DataFrame, repeated: bool) -> DataFrame:
     """texts(doc_id, text), doc_id a key of the text: what repeated_passages() returns."""
-    matches = _matches(cut(seeds(texts), "seeds"))
-    pairs = matches.groupBy("doc_id", "rep_id").agg(F.collect_list("m").alias("seeds"))
-    found = cut(_chained(pairs), "chains")
-    aligned = _aligned(found, texts, repeated)
-    size = F.greatest(F.col("stop") - F.col("start"), F.col("rep_stop") - F.col("rep_start"))
-    good = aligned.withColumn("identity", F.round(F.col("matched") / size, 4)).where((F.col("stop") - F.col("start") >= MIN_FRAGMENT) & (F.col("identity") >= MIN_IDENTITY))
-    good = cut(good.distinct(), "fragments")
+    with scratch() as keep:
+        matches = _matches(cut(seeds(texts), "seeds"))
+        pairs = matches.groupBy("doc_id", "rep_id").agg(F.collect_list("m").alias("seeds"))
+        aligned = _aligned(cut(_chained(pairs), "chains"), texts, repeated)
+        size = F.greatest(F.col("stop") - F.col("start"), F.col("rep_stop") - F.col("rep_start"))
+        good = aligned.withColumn("identity", F.round(F.col("matched") / size, 4)).where((F.col("stop") - F.col("start") >= MIN_FRAGMENT) & (F.col("identity") >= MIN_IDENTITY))
+        good = keep(cut(good.distinct(), "fragments"))
     own = Window.partitionBy("doc_id").orderBy("start", "stop", "rep_id", "rep_start")
     reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = good.withColumn("new", F.coalesce((F.col("start") > reach + APART).cast("int"), F.lit(1)))
@@ -446,8 +464,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """
     key, spans_name = (free_name(docs.columns, name) for name in ("key", "spans"))
     own, _, repeated = keyed(docs, key)
-    found = _fragments(own.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text"), repeated)
-    spans = cut(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "stop")).alias(spans_name)), "spans")
+    with scratch() as keep:
+        found = _fragments(own.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text"), repeated)
+        spans = keep(cut(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "stop")).alias(spans_name)), "spans"))
     held = own.join(small_side(spans, 64), key, "left").drop(key)
     at = docs.columns.index("text")
 

@@ -7,6 +7,7 @@ sharded keys; neither the model nor the counts pass through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.rows import digest, without
-from tessera.storage import cut, small_side
+from tessera.storage import cut, scratch, small_side
 
 #: Longest n-grams, in letters; MARK stands for the places before a text.
-ORDER, MARK = 6, "\u0002"
+ORDER, MARK = 5, "\u0002"
 #: Letters handled together, and distinct n-grams that a task holds before it hands their counts on.
 CHUNK, HELD_GRAMS = 1_000_000, 1_500_000
 #: The most n-grams whose scores are broadcast (12 bytes each, twice over in a table half full); rarer ones are joined by shuffle.
@@ -133,15 +134,14 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "grams")
 
 
-def level_counts(grams: DataFrame, order: int) -> DataFrame:
-    """grams(lang, gram, c): (lang, k, gram, c) of all orders. The longest count occurrences, shorter ones distinct letters before them."""
-    level = grams.where("c > 0").select("lang", F.lit(order).alias("k"), "gram", "c")
-    out = level
+def level_counts(grams: DataFrame, order: int) -> list[DataFrame]:
+    """grams(lang, gram, c): a table (lang, k, gram, c) for each order from 1. The longest count occurrences, shorter ones distinct letters before them."""
+    out = [grams.where("c > 0").select("lang", F.lit(order).alias("k"), "gram", "c")]
     for k in range(order - 1, 0, -1):
-        inner = level.select("lang", F.substr("gram", F.lit(2)).alias("gram"))
-        level = inner.groupBy("lang", "gram").agg(F.count("*").alias("c")).select("lang", F.lit(k).alias("k"), "gram", "c")
-        out = out.unionByName(level)
-    return cut(out, "counts")
+        inner = out[0].select("lang", F.substr("gram", F.lit(2)).alias("gram"))
+        counts = inner.groupBy("lang", "gram").agg(F.count("*").alias("c"))
+        out.insert(0, cut(counts.select("lang", F.lit(k).alias("k"), "gram", "c"), "counts"))
+    return out
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -157,62 +157,57 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return at.select("lang", "k", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
 
 
-def train(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model of grams(lang, gram, c): (lang, k, gram, logp, backoff).
+#: A model: for each order from 1 (lang, gram, logp) and (lang, head, backoff), and (lang, logp) of unseen letters.
+Model = tuple[list[tuple[DataFrame, DataFrame]], DataFrame]
 
-    logp is the interpolated probability of the gram's last letter after the others; backoff is the weight that
-    the gram, as a context, leaves to shorter ones. Counts of each order join those of the order below, sharded
-    by their keys. Unseen letters share what one more letter than those seen would have.
+
+def train(grams: DataFrame, order: int = ORDER) -> Model:
+    """The model of grams(lang, gram, c).
+
+    logp is the interpolated probability of the gram's last letter after the others; backoff is the weight that the
+    letters before the last leave to shorter grams. Counts of each order join those of the order below, sharded by
+    their keys. Unseen letters share what one more letter than those seen would have.
     """
     counts = level_counts(grams, order)
-    rates = F.broadcast(_discounts(counts))  # one row for a language and order
-    rated = counts.join(rates, ["lang", "k"]).withColumn("head", F.expr("substring(gram, 1, k - 1)"))
-    cut_off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rated = rated.withColumn("d", cut_off)
-    heads = cut(rated.groupBy("lang", "k", "head").agg(F.sum("c").alias("total"), F.sum("d").alias("left")), "heads")
-    letters = F.broadcast(counts.where("k = 1").groupBy("lang").agg((F.count("*") + 1).alias("letters")))  # one row for a language
-    level = None
-    out = []
-    for k in range(1, order + 1):
-        own = rated.where(F.col("k") == k).join(heads.where(F.col("k") == k).drop("k"), ["lang", "head"])
-        if level is None:
-            own = own.join(letters, "lang").withColumn("below", 1 / F.col("letters"))
+    rates = cut(_discounts(reduce(DataFrame.unionByName, counts)), "rates")  # one row for a language and order
+    letters = F.broadcast(cut(counts[0].groupBy("lang").agg((F.count("*") + 1).alias("letters")), "letters"))  # one row for a language
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for k, own in enumerate(counts, 1):
+        rated = own.join(F.broadcast(rates.where(F.col("k") == k).drop("k")), "lang")
+        less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rated = rated.select("lang", "gram", F.expr("substring(gram, 1, k - 1)").alias("head"), "c", less.alias("d"))
+        heads = cut(rated.groupBy("lang", "head").agg(F.sum("c").alias("total"), F.sum("d").alias("left")), "heads")
+        met = rated.join(heads, ["lang", "head"])
+        if k == 1:
+            met = met.join(letters, "lang").withColumn("below", -F.log("letters"))
         else:
-            lower = level.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below"))
-            own = own.withColumn("tail", F.substr("gram", F.lit(2))).join(lower, ["lang", "tail"])
-        p = (F.col("c") - F.col("d")) / F.col("total") + F.col("left") / F.col("total") * F.col("below")
-        level = cut(own.select("lang", "k", "gram", p.alias("p")), "level")
-        out.append(level)
-    rows = out[0]
-    for one in out[1:]:
-        rows = rows.unionByName(one)
-    weights = heads.select("lang", (F.col("k") - 1).alias("k"), F.col("head").alias("gram"), F.log(F.col("left") / F.col("total")).alias("backoff"))
-    both = rows.select("lang", "k", "gram", F.log("p").alias("logp")).join(weights, ["lang", "k", "gram"], "full")
-    roots = both.join(letters, "lang").withColumn("logp", F.when(F.col("k") == 0, -F.log("letters")).otherwise(F.col("logp")))
-    return cut(roots.select("lang", "k", "gram", "logp", F.coalesce("backoff", F.lit(0.0)).alias("backoff")), "model")
-
-
-def resolve(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """grams(lang, gram, n): adds logp, that of the last letter after the others, and key; null logp without a model.
-
-    From the longest order down, grams join the model's on their keys, and those that it lacks go on with what
-    their context leaves to shorter ones.
+            lower = levels[-1][0].select("lang", F.col("gram").alias("tail"), F.col("logp").alias("below"))
+            met = met.withColumn("tail", F.substr("gram", F.lit(2))).join(lower, ["lang", "tail"])
+        p = (F.col("c") - F.col("d")) / F.col("total") + F.col("left") / F.col("total") * F.exp("below")
+        level = cut(met.select("lang", "gram", F.log(p).alias("logp")), "level")
+        levels.append((level, heads.select("lang", "head", F.log(F.col("left") / F.col("total")).alias("backoff"))))
+    return levels, letters.select("lang", (-F.log("letters")).alias("logp"))
+
+
+def resolve(grams: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
+    """grams(lang, gram, n, c), those of the model among them: (lang, gram, n, logp, key); null logp without a model.
+
+    Grams that the model has join it on their keys. Of the others, each distinct ending is resolved once, from the
+    shortest up: what the model lacks has its context's backoff and the logp of its own ending.
     """
-    open_ = grams.select("lang", "gram", "n", F.col("gram").alias("part"), F.lit(0.0).alias("sum"))
-    done = []
-    for k in range(order, 0, -1):
-        own = model.where(F.col("k") == k).select("lang", F.col("gram").alias("part"), "logp")
-        heads = model.where(F.col("k") == k - 1).select("lang", F.col("gram").alias("head"), "backoff")
-        if k == 1:
-            heads = F.broadcast(heads.select("lang", "backoff", F.col("head")))  # one row for a language
-        met = open_.join(own, ["lang", "part"], "left").withColumn("head", F.expr("substring(part, 1, length(part) - 1)"))
-        met = cut(met.join(heads, ["lang", "head"], "left"), "met")
-        done.append(met.where("logp is not null").select("lang", "gram", "n", (F.col("sum") + F.col("logp")).alias("logp")))
-        open_ = met.where("logp is null").select("lang", "gram", "n", F.substr("part", F.lit(2)).alias("part"), (F.col("sum") + F.coalesce("backoff", F.lit(0.0))).alias("sum"))
-    root = F.broadcast(model.where("k = 0").select("lang", "logp"))  # one row for a language
-    out = open_.join(root, "lang", "left").select("lang", "gram", "n", (F.col("sum") + F.col("logp")).alias("logp"))
-    for one in done:
-        out = out.unionByName(one)
+    levels, root = model
+    asked = [grams.where("c = 0").select("lang", "gram")]
+    for _ in range(order - 1):
+        asked.insert(0, cut(asked[0].select("lang", F.substr("gram", F.lit(2)).alias("gram")).distinct(), "endings"))
+    lower = F.broadcast(root.select("lang", F.lit("").alias("tail"), F.col("logp").alias("below")))  # one row for a language
+    for own, (level, heads) in zip(asked, levels, strict=True):
+        met = own.join(level, ["lang", "gram"], "left")
+        met = met.withColumns({"head": F.expr("substring(gram, 1, length(gram) - 1)"), "tail": F.substr("gram", F.lit(2))})
+        met = met.join(heads, ["lang", "head"], "left").join(lower, ["lang", "tail"], "left")
+        logp = F.coalesce("logp", F.col("below") + F.coalesce("backoff", F.lit(0.0)))
+        done = cut(met.select("lang", "gram", logp.alias("logp")), "resolved")
+        lower = done.select("lang", F.col("gram").alias("tail"), F.col("logp").alias("below"))
+    out = grams.select("lang", "gram", "n").join(levels[-1][0].unionByName(done), ["lang", "gram"])
 
     @F.pandas_udf("long")
     def key(lang: pd.Series, gram: pd.Series) -> pd.Series:
@@ -342,6 +337,15 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = FR
     and repeated labels count once. Columns beside doc_id, lang and text are left out, whatever their names. An empty
     table gives none. Memory is bounded by the longest text.
     """
+    with scratch() as keep:
+        rated, limits = (keep(x) for x in _rated(docs, labels, order, most))
+    out = rated.join(F.broadcast(limits), "lang", "left")  # one row for a language
+    good = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("variety") >= F.col("variety_threshold"), F.lit(True))
+    return out.select("doc_id", "digest", "lang", "perplexity", "threshold", "variety", "variety_threshold", good.alias("keep"))
+
+
+def _rated(docs: DataFrame, labels: DataFrame, order: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's perplexity and variety, and each language's thresholds."""
     marks = cut(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "marks")
     out_of = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     trusted = marks.where((F.col("quality") == 1) & ~out_of).select("doc_id", F.lit(True).alias("counted"))
@@ -349,7 +353,8 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = FR
     grams = count_grams(marked, order)
     resolved = resolve(grams, train(grams, order), order)
     scored = score(docs, resolved, order, most)
-    rated = scored.withColumn("perplexity", F.when(F.col("letters") > 0, F.round(F.exp(-F.col("logp") / F.col("letters")), 6)))
+    perplexity = F.when(F.col("letters") > 0, F.round(F.exp(-F.col("logp") / F.col("letters")), 6)).alias("perplexity")
+    rated = cut(scored.select("doc_id", "digest", "lang", "variety", perplexity), "rated")
     known = rated.join(small_side(marks, 16), "doc_id").where("perplexity is not null").withColumn("own", F.when(F.col("quality") == 0, "bad").when(out_of, "held").otherwise("seen"))
 
     def at(column: str, q: float, *kinds: str) -> Column:
@@ -360,13 +365,12 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = FR
     limits = known.groupBy("lang").agg(at("perplexity", high, "held", "seen").alias("p"), at("perplexity", bad_low, "bad").alias("bad_p"), at("variety", low, "held", "seen").alias("v"), at("variety", bad_high, "bad").alias("bad_v"))
     threshold = F.when(F.col("bad_p") > F.col("p"), F.sqrt(F.col("bad_p") * F.col("p"))).otherwise(F.col("p"))
     variety = F.when(F.col("bad_v") < F.col("v"), F.sqrt(F.col("bad_v") * F.col("v"))).otherwise(F.col("v"))
-    limits = limits.select("lang", F.round(threshold, 6).alias("threshold"), F.round(variety, 6).alias("variety_threshold"))
-    out = rated.join(F.broadcast(limits), "lang", "left")  # one row for a language
-    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("variety") >= F.col("variety_threshold"), F.lit(True))
-    return out.select("doc_id", "digest", "lang", "perplexity", "threshold", "variety", "variety_threshold", keep.alias("keep"))
+    return rated, cut(limits.select("lang", F.round(threshold, 6).alias("threshold"), F.round(variety, 6).alias("variety_threshold")), "limits")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that judge() rejects, told by doc_id, text and language; every column stays as it is."""
-    bad = judge(docs, labels).where("not keep").select("doc_id", F.xxhash64("digest", "lang").alias("digest")).distinct()
-    return without(docs, cut(bad, "rejected"), by_lang=True)
+    with scratch() as keep:
+        bad = judge(docs, labels).where("not keep").select("doc_id", F.xxhash64("digest", "lang").alias("digest")).distinct()
+        bad = keep(cut(bad, "rejected"))
+    return without(docs, bad, by_lang=True)

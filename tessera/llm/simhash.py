@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.rows import digest, without
 from tessera.operators.components import connected_components
-from tessera.storage import cut, small_side
+from tessera.storage import cut, scratch, small_side
 
 #: Fingerprints of one trie that a task joins by itself; larger ones are split into node pairs first.
 TRIE_LIMIT = 1024
@@ -434,15 +434,17 @@ def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = NEAR_BITS, li
     digest stays), and rows that repeat both stay or go together. Rows without a doc_id or words stay.
     An empty table gives none. A text's shingle hashes are held together, so memory is bounded by the longest text.
     """
-    marked = cut(wide_fingerprints(docs, words), "fingerprints")
-    rep = F.min(F.struct("doc_id", "digest")).alias("rep")
-    classes = marked.groupBy("sig").agg(rep, F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.count("*").alias("rows"))
-    classes = cut(classes.select(F.col("sig").alias("id"), "rep.doc_id", "rep.digest", "fp", "mins", "rows"), "classes")
-    roots = connected_components(near_links(classes.select("id", "fp", "mins"), lambda links: similar_links(links, classes, docs, words), max_bits, limit))
-    named = classes.select("id", "doc_id", "digest", "rows").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
-    named = cut(named, "roots")
-    kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
-    company = cut(named.select("id", "root").join(small_side(cut(kept, "kept"), 40), "root").select("id", "kept"), "company")
-    rows = marked.select("doc_id", "digest", F.col("sig").alias("id")).join(small_side(company, 40), "id")
-    gone = rows.where("doc_id != kept.doc_id or digest != kept.digest").select("doc_id", "digest").distinct()
-    return without(docs, cut(gone, "copies"))
+    with scratch() as keep:
+        marked = cut(wide_fingerprints(docs, words), "fingerprints")
+        rep = F.min(F.struct("doc_id", "digest")).alias("rep")
+        classes = marked.groupBy("sig").agg(rep, F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.count("*").alias("rows"))
+        classes = cut(classes.select(F.col("sig").alias("id"), "rep.doc_id", "rep.digest", "fp", "mins", "rows"), "classes")
+        roots = connected_components(near_links(classes.select("id", "fp", "mins"), lambda links: similar_links(links, classes, docs, words), max_bits, limit))
+        named = classes.select("id", "doc_id", "digest", "rows").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+        named = cut(named, "roots")
+        kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")
+        company = cut(named.select("id", "root").join(small_side(cut(kept, "kept"), 40), "root").select("id", "kept"), "company")
+        rows = marked.select("doc_id", "digest", F.col("sig").alias("id")).join(small_side(company, 40), "id")
+        gone = rows.where("doc_id != kept.doc_id or digest != kept.digest").select("doc_id", "digest").distinct()
+        gone = keep(cut(gone, "copies"))
+    return without(docs, gone)

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.llm.rows import digest, free_name
 from tessera.storage import cut, scratch, small_side
 
-#: Words of a seed; of so many seeds in a row at least one is kept, chosen by its hash alone. Where one word in eight
-#: differs, runs of seven words have three seeds each.
-SEED, WINDOW = 5, 4
-#: The same of longer seeds beside these, whose first occurrence is less often in a third document.
-LONG_SEED, LONG_WINDOW = 8, 16
+#: Words of a seed, of which one in KEEP is kept, chosen by its hash alone, so that two texts keep the same ones whatever
+#: stands around them. Where one word in eight differs, runs of seven words have three seeds each.
+SEED, KEEP = 5, 4
+#: Words from a chain's first to its last: a lone seed that two texts share by chance is no chain.
+MIN_CHAIN = 8
 #: Words between seeds of a run that count as covered, and between fragments that count as one passage.
 HOLE, APART = 16, 8
 #: Words of a passage, of a fragment of one, and the share of its words that must match.
@@ -60,8 +60,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, np.concatenate(([0], borders))))
 
 
-def pick_seeds(hashes: np.ndarray, counts: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word position and hash of the seeds kept: in any `window` seeds in a row, those with the least hash."""
+def pick_seeds(hashes: np.ndarray, counts: np.ndarray, size: int = SEED, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, word position and hash of the seeds kept: those whose hash is divisible by `keep`."""
     seeds = np.maximum(0, counts - size + 1)
     text = np.repeat(np.arange(len(counts)), seeds)
     place = np.arange(len(text)) - np.repeat(np.cumsum(seeds) - seeds, seeds)
@@ -69,20 +69,7 @@ def pick_seeds(hashes: np.ndarray, counts: np.ndarray, size: int = SEED, window:
     h = np.zeros(len(text), dtype=np.uint64)
     for j in range(size):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[first + j])
-    # Texts lie `window` apart, so that windows at their ends see nothing of their neighbours.
-    at = np.arange(len(text)) + (text + 1) * window
-    spread = np.full(len(text) + (len(counts) + 2) * window, _NONE)
-    spread[at] = h
-    least, most = spread, None
-    step = 1
-    while step < window:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    most, step = least, 1
-    while step < window:
-        most = np.maximum(most[:-step], most[step:])
-        step *= 2
-    kept = most[at - window + 1] == h
+    kept = h % np.uint64(keep) == 0
     return text[kept], place[kept], h[kept]
 
 
@@ -120,10 +107,8 @@ def seeds(docs: DataFrame) -> DataFrame:
                 while stop < len(texts) and size < CHUNK:
                     size += len(texts[stop])
                     stop += 1
-                words = word_hashes(texts[at:stop])
-                for size, window in ((SEED, WINDOW), (LONG_SEED, LONG_WINDOW)):
-                    text, place, h = pick_seeds(*words, size, window)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "seed"])
+                text, place, h = pick_seeds(*word_hashes(texts[at:stop]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "seed"])
                 at = stop
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, seed long")
@@ -213,11 +198,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
 
 
 def _chained(pairs: DataFrame) -> DataFrame:
-    """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain.
-
-    Any may hold a fragment: repeated words have few first occurrences, which lie side by side, and a fuzzy
-    fragment may have one seed only.
-    """
+    """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain of MIN_CHAIN words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +207,8 @@ def _chained(pairs: DataFrame) -> DataFrame:
                 flat = own.values
                 x, y = flat.field("pos").to_numpy().astype(np.int64), flat.field("rep_pos").to_numpy().astype(np.int64)
                 for c in chains(x, y):
-                    found.append((doc, rep, c[0][0], c[-1][1], c[0][2], c[-1][3], [v for r in c for v in r]))
+                    if c[-1][1] - c[0][0] >= MIN_CHAIN:
+                        found.append((doc, rep, c[0][0], c[-1][1], c[0][2], c[-1][3], [v for r in c for v in r]))
             columns = [*zip(*found, strict=True)] or [()] * 7
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "rep_id", "xs", "xe", "ys", "ye", "runs"])
@@ -341,15 +323,17 @@ def _words(text: Column) -> Column:
 
 def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """found as by _chained(): (doc_id, start, stop, rep_id, rep_start, rep_stop, matched); docs(doc_id, text) may repeat rows."""
-    ids = found.select("doc_id").union(found.select("rep_id")).distinct()
-    texts = docs.select("doc_id", "text").join(small_side(cut(ids, "ids"), 16), "doc_id")
-    if repeated:
-        texts = texts.dropDuplicates(["doc_id"])
-    texts = texts.select("doc_id", _words(F.col("text")).alias("words"))
+    def words_of(column: str) -> DataFrame:
+        """(column, words) of the texts named there."""
+        ids = cut(found.select(F.col(column).alias("doc_id")).distinct(), "ids")
+        texts = docs.select("doc_id", "text").join(small_side(ids, 16), "doc_id")
+        texts = texts.dropDuplicates(["doc_id"]) if repeated else texts
+        return texts.select(F.col("doc_id").alias(column), _words(F.col("text")).alias("words"))
+
     low = lambda c: F.greatest(F.lit(0), F.col(c) - MARGIN)
     spans = found.withColumns({"a0": low("xs"), "b0": low("ys")})
-    mine = spans.join(texts, "doc_id").withColumn("a", F.slice("words", F.col("a0") + 1, F.col("xe") + MARGIN - F.col("a0"))).drop("words")
-    both = mine.join(texts.select(F.col("doc_id").alias("rep_id"), "words"), "rep_id").withColumn("b", F.slice("words", F.col("b0") + 1, F.col("ye") + MARGIN - F.col("b0")))
+    mine = spans.join(words_of("doc_id"), "doc_id").withColumn("a", F.slice("words", F.col("a0") + 1, F.col("xe") + MARGIN - F.col("a0"))).drop("words")
+    both = mine.join(words_of("rep_id"), "rep_id").withColumn("b", F.slice("words", F.col("b0") + 1, F.col("ye") + MARGIN - F.col("b0")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,7 +388,7 @@ def _fragments(texts: DataFrame, repeated: bool) -> DataFrame:
     """texts(doc_id, text), doc_id a key of the text: what repeated_passages() returns."""
     with scratch() as keep:
         matches = _matches(cut(seeds(texts), "seeds"))
-        pairs = matches.groupBy("doc_id", "rep_id").agg(F.collect_list("m").alias("seeds"))
+        pairs = matches.groupBy("doc_id", "rep_id").agg(F.collect_list("m").alias("seeds")).where(F.size("seeds") > 1)
         aligned = _aligned(cut(_chained(pairs), "chains"), texts, repeated)
         size = F.greatest(F.col("stop") - F.col("start"), F.col("rep_stop") - F.col("rep_start"))
         good = aligned.withColumn("identity", F.round(F.col("matched") / size, 4)).where((F.col("stop") - F.col("start") >= MIN_FRAGMENT) & (F.col("identity") >= MIN_IDENTITY))

@@ -71,6 +71,27 @@ def denoised(voxels: DataFrame, iterations: int = 5, factor: float = 0.125, thre
     return by_brick(voxels, kernel, "x int, y int, z int, value double", iterations, iterations)
 
 
+def gradients(voxels: DataFrame, spacing: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
+    """(x, y, z, gradient): length of the central differences of each valid voxel; a missing neighbour counts as the voxel itself."""
+
+    def kernel(values: np.ndarray, low: tuple[int, int, int]) -> pd.DataFrame:
+        own = values[1:-1, 1:-1, 1:-1]
+        total = np.zeros_like(own)
+        for axis, step in zip((2, 1, 0), spacing, strict=True):
+            sides = []
+            for move in (2, 0):
+                at = [slice(1, -1)] * 3
+                at[axis] = slice(move, move + SIDE)
+                side = values[tuple(at)]
+                sides.append(np.where(np.isnan(side), own, side))
+            total += ((sides[0] - sides[1]) / (2 * step)) ** 2
+        z, y, x = np.nonzero(~np.isnan(own))
+        at = [(a + 1 + b).astype(np.int32) for a, b in zip((x, y, z), low, strict=True)]
+        return pd.DataFrame({"x": at[0], "y": at[1], "z": at[2], "gradient": np.sqrt(total[z, y, x])})
+
+    return by_brick(voxels, kernel, "x int, y int, z int, gradient double", 1, 1)
+
+
 #: Six tetrahedra of a cell, which share its diagonal; corners as bits of x, y and z.
 TETRAHEDRA = [(0, 1 << p[0], 1 << p[0] | 1 << p[1], 7) for p in permutations(range(3))]
 TRIANGLE = ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz")

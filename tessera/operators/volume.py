@@ -36,8 +36,9 @@ def valid_of(voxels: DataFrame) -> Column:
 
 
 def scalar_range(voxels: DataFrame) -> DataFrame:
-    """Unmasked minimum and maximum."""
-    return voxels.agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"))
+    """Unmasked minimum and maximum of the voxels that are numbers."""
+    number = F.when(~F.isnan("value"), F.col("value").cast("double"))
+    return voxels.agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
 
 
 def masked_range(voxels: DataFrame) -> DataFrame:
@@ -47,12 +48,15 @@ def masked_range(voxels: DataFrame) -> DataFrame:
 
 
 def histogram(voxels: DataFrame, bins: int = 2048) -> DataFrame:
-    """(bin, intensity, frequency, log_frequency): bins from the least value on; the largest falls in the last one."""
+    """(bin, intensity, frequency, log_frequency): bins from the least value on; the largest falls in the last one.
+
+    Voxels that aren't numbers are in none.
+    """
     if bins < 1:
         raise ValueError("bins must be positive")
     span = scalar_range(voxels)
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / max(1, bins - 1)).otherwise(1.0)
-    rated = voxels.crossJoin(F.broadcast(span.withColumn("width", width)))  # one row
+    rated = voxels.where(~F.isnan("value")).crossJoin(F.broadcast(span.withColumn("width", width)))  # one row
     at = F.least(F.floor((F.col("value").cast("double") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int")
     counts = rated.groupBy(at.alias("bin")).agg(F.count("*").alias("frequency"))
     grid = voxels.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(span.withColumn("width", width)))
@@ -73,6 +77,51 @@ def histogram_percentile(voxels: DataFrame, quantiles: list[float], bins: int =
     return found.select("q", value.cast("double").alias("value"))
 
 
+def percentile_preset(voxels: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """(position, level) nodes of a ramp between two percentiles, as shares of the range within 0 and 1.
+
+    From 0 to 1 where the percentiles meet; one node of level 1 at 0 for a constant volume.
+    """
+    p = histogram_percentile(voxels, [low, high]).agg(F.min("value").alias("a"), F.max("value").alias("b")).crossJoin(scalar_range(voxels))  # one row each
+    width = F.col("hi") - F.col("lo")
+    share = lambda c: F.when(width > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(c) - F.col("lo"), width)))).otherwise(0.0)
+    at = p.select(share("a").alias("a"), share("b").alias("b"), (width == 0).alias("flat"))
+    apart = F.col("b") > F.col("a")
+    node = lambda x, y: F.struct(x.alias("position"), F.lit(y).alias("level"))
+    ramp = F.array(node(F.when(apart, F.col("a")).otherwise(0.0), 0.0), node(F.when(apart, F.col("b")).otherwise(1.0), 1.0))
+    return at.select(F.explode(F.when(F.col("flat"), F.array(node(F.lit(0.0), 1.0))).otherwise(ramp)).alias("n")).select("n.*")
+
+
+def ras_origin(meta: DataFrame) -> DataFrame:
+    """meta(ox, oy, oz, nx, ny, sx, sy, ...): the origin after lps_to_ras(); the flipped axes end where they began."""
+    moved = {f"o{c}": -F.col(f"o{c}") - F.when(F.col(f"n{c}") > 0, (F.col(f"n{c}") - 1) * F.col(f"s{c}")).otherwise(0.0) for c in "xy"}
+    return meta.withColumns(moved)
+
+
+def respaced(meta: DataFrame, spacing: tuple[float, float, float]) -> DataFrame:
+    """meta(version, sx, sy, sz, ...) with another spacing under the next version; as it is where the spacing is the same."""
+    if not all(0 < s < float("inf") for s in spacing):
+        raise ValueError("spacings are positive numbers")
+    other = ~(F.lit(True) & (F.col("sx") == spacing[0]) & (F.col("sy") == spacing[1]) & (F.col("sz") == spacing[2]))
+    return meta.withColumns({"version": F.col("version") + other.cast("long"), **{f"s{c}": F.lit(float(s)) for c, s in zip("xyz", spacing, strict=True)}})
+
+
+def with_background(voxels: DataFrame) -> DataFrame:
+    """voxels whose masked ones have the volume's least value."""
+    least = F.broadcast(scalar_range(voxels).select(F.col("lo").cast("float").alias("least")))  # one row
+    return voxels.crossJoin(least).withColumn("value", F.when(valid_of(voxels), F.col("value")).otherwise(F.col("least"))).drop("least")
+
+
+def histogram_picture(hist: DataFrame, width: int = 800, height: int = 600) -> DataFrame:
+    """(x, y, gray) of a bar chart of histogram()'s log frequencies, y up from the bottom: bars of 128 before a ramp along x."""
+    top = F.broadcast(hist.agg(F.count("*").alias("bins"), F.max("log_frequency").alias("most")))  # one row
+    columns = hist.sparkSession.range(width).select(F.col("id").cast("int").alias("x")).crossJoin(top).withColumn("bin", F.expr(f"cast(x * bins div {width} as int)"))
+    share = F.when(F.col("most") > 0, F.try_divide("log_frequency", "most")).otherwise(F.col("log_frequency"))
+    bars = columns.join(hist.select("bin", "log_frequency"), "bin").select("x", F.floor(share * height * 0.9).alias("bar"))
+    pixels = bars.select("x", "bar", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    return pixels.select("x", "y", F.when(F.col("y") < F.col("bar"), F.lit(128)).otherwise(F.expr(f"cast(x * 255 div {width} as int)")).alias("gray"))
+
+
 def lps_to_ras(voxels: DataFrame, nx: int, ny: int) -> DataFrame:
     """Flip x and y."""
     flipped = voxels.withColumns({"x": F.lit(nx - 1) - F.col("x"), "y": F.lit(ny - 1) - F.col("y")})
@@ -109,16 +158,23 @@ def above_plane(p: tuple[Column, Column, Column], center: list[float], normal: l
     return parts[0] + parts[1] + parts[2] > single(0)
 
 
+def all_of(conditions: list[Column]) -> Column:
+    """All hold; as a balanced tree, so that long lists don't nest deeply."""
+    while len(conditions) > 1:
+        conditions = [reduce(lambda a, b: a & b, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
+
+
 def kept(p: tuple[Column, Column, Column], ops: list[dict], count: int) -> Column:
     """All of the first `count` operations hold; points that aren't finite never do.
 
     An operation has shape (box or plane), mode (keep or remove) and inverse, or center and normal.
     """
-    numbers = reduce(lambda a, b: a & b, [~F.isnan(q) & (F.abs(q) < float("inf")) for q in p])
+    held = [~F.isnan(q) & (F.abs(q) < float("inf")) for q in p]
     for op in ops[:count]:
         inside = in_box(p, op["inverse"]) if op["shape"] == "box" else above_plane(p, op["center"], op["normal"])
-        numbers = numbers & (inside if op["mode"] == "keep" else ~inside)
-    return numbers
+        held.append(inside if op["mode"] == "keep" else ~inside)
+    return all_of(held)
 
 
 def point(spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> tuple[Column, Column, Column]:
@@ -252,6 +308,20 @@ def resliced_mask(voxels: DataFrame, to: tuple[int, int, int], back: list[list[f
     return near.join(own, ["nx", "ny", "nz"], "left").select("idx", "x", "y", "z", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
+def isotropic(dims: tuple[int, int, int], spacing: tuple[float, float, float], target: int) -> tuple[tuple[int, int, int], tuple[float, float, float]]:
+    """Dims and spacing after shrinking the longest axis to `target` voxels, if it is longer; the origin stays."""
+    factor = min(1.0, target / max(dims))
+    return tuple(max(1, int(d * factor)) for d in dims), tuple(s / factor for s in spacing)
+
+
+def downsampled(voxels: DataFrame, dims: tuple[int, int, int], target: int, mask: bool = False) -> DataFrame:
+    """The volume (linear) or its mask (nearest) on the grid of isotropic(); a grid that isn't larger stays."""
+    to, _ = isotropic(dims, (1, 1, 1), target)
+    step = 1 / min(1.0, target / max(dims))
+    back = [[step, 0, 0, 0], [0, step, 0, 0], [0, 0, step, 0]]
+    return resliced_mask(voxels, to, back) if mask else resliced(voxels, dims, to, back)
+
+
 def _eigenvalues(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     """Of symmetric matrices, largest first, none below zero; a batch at a time."""
     m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], 1).astype(float).reshape(-1, 3, 3)

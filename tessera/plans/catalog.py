@@ -99,13 +99,9 @@ def histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.histogram_percentile(voxels(spark, sf_dir), [-0.1, 0, 0.02, 0.5, 0.98, 1]).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {RANKED} SELECT round((a.value - lo) / (hi - lo), 6) AS left_pos, round((b.value - lo) / (hi - lo), 6) AS right_pos
-FROM r, (SELECT value FROM p WHERE q = 0.02) a, (SELECT value FROM p WHERE q = 0.98) b""")
+@query(f"""WITH {RANKED} SELECT round((p.value - lo) / (hi - lo), 6) AS position, CASE WHEN q < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS level FROM r, p WHERE q IN (0.02, 0.98)""")
 def tf_percentile_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = voxels(spark, sf_dir)
-    p = V.histogram_percentile(v, [0.02, 0.98]).agg(F.min("value").alias("a"), F.max("value").alias("b")).crossJoin(V.scalar_range(v))
-    at = lambda c: F.round((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)
-    return p.select(at("a").alias("left_pos"), at("b").alias("right_pos"))
+    return V.percentile_preset(voxels(spark, sf_dir)).withColumn("position", F.round("position", 6))
 
 
 @query(f"WITH {VOXEL} SELECT CAST({N - 1} - x + {N} * ({N - 1} - y) + {N * N} * z AS BIGINT) AS idx, {N - 1} - x AS x, {N - 1} - y AS y, z, value FROM voxel")
@@ -152,12 +148,6 @@ def void_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voids(spark, sf_dir).select("idx", "root")
 
 
-@query(f"""WITH RECURSIVE {VOIDS}, e AS (SELECT c.idx, c.root FROM cell c, {NEAR}, cell o WHERE o.x = c.x + s.i AND o.y = c.y + s.j AND o.z = c.z + s.k GROUP BY c.idx, c.root HAVING count(*) = 6)
-SELECT idx FROM cell WHERE root IN (SELECT root FROM e)""")
-def void_candidates_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.opened(voids(spark, sf_dir), 1).select("idx")
-
-
 @query(f"""WITH RECURSIVE {VOIDS} SELECT CAST(row_number() OVER (ORDER BY root) AS INT) AS id, root, count(*) AS voxels, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz,
 min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, min(value)::DOUBLE AS min_gray, max(value)::DOUBLE AS max_gray, round(avg(value::DOUBLE), 6) AS mean_gray,
 round(sqrt(greatest(0, avg(value::DOUBLE * value::DOUBLE) - avg(value::DOUBLE) * avg(value::DOUBLE))), 4) AS std_gray, round(pow(6 * count(*) / pi(), 1.0::DOUBLE / 3), 6) AS diameter,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -158,6 +159,10 @@ def above_plane(p: tuple[Column, Column, Column], center: list[float], normal: l
     return parts[0] + parts[1] + parts[2] > single(0)
 
 
+#: Operations that are compiled into one expression.
+COMPILED = 32
+
+
 def all_of(conditions: list[Column]) -> Column:
     """All hold; as a balanced tree, so that long lists don't nest deeply."""
     while len(conditions) > 1:
@@ -168,15 +173,32 @@ def all_of(conditions: list[Column]) -> Column:
 def kept(p: tuple[Column, Column, Column], ops: list[dict], count: int) -> Column:
     """All of the first `count` operations hold; points that aren't finite never do.
 
-    An operation has shape (box or plane), mode (keep or remove) and inverse, or center and normal.
+    An operation has shape (box or plane), mode (keep or remove) and inverse, or center and normal. Up to COMPILED
+    of them are compiled into the expression; longer histories are one constant list that each point runs through.
     """
     held = [~F.isnan(q) & (F.abs(q) < float("inf")) for q in p]
-    for op in ops[:count]:
+    for op in ops[: count if count <= COMPILED else 0]:
         inside = in_box(p, op["inverse"]) if op["shape"] == "box" else above_plane(p, op["center"], op["normal"])
         held.append(inside if op["mode"] == "keep" else ~inside)
+    if count > COMPILED:
+        held.append(_kept_by_list(p, ops[:count]))
     return all_of(held)
 
 
+def _kept_by_list(p: tuple[Column, Column, Column], ops: list[dict]) -> Column:
+    numbers = [[v for r in op["inverse"][:3] for v in r] if op["shape"] == "box" else [*op["center"], *op["normal"], *[0] * 6] for op in ops]
+    rows = [{"box": op["shape"] == "box", "keep": op["mode"] == "keep", "m": [float(np.float32(v)) for v in m]} for op, m in zip(ops, numbers, strict=True)]
+    held = F.from_json(F.lit(json.dumps(rows)), "array<struct<box:boolean,keep:boolean,m:array<float>>>")
+
+    def holds(op: Column) -> Column:
+        m = [op["m"][i] for i in range(12)]
+        box = all_of([F.abs(m[r] * p[0] + m[r + 1] * p[1] + m[r + 2] * p[2] + m[r + 3]) <= single(1 + 1e-6) for r in (0, 4, 8)])
+        plane = (p[0] - m[0]) * m[3] + (p[1] - m[1]) * m[4] + (p[2] - m[2]) * m[5] > single(0)
+        return F.when(op["box"], box).otherwise(plane) == op["keep"]
+
+    return F.forall(held, holds)
+
+
 def point(spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> tuple[Column, Column, Column]:
     return tuple((F.col(c).cast("double") * s + o).cast("float") for c, s, o in zip("xyz", spacing, origin, strict=True))
 

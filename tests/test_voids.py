@@ -78,11 +78,17 @@ def test_crop_results_and_empty_ones(spark):
         crop.cropped_mesh(shape, [plane, plane | {"mode": "remove"}], 2)
 
 
-def test_a_history_of_513_operations(spark):
-    box = {"shape": "box", "mode": "keep", "inverse": [[0.5, 0, 0, 0], [0, 0.5, 0, 0], [0, 0, 0.5, 0]]}
-    rows = spark.createDataFrame([(0, 1.0), (1, 3.0)], "idx int, v float")
+def test_a_history_of_513_operations(spark, monkeypatch):
+    box = {"shape": "box", "mode": "keep", "inverse": [[0.5, 0, 0, 0.1], [0, 0.5, 0, 0], [0, 0, 0.5, 0]]}
+    plane = {"shape": "plane", "mode": "remove", "center": [0.3, 0, 0], "normal": [0.6, 0, 0.8]}
+    points = [(float(np.float32(v)),) for v in (-9, -1.9, 0, 0.1, 0.3, 0.30000001, 1.8, 1.8000001, 3, float("nan"), float("inf"))]
+    rows = spark.createDataFrame(points, "v float").coalesce(1)
     p = (F.col("v"),) * 3
-    assert [r[0] for r in rows.orderBy("idx").select(V.kept(p, [box] * 513, 513)).collect()] == [True, False]
+    want = [r[0] for r in rows.select(V.kept(p, [box, plane], 2)).collect()]
+    assert [r[0] for r in rows.select(V.kept(p, [box, plane] * 257, 513)).collect()] == want and True in want
+    monkeypatch.setattr(V, "COMPILED", 0)
+    assert [r[0] for r in rows.select(V.kept(p, [box, plane], 2)).collect()] == want
+    assert [r[0] for r in rows.select(V.kept(p, [box, plane], 1)).collect()] != want
 
 
 def test_masks_corners_and_operations(spark):

@@ -22,7 +22,7 @@ from tessera.storage import cut, scratch, small_side
 #: Longest n-grams, in letters; MARK stands for the places before a text.
 ORDER, MARK = 5, "\u0002"
 #: Letters handled together, and distinct n-grams that a task holds before it hands their counts on.
-CHUNK, HELD_GRAMS = 1_000_000, 1_500_000
+CHUNK, HELD_GRAMS = 400_000, 700_000
 #: The most n-grams whose scores are broadcast (12 bytes each, twice over in a table half full); rarer ones are joined by shuffle.
 FREQUENT = 1_000_000
 #: One of so many trusted documents is kept out of the counts; thresholds are quantiles of these.
@@ -97,20 +97,25 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, ...]:
             keys, n, grams, group = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
-            return keys, np.bincount(where, weights=n).astype(np.int64), grams[first], group[first]
+            held.clear()
+            at = np.argsort(keys)
+            keys = keys[at]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            n = np.add.reduceat(n[at], first)
+            at = at[first]
+            return keys[first], n, grams[at], group[at]
 
         def out() -> Iterator[pa.RecordBatch]:
             names = list(groups)
-            for at in range(0, len(held[0][0]), 1 << 18):
-                _, n, grams, group = (x[at : at + (1 << 18)] for x in held[0])
+            for at in range(0, len(held[0][0]), 1 << 16):
+                _, n, grams, group = (x[at : at + (1 << 16)] for x in held[0])
                 text = pa.array(np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist(), pa.string())
                 langs, counted = (pa.array([names[g][i] for g in group.tolist()]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([langs, text, pa.array(n), pa.array(np.where(np.array(counted), n, 0))], ["lang", "gram", "n", "c"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 kinds = list(zip(part.column("lang").to_pylist(), part.column("counted").to_pylist(), strict=True))
                 for kind in kinds:
                     groups.setdefault(kind, len(groups))
@@ -277,8 +282,8 @@ def score(docs: DataFrame, resolved: DataFrame, order: int = ORDER, most: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, row = held.value, TaskContext.get().partitionId() << 33
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 names, texts = part.column("lang").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist()
                 seeds = np.array([_seed(x) for x in names], dtype=np.uint64)
                 known = np.array([x in langs for x in names])

@@ -9,17 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.operators.dealing import BRICK, SIDE, dealt
 from tessera.operators.volume import scalar_range, valid_of
 
-SIDE = 32
-
-
-def _owners(c: str, before: int, after: int, side: int) -> Column:
-    """Bricks along an axis that need a voxel: those from (c - after) div side to (c + before) div side."""
-    first, last = F.floor((F.col(c) - after) / side).cast("int"), F.floor((F.col(c) + before) / side).cast("int")
-    return F.sequence(F.greatest(first, F.lit(0)), last)
-
-
 def by_brick(voxels: DataFrame, kernel: Callable[[np.ndarray, tuple[int, int, int]], pd.DataFrame], schema: str, before: int, after: int, side: int = SIDE) -> DataFrame:
     """kernel(values, low) of every brick that holds voxels.
 
@@ -36,9 +28,7 @@ def by_brick(voxels: DataFrame, kernel: Callable[[np.ndarray, tuple[int, int, in
 
     value = F.when(valid_of(voxels), F.col("value").cast("double")).otherwise(F.lit(float("nan")))
     rows = voxels.select("x", "y", "z", value.alias("value"))
-    for c in "xyz":
-        rows = rows.withColumn(f"b{c}", F.explode(_owners(c, before, after, side)))
-    return rows.groupBy("bx", "by", "bz").applyInPandas(run, schema)
+    return dealt(rows, before, after, side).groupBy(*BRICK).applyInPandas(run, schema)
 
 
 def denoised(voxels: DataFrame, iterations: int = 5, factor: float = 0.125, threshold: float = 0.02) -> DataFrame:

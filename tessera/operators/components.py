@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = edges.where(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now = cut(now, "edges")
     seen = _digest(now)
-    while True:
+    while seen[0]:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.components import connected_components
+from tessera.operators.dealing import SIDE, contacts, eroded_roots, parts
+from tessera.storage import cut, small_side
 
 
 def with_index(voxels: DataFrame, nx: int, ny: int) -> DataFrame:
@@ -203,22 +205,18 @@ def point(spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float,
     return tuple((F.col(c).cast("double") * s + o).cast("float") for c, s, o in zip("xyz", spacing, origin, strict=True))
 
 
-STEPS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
+def labelled(cells: DataFrame, side: int = SIDE) -> DataFrame:
+    """cells with root, the smallest idx of their 6-connected component.
 
-
-def neighbours(cells: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
-    """cells(idx, x, y, z): (idx, other) of cells that are `steps` apart, by an equi-join on shifted coordinates."""
-    moved = cells.select("idx", F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y"), (F.col("z") + k).alias("z")) for i, j, k in steps])).alias("p"))
-    moved = moved.select("idx", "p.x", "p.y", "p.z")
-    return moved.join(cells.select(F.col("idx").alias("other"), "x", "y", "z"), ["x", "y", "z"]).select("idx", "other")
-
-
-def labelled(cells: DataFrame) -> DataFrame:
-    """cells with root, the smallest idx of their 6-connected component."""
-    half = [s for s in STEPS if sum(s) > 0]
-    found = connected_components(neighbours(cells, half).select(F.col("idx").alias("src"), F.col("other").alias("dst")))
-    return cells.join(found, cells["idx"] == found["node"], "left").withColumn("root", F.coalesce("component", "idx")).drop("node", "component")
+    Bricks are labelled by themselves; only their parts that meet in a rim are edges of a graph, whose components
+    name the whole. A voxel moves once, to its brick.
+    """
+    found = cut(parts(cells, side), "parts")
+    own = found.where("own").drop("own")
+    met = found.where("not own").select("idx", F.col("part").alias("src")).join(own.select("idx", F.col("part").alias("dst")), "idx")
+    joined = cut(connected_components(met.select("src", "dst")), "components")
+    named = small_side(joined.withColumnRenamed("node", "part"), 64)
+    return own.join(named, "part", "left").select(*cells.columns, F.coalesce("component", "part").alias("root"))
 
 
 def interior(voxels: DataFrame, iso: float, dims: tuple[int, int, int]) -> DataFrame:
@@ -232,11 +230,7 @@ def interior(voxels: DataFrame, iso: float, dims: tuple[int, int, int]) -> DataF
 
 def opened(cells: DataFrame, erosions: int) -> DataFrame:
     """Erode by 6-neighbours, then regrow what is left within its component."""
-    left = cells
-    for _ in range(erosions):
-        whole = neighbours(left, STEPS).groupBy("idx").count().where("count = 6").select("idx")
-        left = left.join(whole, "idx", "left_semi")
-    return cells.join(left.select("root").distinct(), "root", "left_semi")
+    return cells.join(eroded_roots(cells, erosions), "root", "left_semi") if erosions else cells
 
 
 def regions(cells: DataFrame, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0), min_volume: float = 0) -> DataFrame:
@@ -260,10 +254,7 @@ def regions(cells: DataFrame, spacing: tuple[float, float, float] = (1, 1, 1), o
 def surfaces(cells: DataFrame, spacing: tuple[float, float, float] = (1, 1, 1)) -> DataFrame:
     """(root, crossings, surface, gap, compactness, sphericity) of each component, from its 26-neighbourhood."""
     sx, sy, sz = spacing
-    inner = neighbours(cells.select("idx", "x", "y", "z"), AROUND).join(cells.select("idx", "root"), "idx")
-    inner = inner.join(cells.select(F.col("idx").alias("other"), F.col("root").alias("to")), "other").where("root = to").groupBy("root").agg(F.count("*").alias("inside"))
-    sizes = cells.groupBy("root").agg(F.count("*").alias("voxels"))
-    out = sizes.join(inner, "root", "left").withColumn("crossings", 26 * F.col("voxels") - F.coalesce("inside", F.lit(0)))
+    out = contacts(cells).withColumn("crossings", 26 * F.col("voxels") - F.col("inside"))
     s, v = F.col("surface"), F.col("voxels") * (sx * sy * sz)
     out = out.withColumn("surface", F.col("crossings") * ((sx * sy + sx * sz + sy * sz) / 3) / 13)
     some = lambda c: F.when(s > 1e-9, c).otherwise(0.0)

@@ -1,7 +1,15 @@
+import itertools
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import components, volume as V
+from tessera.operators import components, dealing, volume as V
+
+
+def faces(p):
+    return [tuple(a + d * (i == axis) for i, a in enumerate(p)) for axis in range(3) for d in (-1, 1)]
 
 
 def cube(spark, n, hole, mask=()):
@@ -55,3 +63,29 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(6, 30)] + [(3, 3), (29, 2)]
     got = components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r.node: r.component for r in got} == {i: 100 for i in range(100, 141)} | {i: 2 for i in [2, *range(5, 30)]}
+
+
+def test_bricks_label_erode_and_count_as_the_whole_does(spark):
+    n, random = 9, np.random.default_rng(5)
+    there = random.random((n, n, n)) < 0.55
+    rows = [(int(x + n * y + n * n * z), int(x), int(y), int(z)) for z, y, x in np.argwhere(there)]
+    cells = spark.createDataFrame(rows, "idx long, x int, y int, z int")
+    at = {(x, y, z): i for i, x, y, z in rows}
+    root: dict[int, int] = {}
+    for place in sorted(at, key=at.get):
+        todo = [] if at[place] in root else [place]
+        while todo:
+            p = todo.pop()
+            if root.setdefault(at[p], at[place]) == at[place]:
+                todo += [q for q in faces(p) if q in at and at[q] not in root]
+    want = sorted(root.items())
+    held = V.labelled(cells, 4)
+    assert sorted((r.idx, r.root) for r in held.collect()) == want
+    left = {p for p in at if all(q in at for q in faces(p))}
+    assert {r.root for r in dealing.eroded_roots(held, 1, 4).collect()} == {root[at[p]] for p in left}
+    left = {p for p in left if all(q in left for q in faces(p))}
+    assert {r.root for r in dealing.eroded_roots(held, 2, 4).collect()} == {root[at[p]] for p in left}
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if any(s)]
+    inside = Counter(root[i] for p, i in at.items() for s in steps if root.get(at.get(tuple(a + b for a, b in zip(p, s)))) == root[i])
+    assert {r.root: (r.voxels, r.inside) for r in dealing.contacts(held, 4).collect()} == {k: (v, inside[k]) for k, v in Counter(root.values()).items()}
+    assert V.labelled(cells.limit(0)).count() == 0

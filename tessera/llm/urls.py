@@ -11,6 +11,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict): a host with its subdomains, then the start of the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BAD, GOOD = "y=bad", "y=good"
+#: Tasks over which the urls of one token set are spread where its rules are too many to broadcast.
+SALTS = 32
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -81,6 +83,19 @@ def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
+def with_confidence(urls: DataFrame, matched: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """urls with the confidence of their token set in matched, else null.
+
+    matched, a written table, is broadcast while its rows at their widest fit the limit. Beyond it the join shuffles on
+    tokens and a salt, since one token set may hold a third of all urls.
+    """
+    widest = matched.agg(F.max(F.octet_length(F.concat_ws("", "tokens")) + 16 * F.size("tokens"))).first()[0] or 0
+    if matched.count() * (widest + 64) <= limit:
+        return urls.join(F.broadcast(matched), "tokens", "left")
+    spread = matched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return urls.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(spread, ["tokens", "salt"], "left").drop("salt")
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
     """(page_id, host, path, rule, verdict, confidence) for every row of pages.
 
@@ -94,9 +109,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, **options: float) -> DataFra
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     rules = mine_rules(cut(urls.join(marks, "page_id").where(F.size("tokens") > 0).select("tokens", "bad"), "labelled"), **options)
-    matched = match_rules(urls.select("tokens").distinct(), rules)
+    matched = cut(match_rules(urls.select("tokens").distinct(), rules), "matched")
     rule = rule_column(F.col("host"), F.col("path"))
-    out = urls.join(matched, "tokens", "left").select("page_id", "host", "path", rule.alias("rule"), "confidence")
+    out = with_confidence(urls, matched).select("page_id", "host", "path", rule.alias("rule"), "confidence")
     stated = F.create_map(*[F.lit(x) for r in RULES for x in r])
     verdict = F.coalesce(stated[F.col("rule")], F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return out.withColumn("verdict", verdict)

@@ -163,3 +163,10 @@ def test_a_bad_host_is_blocked_however_large_the_table(spark):
     labels = frame.select(frame.page_id.alias("doc_id"), "quality").selectExpr("*", "0 as toxic")
     got = {r.page_id for r in urls.judge_urls(frame.select("page_id", "url"), labels).collect() if r.verdict == "block"}
     assert got == set(range(12))
+
+
+def test_token_sets_beyond_the_broadcast_limit_match_alike(spark):
+    pages = spark.createDataFrame([(i if i else None, ["h=a"] if i % 4 else ["h=b", "p=é"]) for i in range(40)] + [(7, [])], "page_id long, tokens array<string>")
+    matched = spark.createDataFrame([(["h=b", "p=é"], 0.75)], "tokens array<string>, confidence double")
+    small, large = (sorted(map(str, urls.with_confidence(pages, matched, limit).select("page_id", "tokens", "confidence").collect())) for limit in (1 << 20, 0))
+    assert small == large and len(small) == 41 and sum("0.75" in r for r in small) == 10

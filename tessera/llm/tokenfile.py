@@ -15,9 +15,11 @@ from tessera.llm.packing import in_doc_order, part_starts
 from tessera.llm.tokens import chunks, plain_texts
 from tessera.storage import cut
 
-MAGIC = b"EFTK"
+MAGIC, HEAD = b"EFTK", "<QQqII"
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
+#: Ids of documents in a segment lie within so much of each other, so that differences fit 64 bits.
+SPAN = 1 << 62
 #: One position is stored for so many documents, from which select() counts on.
 SAMPLE = 64
 
@@ -76,12 +78,18 @@ class EliasFano:
         return (ones - i) << self.low_bits | self._low(i)
 
 
-def write_segment(ids: list[bytes]) -> bytes:
-    """One segment: magic, number of ids, the boundaries (each document's end), the ids as 16 bits."""
+def write_segment(ids: list[bytes], names: list[int | None]) -> bytes:
+    """One segment: magic, number of ids, null names, first name, sizes; names less the first, each document's end, the ids as 16 bits.
+
+    names ascend, nulls first. Names and ends are Elias-Fano encoded, so that nothing holds 64 bits for each document.
+    """
+    known = np.array([n for n in names if n is not None], dtype=np.int64)
+    first = int(known[0]) if len(known) else 0
+    coded = EliasFano.of(known - first, int(known[-1]) - first + 1).to_bytes() if len(known) else b""
     ends = np.cumsum([len(x) // 2 for x in ids])
     marks = EliasFano.of(ends, int(ends[-1]) + 1).to_bytes()
     body = b"".join(ids)
-    return MAGIC + struct.pack("<QI", len(body) // 2, len(marks)) + marks + body
+    return MAGIC + struct.pack(HEAD, len(body) // 2, len(names) - len(known), first, len(coded), len(marks)) + coded + marks + body
 
 
 class Segment:
@@ -90,9 +98,15 @@ class Segment:
     def __init__(self, data: memoryview) -> None:
         if bytes(data[:4]) != MAGIC:
             raise ValueError("not a token segment")
-        n, marks = struct.unpack_from("<QI", data, 4)
-        self.ends = EliasFano.from_bytes(data[16 : 16 + marks])
-        self.ids = np.frombuffer(data, dtype="<u2", offset=16 + marks, count=n)
+        n, self.nulls, self.first, coded, marks = struct.unpack_from(HEAD, data, 4)
+        at = 4 + struct.calcsize(HEAD)
+        self.names = EliasFano.from_bytes(data[at : at + coded]) if coded else None
+        self.ends = EliasFano.from_bytes(data[at + coded : at + coded + marks])
+        self.ids = np.frombuffer(data, dtype="<u2", offset=at + coded + marks, count=n)
+
+    def name(self, i: int) -> int | None:
+        """The doc_id of document i."""
+        return None if i < self.nulls else self.first + self.names.select(i - self.nulls)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
@@ -101,7 +115,7 @@ class Segment:
 def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Token segments of all documents in ascending doc_id (null first; ties by text), as a table of the shared folder.
 
-    A row is a segment: part, number, at (the part's ids before), n, doc_ids, data. A segment closes after
+    A row is a segment: part, number, at (the part's ids before), n, data, which holds the doc_ids too. A segment closes after
     SEGMENT_IDS ids, so no row grows with the corpus. Spark's writer commits the rows, so that a lost executor
     leaves no half file, and any file system that Spark reads will do. A null text counts as empty: its end id only.
     """
@@ -111,44 +125,47 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         part, number, at = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         names: list[int | None] = []
+        least: int | None = None
         size = 0
 
         def close() -> pa.RecordBatch:
-            columns = [[part], [number], [at], [size], [names], [write_segment(held)]]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "at", "n", "doc_ids", "data"])
+            columns = [[part], [number], [at], [size], [write_segment(held, names)]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "number", "at", "n", "data"])
 
         for b in batches:
             for first, texts in chunks(b.column("text")):
                 own = b.column("doc_id").slice(first, len(texts)).to_pylist()
                 for name, ids in zip(own, encoder.texts(texts), strict=True):
+                    if held and (size >= SEGMENT_IDS or (name is not None and least is not None and name - least >= SPAN)):
+                        yield close()
+                        number, at, size, held, names, least = number + 1, at + size, 0, [], [], None
                     held.append(ids + end)
                     names.append(name)
+                    least = name if least is None else least
                     size += len(ids) // 2 + 1
-                    if size >= SEGMENT_IDS:
-                        yield close()
-                        number, at, size, held, names = number + 1, at + size, 0, [], []
         if held:
             yield close()
 
     rows = in_doc_order(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(rows.mapInArrow(run, "part long, number long, at long, n long, doc_ids array<long>, data binary"), "token-files")
+    return cut(rows.mapInArrow(run, "part long, number long, at long, n long, data binary"), "token-files")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored segments."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, found in the stored segments by select()."""
     bases = part_starts(segments.select("part", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 segment = Segment(memoryview(b.column("data")[i].as_buffer()))
-                ends = segment.ends.values()
+                ends = np.array([segment.ends.select(j) for j in range(segment.ends.n)])
                 starts = np.concatenate(([0], ends[:-1]))
                 wide = segment.ids.astype("<u4")
                 crcs = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 offset = b.column("at")[i].as_py() + b.column("base")[i].as_py()
-                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[i].values, pa.array(starts + offset), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                names = pa.array([segment.name(j) for j in range(segment.ends.n)], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, pa.array(starts + offset), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = segments.join(F.broadcast(bases), "part").select("at", "base", "doc_ids", "data")
+    rows = segments.join(F.broadcast(bases), "part").select("at", "base", "data")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

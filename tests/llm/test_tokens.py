@@ -123,8 +123,17 @@ def test_elias_fano_selects():
 
 def test_segments_close_and_find_documents():
     parts = [np.array([5, 1], "<u2").tobytes(), np.array([1], "<u2").tobytes(), np.array([7, 8, 9, 1], "<u2").tobytes()]
-    segment = tokenfile.Segment(memoryview(tokenfile.write_segment(parts)))
+    segment = tokenfile.Segment(memoryview(tokenfile.write_segment(parts, [None, -3, 2**61])))
     assert [segment.document(i).tolist() for i in range(3)] == [[5, 1], [1], [7, 8, 9, 1]]
+    assert [segment.name(i) for i in range(3)] == [None, -3, 2**61]
+    unnamed = tokenfile.Segment(memoryview(tokenfile.write_segment(parts, [None] * 3)))
+    assert [unnamed.name(i) for i in range(3)] == [None] * 3 and unnamed.document(2).tolist() == [7, 8, 9, 1]
+
+
+def test_ids_at_both_ends_of_64_bits(spark):
+    docs = spark.createDataFrame([(-(2**63), "a b"), (2**63 - 1, "c"), (0, "d"), (None, "e")], "doc_id long, text string")
+    got = sorted(tokenfile.read_documents(tokenfile.write_token_files(docs, WORD)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, -(2**63), 0, 2**63 - 1]
 
 
 def test_empty_tables(spark):

@@ -68,6 +68,11 @@ def is_affine(m: np.ndarray) -> bool:
     return abs(np.linalg.det(m[:3, :3])) > 8 * np.finfo(float).eps * scale
 
 
+def check_matrix(m: np.ndarray) -> None:
+    if not is_affine(m):
+        raise ValueError("not an invertible affine matrix")
+
+
 def transformed(point: tuple[Column, Column, Column], m: np.ndarray) -> tuple[Column, Column, Column]:
     """A point after a homogeneous matrix; a zero weight divides nothing."""
     rows = [point[0] * float(r[0]) + point[1] * float(r[1]) + point[2] * float(r[2]) + float(r[3]) for r in np.asarray(m)]

@@ -84,36 +84,51 @@ def gradients(voxels: DataFrame, spacing: tuple[float, float, float] = (1, 1, 1)
 
 #: Six tetrahedra of a cell, which share its diagonal; corners as bits of x, y and z.
 TETRAHEDRA = [(0, 1 << p[0], 1 << p[0] | 1 << p[1], 7) for p in permutations(range(3))]
-TRIANGLE = ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz")
+TRIANGLE = ", ".join([f"{c}{i} double" for i in range(3) for c in "xyz"] + [f"k{i} long" for i in range(3)])
+#: Bits of a coordinate in the number of a grid point.
+AXIS_BITS = 20
 
 
-def _cut(values: np.ndarray, corners: np.ndarray, iso: float, inside: tuple[int, ...]) -> np.ndarray:
-    """Triangles (n, 3, 3) of tetrahedra whose corners numbered `inside` are at least iso; normals point away from them."""
+def _cut(values: np.ndarray, corners: np.ndarray, ids: np.ndarray, ways: tuple[int, ...], iso: float, inside: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles (n, 3, 3) of tetrahedra whose corners numbered `inside` are at least iso, and their points' numbers; normals point away from them.
+
+    A point on a line from grid point a is numbered eight times a's number plus the line's way (1 to 7, bits of x, y and
+    z); one on a grid point eight times its number. So all cells at a point give it the same number.
+    """
     outside = tuple(i for i in range(4) if i not in inside)
 
-    def on(a: int, b: int) -> np.ndarray:
+    def on(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = min(a, b), max(a, b)  # both cells at a face work it out alike
         t = (iso - values[:, a]) / (values[:, b] - values[:, a])
-        return corners[:, a] + t[:, None] * (corners[:, b] - corners[:, a])
+        key = np.where(t == 0, 8 * ids[:, a], np.where(t == 1, 8 * ids[:, b], 8 * ids[:, a] + (ways[b] - ways[a])))
+        return corners[:, a] + t[:, None] * (corners[:, b] - corners[:, a]), key
 
     if len(inside) == 2:
         p = [on(inside[0], outside[0]), on(inside[0], outside[1]), on(inside[1], outside[1]), on(inside[1], outside[0])]
-        faces = [np.stack([p[0], p[1], p[2]], 1), np.stack([p[0], p[2], p[3]], 1)]
+        faces = [(p[0], p[1], p[2]), (p[0], p[2], p[3])]
     else:
         lone, rest = (inside[0], outside) if len(inside) == 1 else (outside[0], inside)
-        faces = [np.stack([on(lone, r) for r in rest], 1)]
-    out = np.concatenate(faces)
+        faces = [tuple(on(lone, r) for r in rest)]
+    out = np.concatenate([np.stack([q for q, _ in f], 1) for f in faces])
+    keys = np.concatenate([np.stack([k for _, k in f], 1) for f in faces])
     away = np.tile(corners[:, outside].mean(1) - corners[:, inside].mean(1), (len(faces), 1))
     normal = np.cross(out[:, 1] - out[:, 0], out[:, 2] - out[:, 0])
     wrong = (normal * away).sum(1) < 0
-    out[wrong] = out[wrong][:, ::-1]
-    return out[(normal != 0).any(1)]
+    out[wrong], keys[wrong] = out[wrong][:, ::-1], keys[wrong][:, ::-1]
+    flat = (normal == 0).all(1)
+    return out[~flat], keys[~flat]
 
 
 def iso_surface(voxels: DataFrame, iso: float, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> DataFrame:
-    """Triangles (x0, y0, z0, ... z2) where the linear field in six tetrahedra of each cell equals iso.
+    """Triangles (x0, y0, z0, ... z2) of numbered_surface(), without the numbers."""
+    return numbered_surface(voxels, iso, spacing, origin).drop("k0", "k1", "k2")
+
+
+def numbered_surface(voxels: DataFrame, iso: float, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> DataFrame:
+    """Triangles (x0, y0, z0, ... z2, k0, k1, k2) where the linear field in six tetrahedra of each cell equals iso.
 
-    Cells with an invalid corner are left out. Points that triangles share are equal to the last bit.
+    Cells with an invalid corner are left out. Points that triangles share are equal to the last bit, and have the same
+    number in k0 to k2. Coordinates of the grid are below 2^20.
     """
 
     def kernel(values: np.ndarray, low: tuple[int, int, int]) -> pd.DataFrame:
@@ -122,14 +137,19 @@ def iso_surface(voxels: DataFrame, iso: float, spacing: tuple[float, float, floa
         z, y, x = np.nonzero(~np.isnan(eight).any(0) & (above > 0) & (above < 8))
         cell, base = eight[:, z, y, x].T, np.stack([x, y, z], 1) + np.array(low)
         bits = np.array([[c & 1, c >> 1 & 1, c >> 2] for c in range(8)])
-        found = [np.zeros((0, 3, 3))]
+        found, keys = [np.zeros((0, 3, 3))], [np.zeros((0, 3), np.int64)]
         for tet in TETRAHEDRA:
             v, at = cell[:, tet], base[:, None, :] + bits[list(tet)]
+            ids = at.astype(np.int64) @ np.array([1, 1 << AXIS_BITS, 1 << 2 * AXIS_BITS])
             code = (v >= iso) @ np.array([1, 2, 4, 8])
             for c in range(1, 15):
                 if (hit := code == c).any():
-                    found.append(_cut(v[hit], at[hit].astype(float), iso, tuple(i for i in range(4) if c >> i & 1)))
+                    made = _cut(v[hit], at[hit].astype(float), ids[hit], tet, iso, tuple(i for i in range(4) if c >> i & 1))
+                    found.append(made[0])
+                    keys.append(made[1])
         all_ = np.concatenate(found) * np.array(spacing) + np.array(origin)
-        return pd.DataFrame(all_.reshape(-1, 9), columns=[f"{c}{i}" for i in range(3) for c in "xyz"])
+        out = pd.DataFrame(all_.reshape(-1, 9), columns=[f"{c}{i}" for i in range(3) for c in "xyz"])
+        out[["k0", "k1", "k2"]] = np.concatenate(keys)
+        return out
 
     return by_brick(voxels, kernel, TRIANGLE, 0, 1)

@@ -114,3 +114,24 @@ def contacts(cells: DataFrame, side: int = SIDE) -> DataFrame:
 
     found = on_bricks(cells.select("x", "y", "z", F.col("root").cast("long").alias("root")), kernel, "root long, voxels long, inside long", 1, 1, side)
     return found.groupBy("root").agg(F.sum("voxels").alias("voxels"), F.sum("inside").alias("inside"))
+
+
+def projections(cells: DataFrame, side: int = SIDE) -> DataFrame:
+    """(root, plane, bu, bv, bits): for each brick and plane (xy, xz, yz) a bitmap of the side^2 places that cells(x, y, z, root) cover."""
+
+    def kernel(rows: pa.Table, grid: np.ndarray, own: np.ndarray) -> pa.Table:
+        roots, code = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        at = {c: rows[c].to_numpy() for c in "xyz"}
+        out: dict[str, list] = {"root": [], "plane": [], "bu": [], "bv": [], "bits": []}
+        for u, v in ("xy", "xz", "yz"):
+            place = at[u] % side + side * (at[v] % side)
+            pairs = np.unique(code * side**2 + place)
+            first = np.searchsorted(pairs, np.arange(len(roots) + 1) * side**2)
+            for k, root in enumerate(roots.tolist()):
+                held = np.zeros(side**2, bool)
+                held[pairs[first[k] : first[k + 1]] % side**2] = True
+                for name, value in zip(out, (root, u + v, int(at[u][0] // side), int(at[v][0] // side), np.packbits(held).tobytes()), strict=True):
+                    out[name].append(value)
+        return pa.table({"root": pa.array(out["root"], pa.int64()), "plane": pa.array(out["plane"], pa.string()), "bu": pa.array(out["bu"], pa.int32()), "bv": pa.array(out["bv"], pa.int32()), "bits": pa.array(out["bits"], pa.binary())})
+
+    return on_bricks(cells.select("x", "y", "z", F.col("root").cast("long").alias("root")), kernel, "root long, plane string, bu int, bv int, bits binary", 0, 0, side)

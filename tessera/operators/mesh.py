@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.geometry import export_name, is_affine, transformed
-from tessera.operators.volume import piecewise
+from tessera.operators.gather import sampled
+from tessera.operators.numbering import numbered
+from tessera.operators.volume import piecewise, valid_of
 from tessera.sources.files import write_pieces
 from tessera.storage import cut
 
 Point = tuple[Column, Column, Column]
 CORNERS = [[f"{c}{i}" for c in "xyz"] for i in range(3)]
+#: Numbers of a triangle's points, where it has them: equal for the same point, as bricks.numbered_surface() gives them.
+KEYS = ["k0", "k1", "k2"]
 
 
 def corner(i: int) -> Point:
@@ -26,42 +30,52 @@ def moved(triangles: DataFrame, matrix: np.ndarray) -> DataFrame:
     if not is_affine(matrix):
         raise ValueError("not an invertible affine matrix")
     order = (0, 1, 2) if np.linalg.det(np.asarray(matrix)[:3, :3]) > 0 else (0, 2, 1)
-    return triangles.select(*[c.alias(n) for i, at in enumerate(order) for c, n in zip(transformed(corner(at), matrix), CORNERS[i], strict=True)])
+    keys = [F.col(KEYS[at]).alias(k) for k, at in zip(KEYS, order, strict=True)] if KEYS[0] in triangles.columns else []
+    return triangles.select(*[c.alias(n) for i, at in enumerate(order) for c, n in zip(transformed(corner(at), matrix), CORNERS[i], strict=True)], *keys)
 
 
 def clipped(triangles: DataFrame, keep: Callable[[Point], Column], level: float = 0.5) -> DataFrame:
-    """What is left of triangles where a point predicate holds: corners count 1 or 0, and edges are cut at `level` between.
+    """What is left of triangles where a point predicate holds: corners count 1 or 0, and edges are cut at `level` between."""
+    return clipped_at(triangles.withColumns({f"_s{i}": F.when(keep(corner(i)), 1.0).otherwise(0.0) for i in range(3)}), ["_s0", "_s1", "_s2"], level)
 
-    Cut points are worked out from the smaller end of an edge, so that neighbours agree.
+
+def clipped_at(triangles: DataFrame, values: list[str], level: float) -> DataFrame:
+    """What is left of triangles where a field is over `level`; values names the columns of its values at the corners.
+
+    The field is linear along an edge, which is cut where it equals the level. Cut points are worked out from the
+    smaller end of an edge, so that neighbours agree.
     """
-    p = [F.struct(*[F.col(c).alias(a) for c, a in zip(CORNERS[i], "xyz", strict=True)]) for i in range(3)]
-    rows = triangles.select(F.array(*p).alias("p"), F.array(*[keep(corner(i)) for i in range(3)]).alias("k"))
+    p = F.array(*[F.struct(*[F.col(c).alias(a) for c, a in zip(CORNERS[i], "xyz", strict=True)], F.col(values[i]).alias("s")) for i in range(3)])
+    kept = [F.coalesce(F.col(v) > level, F.lit(False)) for v in values]
+    rows = triangles.select(p.alias("p"), F.array(*kept).alias("k"), sum((k.cast("int") for k in kept), F.lit(0)).alias("n")).where("n > 0")
+    # The corner that differs from the two others comes first; the order round the triangle stays.
+    first = F.when(F.col("n") == 3, 0).otherwise(F.array_position("k", F.col("n") == 1) - 1).cast("int")
+    turned = rows.select("n", *[F.col("p")[(first + i) % 3].alias(f"q{i}") for i in range(3)])
 
     def on(a: Column, b: Column) -> Column:
-        """From a, which stays, to b."""
-        t = F.when(a < b, 1 - level).otherwise(level)
-        first, last = F.least(a, b), F.greatest(a, b)
-        return F.struct(*[(first[c] + t * (last[c] - first[c])).alias(c) for c in "xyz"])
-
-    pieces = F.lit(None)
-    at = lambda i: F.col("p")[i]
-    for code in range(1, 8):
-        sides = [bool(code >> i & 1) for i in range(3)]
-        if code == 7:
-            out = F.array(F.array(at(0), at(1), at(2)))
-        elif sum(sides) == 1:
-            i = sides.index(True)
-            out = F.array(F.array(at(i), on(at(i), at((i + 1) % 3)), on(at(i), at((i + 2) % 3))))
-        else:
-            i = sides.index(False)
-            a, b = (i + 1) % 3, (i + 2) % 3
-            out = F.array(F.array(at(a), at(b), on(at(b), at(i))), F.array(at(a), on(at(b), at(i)), on(at(a), at(i))))
-        same = (F.col("k")[0] == sides[0]) & (F.col("k")[1] == sides[1]) & (F.col("k")[2] == sides[2])
-        pieces = F.when(same, out).otherwise(pieces)
-    left = rows.select(F.explode(pieces).alias("t"))
+        low, high = F.least(a, b), F.greatest(a, b)
+        t = (F.lit(float(level)) - low["s"]) / (high["s"] - low["s"])
+        return F.struct(*[(low[c] + t * (high[c] - low[c])).alias(c) for c in "xyz"], F.lit(float(level)).alias("s"))
+
+    cross_ = F.col("n") < 3
+    q0, q1, q2, c1, c2 = (F.col(c) for c in ("q0", "q1", "q2", "c1", "c2"))
+    points_ = turned.withColumns({"c1": F.when(cross_, on(q0, q1)), "c2": F.when(cross_, on(q0, q2))})
+    pieces = F.when(F.col("n") == 3, F.array(F.array(q0, q1, q2))).when(F.col("n") == 1, F.array(F.array(q0, c1, c2))).otherwise(F.array(F.array(q1, q2, c2), F.array(q1, c2, c1)))
+    left = points_.select(F.explode(pieces).alias("t"))
     return left.select(*[F.col("t")[i][c].alias(f"{c}{i}") for i in range(3) for c in "xyz"])
 
 
+def clipped_by_mask(triangles: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> DataFrame:
+    """What is left of triangles within the mask of a volume: 255 at valid voxels and 0 at others, linear between, cut at 127.5.
+
+    Outside the volume the mask is -1. A volume without a mask leaves what lies within it.
+    """
+    mask = voxels.select("x", "y", "z", F.when(valid_of(voxels), 255.0).otherwise(0.0).alias("value"))
+    names = [f"_s{i}" for i in range(3)]
+    flat = triangles.select(*[c for cs in CORNERS for c in cs])
+    return clipped_at(sampled(flat, [tuple(cs) for cs in CORNERS], names, mask, dims, spacing, origin, -1.0), names, 127.5)
+
+
 def cross(a: Point, b: Point) -> Point:
     return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
@@ -73,41 +87,43 @@ def triangle_normal() -> Point:
 
 
 def points(triangles: DataFrame) -> DataFrame:
-    """(x, y, z, nx, ny, nz): distinct points with unit normals, those of their triangles weighted by area; zero where they cancel out."""
-    n = triangle_normal()
-    normal = [c.alias(f"n{a}") for c, a in zip(n, "xyz", strict=True)]
-    ends = F.explode(F.array(*[F.struct(*[F.col(c).alias(a) for c, a in zip(CORNERS[i], "xyz", strict=True)]) for i in range(3)])).alias("p")
-    sums = triangles.select(ends, *normal).groupBy("p").agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in "xyz"])
+    """(x, y, z, nx, ny, nz): distinct points with unit normals, those of their triangles weighted by area; zero where they cancel out.
+
+    With key where triangles have the numbers of their points, which then tell points apart; else the coordinates do.
+    """
+    keyed = KEYS[0] in triangles.columns
+    normal = [c.alias(f"n{a}") for c, a in zip(triangle_normal(), "xyz", strict=True)]
+    at = [F.struct(*[F.col(c).alias(a) for c, a in zip(CORNERS[i], "xyz", strict=True)]).alias("p") for i in range(3)]
+    ends = F.explode(F.array(*[F.struct(*[F.col(KEYS[i]).alias("key")] * keyed, at[i]) for i in range(3)])).alias("end")
+    rows = triangles.select(ends, *normal).select("end.*", *[f"n{a}" for a in "xyz"])
+    sums = rows.groupBy("key" if keyed else "p").agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in "xyz"], *[F.min(f"p.{a}").alias(a) for a in "xyz"])
     size = F.sqrt(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in "xyz"), F.lit(0.0)))
     unit = [F.when(F.col("size") > 0, F.col(f"n{a}") / F.col("size")).otherwise(0.0).alias(f"n{a}") for a in "xyz"]
-    return sums.withColumn("size", size).select("p.x", "p.y", "p.z", *unit)
-
-
-def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Rows with `number` from 0 on without gaps, in the order of `by`: places within partitions, and the partitions' totals before."""
-    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
-    table = cut(placed, name)
-    part = F.shiftright("place", 33).alias("part")
-    totals = table.groupBy(part).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each partition
-    base, bases = 0, []
-    for r in totals:
-        bases.append((r.part, base))
-        base += r.n
-    start = rows.sparkSession.createDataFrame(bases, "part long, base long")
-    joined = table.withColumn("part", part).join(F.broadcast(start), "part")
-    return joined.withColumn("number", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "base", "place")
+    return sums.withColumn("size", size).select(*["key"] * keyed, "x", "y", "z", *unit)
 
 
 def indexed(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered points, and triangles (number, p0, p1, p2) of those numbers."""
-    found = numbered(points(triangles), ["x", "y", "z"], "mesh-points")
-    out = numbered(triangles, [c for cs in CORNERS for c in cs], "mesh-triangles")
+    """Numbered points, and triangles (number, p0, p1, p2) of those numbers. Points meet by key where triangles have keys."""
+    keyed = KEYS[0] in triangles.columns
+    found = numbered(points(triangles), ["key"] if keyed else ["x", "y", "z"], "mesh-points")
+    flat = [c for cs in CORNERS for c in cs]
+    out = numbered(triangles.select(*KEYS), KEYS, "mesh-triangles") if keyed else numbered(triangles, flat, "mesh-triangles")
     for i in range(3):
-        ends = found.select(*[F.col(c).alias(f"{c}{i}") for c in "xyz"], F.col("number").alias(f"p{i}"))
-        out = out.join(ends, CORNERS[i])
+        own = [F.col("key").alias(KEYS[i])] if keyed else [F.col(c).alias(f"{c}{i}") for c in "xyz"]
+        out = out.join(found.select(*own, F.col("number").alias(f"p{i}")), [KEYS[i]] if keyed else CORNERS[i])
     return found, out.select("number", "p0", "p1", "p2")
 
 
+def counts(triangles: DataFrame) -> DataFrame:
+    """(points, edges, triangles, euler) of triangles with the numbers of their points; euler is 2 for a closed surface without holes."""
+    held = cut(triangles.select(*KEYS), "mesh-keys")
+    ends = held.select(F.explode(F.array(*KEYS)).alias("k")).distinct().agg(F.count("*").alias("points"))
+    sides = F.array(*[F.struct(F.least(KEYS[i], KEYS[i - 1]).alias("a"), F.greatest(KEYS[i], KEYS[i - 1]).alias("b")) for i in range(3)])
+    edges = held.select(F.explode(sides).alias("e")).distinct().agg(F.count("*").alias("edges"))
+    found = ends.crossJoin(edges).crossJoin(held.agg(F.count("*").alias("triangles")))  # one row each
+    return found.withColumn("euler", F.col("points") - F.col("edges") + F.col("triangles"))
+
+
 def color(scalar: Column, nodes: list[tuple[float, float, float, float]], lo: float, hi: float) -> list[Column]:
     """Red, green and blue bytes of a transfer function (position, r, g, b) over a range; a gray ramp without one, or white where the range is empty."""
     if hi < lo:

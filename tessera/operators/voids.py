@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators import bricks, volume as V
-from tessera.storage import cut
+from tessera.storage import cut, small_side
 
 
 def iso_by_ratio(voxels: DataFrame, ratio: float) -> float:
@@ -34,7 +34,8 @@ def region_table(cells: DataFrame, spacing: tuple[float, float, float] = (1, 1,
 
 def labels(voxels: DataFrame, cells: DataFrame, regions: DataFrame) -> DataFrame:
     """voxels with label: the id of their region, and 0 elsewhere, in dropped regions, too."""
-    ids = cells.select("idx", "root").join(regions.select("root", "id"), "root").select("idx", "id")
+    known = small_side(cut(regions.select("root", "id"), "region-ids"), 24)
+    ids = cells.select("idx", "root").join(known, "root").select("idx", "id")
     return voxels.join(ids, "idx", "left").withColumn("label", F.coalesce("id", F.lit(0))).drop("id")
 
 

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.components import connected_components
-from tessera.operators.dealing import SIDE, contacts, eroded_roots, parts
+from tessera.operators.dealing import SIDE, contacts, eroded_roots, parts, projections
+from tessera.operators.gather import regridded
+from tessera.operators.numbering import numbered
 from tessera.storage import cut, small_side
 
 
@@ -205,48 +207,57 @@ def point(spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float,
     return tuple((F.col(c).cast("double") * s + o).cast("float") for c, s, o in zip("xyz", spacing, origin, strict=True))
 
 
-def labelled(cells: DataFrame, side: int = SIDE) -> DataFrame:
-    """cells with root, the smallest idx of their 6-connected component.
+def labelled(cells: DataFrame, side: int = SIDE, apart_from: Column | None = None) -> DataFrame:
+    """cells with root, the smallest idx of their 6-connected component; without components that hold a cell of apart_from.
 
     Bricks are labelled by themselves; only their parts that meet in a rim are edges of a graph, whose components
-    name the whole. A voxel moves once, to its brick.
+    name the whole. A voxel moves once, to its brick, and then meets its part, which has at most a brick's voxels: what holds
+    for a component is worked out from its parts, so that no join gathers the voxels of a large component.
     """
     found = cut(parts(cells, side), "parts")
     own = found.where("own").drop("own")
     met = found.where("not own").select("idx", F.col("part").alias("src")).join(own.select("idx", F.col("part").alias("dst")), "idx")
     joined = cut(connected_components(met.select("src", "dst")), "components")
-    named = small_side(joined.withColumnRenamed("node", "part"), 64)
-    return own.join(named, "part", "left").select(*cells.columns, F.coalesce("component", "part").alias("root"))
+    named = joined.withColumnRenamed("node", "part")
+    if apart_from is None:
+        return own.join(small_side(named, 64), "part", "left").select(*cells.columns, F.coalesce("component", "part").alias("root"))
+    touched = own.groupBy("part").agg(F.max(apart_from).alias("touched")).join(small_side(named, 64), "part", "left").withColumn("root", F.coalesce("component", "part"))
+    touched = cut(touched.select("part", "root", "touched"), "part-roots")
+    gone = cut(touched.where("touched").select("root").distinct(), "touched-roots")
+    free = cut(touched.join(small_side(gone, 16), "root", "left_anti").select("part", "root"), "free-parts")
+    return own.join(small_side(free, 24), "part").select(*cells.columns, "root")
 
 
 def interior(voxels: DataFrame, iso: float, dims: tuple[int, int, int]) -> DataFrame:
     """Valid voxels below iso that no open way joins with a face or an invalid voxel; with root, their component."""
     is_open = voxels.where(~valid() | (F.col("value") < single(iso)) & ~F.isnan("value"))
-    cells = labelled(is_open)
     face = reduce(lambda a, b: a | b, [(F.col(c) == 0) | (F.col(c) == d - 1) for c, d in zip("xyz", dims, strict=True)])
-    outside = cells.where(face | ~valid()).select("root").distinct()
-    return cells.join(outside, "root", "left_anti")
+    return labelled(is_open, apart_from=face | ~valid())
 
 
 def opened(cells: DataFrame, erosions: int) -> DataFrame:
     """Erode by 6-neighbours, then regrow what is left within its component."""
-    return cells.join(eroded_roots(cells, erosions), "root", "left_semi") if erosions else cells
+    return cells.join(small_side(cut(eroded_roots(cells, erosions), "eroded"), 16), "root", "left_semi") if erosions else cells
 
 
 def regions(cells: DataFrame, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0), min_volume: float = 0) -> DataFrame:
-    """A row for each component: number, size, centroid, closed bounds, gray values, moments and projected areas."""
+    """A row for each component: number, size, centroid, closed bounds, gray values, moments and projected areas.
+
+    Areas (n_xy, n_xz, n_yz, in voxels) are counted in bitmaps of the planes, which bricks make and regions unite.
+    """
     sx, sy, sz = spacing
     mm = [(F.col(c) * s) for c, s in zip("xyz", spacing, strict=True)]
     v = F.col("value").cast("double")
     sums = [F.sum(m).alias(f"s{c}") for c, m in zip("xyz", mm, strict=True)]
     pairs = [F.sum(mm[a] * mm[b]).alias(f"s{'xyz'[a]}{'xyz'[b]}") for a in range(3) for b in range(a, 3)]
     bounds = [f(c).alias(f"{f.__name__}_{c}") for c in "xyz" for f in (F.min, F.max)]
-    areas = [F.count_distinct(a, b).alias(f"n_{a}{b}") for a, b in ("xy", "xz", "yz")]
-    out = cells.groupBy("root").agg(F.count("*").alias("voxels"), *sums, *pairs, *bounds, *areas, F.min(v).alias("min_gray"), F.max(v).alias("max_gray"), F.sum(v).alias("sum_gray"), F.sum(v * v).alias("sum_gray2"))
+    out = cells.groupBy("root").agg(F.count("*").alias("voxels"), *sums, *pairs, *bounds, F.min(v).alias("min_gray"), F.max(v).alias("max_gray"), F.sum(v).alias("sum_gray"), F.sum(v * v).alias("sum_gray2"))
     out = out.withColumn("volume", F.col("voxels") * (sx * sy * sz)).where(F.col("volume") >= min_volume)
-    numbered = out.select("root").withColumn("id", F.row_number().over(Window.orderBy("root")))  # a row for each region only
+    found = numbered(out, ["root"], "regions").withColumn("id", (F.col("number") + 1).cast("int")).drop("number")
+    shadows = projections(cells).groupBy("root", "plane", "bu", "bv").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    areas = shadows.groupBy("root").agg(*[F.coalesce(F.sum(F.when(F.col("plane") == p, F.col("n"))), F.lit(0)).alias(f"n_{p}") for p in ("xy", "xz", "yz")])
     n = F.col("voxels")
-    out = out.join(numbered, "root").withColumns({f"c{c}": F.col(f"s{c}") / n + o for c, o in zip("xyz", origin, strict=True)})
+    out = found.join(areas, "root").withColumns({f"c{c}": F.col(f"s{c}") / n + o for c, o in zip("xyz", origin, strict=True)})
     mean = F.col("sum_gray") / n
     return out.withColumns({"mean_gray": mean, "std_gray": F.sqrt(F.greatest(F.lit(0.0), F.col("sum_gray2") / n - mean * mean)), "diameter": F.pow(6 * F.col("volume") / F.pi(), F.lit(1 / 3))})
 
@@ -270,22 +281,9 @@ def porosity(voxels: DataFrame, cells: DataFrame, spacing: tuple[float, float, f
 
 
 def resampled(voxels: DataFrame, dims: tuple[int, int, int], to: tuple[int, int, int]) -> DataFrame:
-    """Linear resampling to another grid over the same extent: corner voxels within the volume, weighted and summed."""
-    grid = with_index(voxels.sparkSession.range(to[0] * to[1] * to[2]).withColumnRenamed("id", "idx"), to[0], to[1])
-    at = {c: F.col(c) * (d / t) for c, d, t in zip("xyz", dims, to, strict=True)}
-    corners = F.explode(F.array(*[F.struct(*[F.lit(b).alias(c) for b, c in zip((i, j, k), "abc", strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("p")
-    spread = grid.select("idx", *[at[c].alias(f"f{c}") for c in "xyz"], corners).select("idx", "fx", "fy", "fz", "p.*")
-    weight = F.lit(1.0)
-    keys = {}
-    for c, b, d in zip("xyz", "abc", dims, strict=True):
-        low = F.floor(f"f{c}")
-        part = F.col(f"f{c}") - low
-        weight = weight * F.when(F.col(b) == 1, part).otherwise(1 - part)
-        keys[c] = F.least(low + F.col(b), F.lit(d - 1)).cast("int")
-    spread = spread.withColumn("w", weight).withColumns(keys).where("w > 0")
-    joined = spread.join(voxels.select("x", "y", "z", F.col("value").cast("double").alias("v")), ["x", "y", "z"])
-    sums = joined.groupBy("idx").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
-    return with_index(sums, to[0], to[1]).select("idx", "x", "y", "z", "value")
+    """Linear resampling to another grid over the same extent; places beyond the last voxel take its value."""
+    step = [d / t for d, t in zip(dims, to, strict=True)]
+    return regridded(voxels, dims, to, [[step[0], 0, 0, 0], [0, step[1], 0, 0], [0, 0, step[2], 0]], None)
 
 
 def resliced(voxels: DataFrame, dims: tuple[int, int, int], to: tuple[int, int, int], back: list[list[float]], background: float = 0.0) -> DataFrame:
@@ -293,32 +291,14 @@ def resliced(voxels: DataFrame, dims: tuple[int, int, int], to: tuple[int, int,
 
     Linear between voxels; the background where the place is outside the volume.
     """
-    grid = with_index(voxels.sparkSession.range(to[0] * to[1] * to[2]).withColumnRenamed("id", "idx"), to[0], to[1])
-    place = _places(grid, back)
-    inside = reduce(lambda a, b: a & b, [F.col(f"f{c}").between(0, d - 1) for c, d in zip("xyz", dims, strict=True)])
-    bits = F.explode(F.array(*[F.struct(*[F.lit(b).alias(c) for b, c in zip((i, j, k), "abc", strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("p")
-    spread = place.where(inside).select("idx", "fx", "fy", "fz", bits).select("idx", "fx", "fy", "fz", "p.*")
-    weight, keys = F.lit(1.0), {}
-    for c, b in zip("xyz", "abc", strict=True):
-        low = F.floor(f"f{c}")
-        weight = weight * F.when(F.col(b) == 1, F.col(f"f{c}") - low).otherwise(1 - F.col(f"f{c}") + low)
-        keys[c] = (low + F.col(b)).cast("int")
-    spread = spread.withColumn("w", weight).withColumns(keys).where("w > 0")
-    sums = spread.join(voxels.select("x", "y", "z", F.col("value").cast("double").alias("v")), ["x", "y", "z"]).groupBy("idx").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
-    return grid.join(sums, "idx", "left").select("idx", "x", "y", "z", F.coalesce("value", F.lit(float(background))).alias("value"))
-
-
-def _places(grid: DataFrame, back: list[list[float]]) -> DataFrame:
-    rows = {f"f{c}": F.col("x") * float(r[0]) + F.col("y") * float(r[1]) + F.col("z") * float(r[2]) + float(r[3]) for c, r in zip("xyz", back, strict=True)}
-    return grid.withColumns(rows)
+    return regridded(voxels, dims, to, back, background)
 
 
 def resliced_mask(voxels: DataFrame, to: tuple[int, int, int], back: list[list[float]]) -> DataFrame:
     """(idx, x, y, z, valid) of another grid, by the nearest voxel; false outside the volume."""
-    grid = with_index(voxels.sparkSession.range(to[0] * to[1] * to[2]).withColumnRenamed("id", "idx"), to[0], to[1])
-    near = _places(grid, back).select("idx", "x", "y", "z", *[F.floor(F.col(f"f{c}") + 0.5).cast("int").alias(f"n{c}") for c in "xyz"])
-    own = voxels.select(*[F.col(c).alias(f"n{c}") for c in "xyz"], valid_of(voxels).alias("valid"))
-    return near.join(own, ["nx", "ny", "nz"], "left").select("idx", "x", "y", "z", F.coalesce("valid", F.lit(False)).alias("valid"))
+    mask = voxels.select("x", "y", "z", valid_of(voxels).cast("int").alias("value"))
+    found = regridded(mask, (1 << 31,) * 3, to, back, 0.0, nearest=True)  # beyond its voxels the mask is false anyway
+    return found.select("idx", "x", "y", "z", (F.col("value") > 0).alias("valid"))
 
 
 def isotropic(dims: tuple[int, int, int], spacing: tuple[float, float, float], target: int) -> tuple[tuple[int, int, int], tuple[float, float, float]]:

@@ -11,34 +11,41 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions.geometry import ORIENTATIONS, export_name, natural_key, resolved_dims
-from tessera.operators.volume import lps_to_ras, valid_of, window_gray, with_index
+from tessera.functions.geometry import ORIENTATIONS, check_matrix, export_name, natural_key, resolved_dims
+from tessera.operators.gather import back_map, turned_grid, turned_pieces
+from tessera.operators.volume import lps_to_ras, scalar_range, valid_of, window_gray
 from tessera.sources.files import write_pieces
+from tessera.sources.raw import RawSource, file_size
 
-VOXEL = "idx long, value float"
 
+def read_raw(spark: SparkSession, path: str, dims: tuple[int, int, int] = (0, 0, 0), flip: bool = True, planes: tuple[int, int] | None = None) -> DataFrame:
+    """Voxels (idx, x, y, z, value) of a file of little-endian 32-bit floats, x fastest, with x and y flipped from LPS to RAS.
 
-def read_raw(spark: SparkSession, path: str, dims: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """Voxels of a file of little-endian 32-bit floats, x fastest, with x and y flipped from LPS to RAS.
-
-    The file is read in rows of nx values by Spark's fixed-length record reader, in splits and from any file
-    system. ValueError unless the file holds exactly the volume; sizes of zero are taken from its name.
+    A task reads a slab of planes. With planes only z from the first to before the second is read, and other slabs aren't
+    opened. ValueError unless the file holds exactly the volume; sizes of zero are taken from its name.
     """
     nx, ny, nz = resolved_dims(path, dims)
-    rows = spark.sparkContext.binaryRecords(path, 4 * nx)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    size = file_size(path)
     if size != 4 * nx * ny * nz:
         raise ValueError(f"{size} bytes, not {4 * nx * ny * nz}")
+    first, stop = planes or (0, nz)
+    spark.dataSource.register(RawSource)
+    return spark.read.format("tessera_raw").options(path=path, nx=nx, ny=ny, nz=nz, flip=flip, first=first, stop=stop).load()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = np.frombuffer(b"".join(b.column("data").to_pylist()), dtype="<f4")
-            idx = (b.column("row").to_numpy()[:, None] * nx + np.arange(nx)).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(values)], ["idx", "value"])
 
-    numbered = rows.zipWithIndex().map(lambda r: (r[1], r[0])).toDF("row long, data binary")
-    return lps_to_ras(with_index(numbered.mapInArrow(run, VOXEL), nx, ny), nx, ny)
+def write_turned(voxels: DataFrame, dims: tuple[int, int, int], folder: str, matrix: np.ndarray, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> tuple[str, tuple[int, int, int]]:
+    """A file of the volume after an affine matrix, on the grid that is cut to it; its path and sizes.
+
+    Linear between voxels; where the turned volume doesn't reach, the least value of all voxels. The mask is not looked at.
+    The matrix is checked before anything is made. Bricks of the new grid write their own rows of the file.
+    """
+    check_matrix(matrix)
+    to, low = turned_grid(dims, spacing, origin, matrix)
+    back = back_map(spacing, origin, matrix, low)
+    least = scalar_range(voxels).first()[0]  # one row
+    name = export_name(to, ".raw")
+    write_pieces(turned_pieces(voxels, dims, to, back, 0.0 if least is None else least, name), folder)
+    return f"{folder}/{name}", to
 
 
 def write_raw(voxels: DataFrame, dims: tuple[int, int, int], folder: str) -> str:

@@ -6,25 +6,28 @@ source stay with the loaded table, so a second query, or the other side of a uni
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a slab, at least one plane, and voxels that a task hands on at once.
 SLAB, BATCH = 16 << 20, 1 << 16
 
 
-def _opened(path: str) -> tuple[FileSystem, str]:
-    """A file system by the path's scheme; a plain path is one of the machines' own mounts."""
-    return FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
+def opened(path: str) -> tuple[FileSystem, str]:
+    """A file system by the path's scheme, and the name there; a path without one is in a folder that all machines mount."""
+    plain = re.sub("^file:/*", "/", path)
+    return FileSystem.from_uri(plain) if "://" in plain else (LocalFileSystem(), os.path.abspath(plain))
 
 
 def file_size(path: str) -> int:
-    system, name = _opened(path)
+    system, name = opened(path)
     info = system.get_file_info(name)
     if not info.is_file:
         raise ValueError(f"no file: {path}")
@@ -49,7 +52,7 @@ class _RawReader(DataSourceReader):
 
     def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
         nx, ny, _ = self.dims
-        system, name = _opened(self.path)
+        system, name = opened(self.path)
         at, end = partition.first * nx * ny, partition.stop * nx * ny
         with system.open_input_file(name) as file:
             while at < end:

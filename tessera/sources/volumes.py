@@ -11,11 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions.geometry import ORIENTATIONS, check_matrix, export_name, natural_key, resolved_dims
+from tessera.functions.geometry import ORIENTATIONS, check_matrix, export_name, resolved_dims
 from tessera.operators.gather import back_map, turned_grid, turned_pieces
 from tessera.operators.volume import lps_to_ras, scalar_range, valid_of, window_gray
 from tessera.sources.files import write_pieces
 from tessera.sources.raw import RawSource, file_size
+from tessera.sources.tiff import read_planes
 
 
 def read_raw(spark: SparkSession, path: str, dims: tuple[int, int, int] = (0, 0, 0), flip: bool = True, planes: tuple[int, int] | None = None) -> DataFrame:
@@ -68,55 +69,13 @@ def write_raw(voxels: DataFrame, dims: tuple[int, int, int], folder: str) -> str
     return f"{folder}/{name}"
 
 
-def _plane(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Width, height and values of a baseline TIFF: one uncompressed image of one channel."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
-        raise ValueError("not a TIFF")
-    end = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack_from(end + "I", data, 4)[0]
-    tags = {}
-    for i in range(struct.unpack_from(end + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
-        code = {1: "B", 3: "H", 4: "I"}.get(kind)
-        if code is None:
-            continue
-        place = at + 10 + 12 * i
-        if n * struct.calcsize(code) > 4:
-            place = struct.unpack_from(end + "I", data, place)[0]
-        tags[tag] = struct.unpack_from(f"{end}{n}{code}", data, place)
-    width, height, bits = tags[256][0], tags[257][0], tags.get(258, (1,))
-    if tags.get(259, (1,))[0] != 1 or len(bits) != 1:
-        raise ValueError("only uncompressed TIFF of one channel can be read")
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]] + str(bits[0] // 8)
-    body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    values = np.frombuffer(body, dtype=end + kind)
-    if len(values) != width * height:
-        raise ValueError("strips don't fill the image")
-    return width, height, values.astype("<f4")
-
-
 def read_tiff(spark: SparkSession, folder: str, flip: bool = True) -> DataFrame:
     """Voxels of a folder of .tif and .tiff planes, not searched below; planes follow the natural order of their names.
 
-    All planes must have the same size. A plane is decoded as a whole in one task.
+    Images of one channel, in strips or tiles, plain or packed by PackBits, LZW or Deflate, with or without a predictor.
+    Every strip or tile is read and decoded by itself. All planes must have the same size and kind of values.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*").load(folder)
-    names = files.select("path").withColumn("k", natural_key(F.element_at(F.split("path", "/"), -1))).orderBy("k", "path").collect()  # names of planes only
-    order = spark.createDataFrame([(r.path, z) for z, r in enumerate(names)], "path string, z int")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data, z in zip(b.column("content").to_pylist(), b.column("z").to_pylist(), strict=True):
-                w, h, values = _plane(data)
-                at = np.arange(w * h)
-                columns = [pa.array(np.full(w * h, v, dtype=np.int32)) for v in (w, h, z)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array((at % w).astype(np.int32)), pa.array((at // w).astype(np.int32)), pa.array(values)], ["w", "h", "z", "x", "y", "value"])
-
-    planes = files.join(order, "path").select("content", "z").mapInArrow(run, "w int, h int, z int, x int, y int, value float")
-    sizes = planes.select("w", "h").distinct().limit(2).collect()
-    if len(sizes) != 1:
-        raise ValueError("planes differ in size, or there are none")
-    w, h = sizes[0]
+    planes, w, h = read_planes(spark, folder)
     idx = F.col("x") + F.lit(w) * (F.col("y") + F.lit(h).cast("long") * F.col("z"))
     voxels = planes.select(idx.cast("long").alias("idx"), "x", "y", "z", "value")
     return lps_to_ras(voxels, w, h) if flip else voxels

@@ -132,6 +132,12 @@ def color(scalar: Column, nodes: list[tuple[float, float, float, float]], lo: fl
     return [F.round(255 * piecewise(scalar.cast("double"), [(lo + n[0] * (hi - lo), float(n[k])) for n in nodes])).cast("int").alias(c) for k, c in ((1, "red"), (2, "green"), (3, "blue"))]
 
 
+def colored(points: DataFrame, voxels: DataFrame, dims: tuple[int, int, int], nodes: list[tuple[float, float, float, float]], span: tuple[float, float], spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> DataFrame:
+    """points(x, y, z, ...) with red, green and blue: color() of a volume's linear value at each, the range's low end outside it."""
+    found = sampled(points, [("x", "y", "z")], ["_at"], voxels, dims, spacing, origin, span[0])
+    return found.select(*points.columns, *color(F.col("_at"), nodes, *span))
+
+
 def _pieces(rows: DataFrame, columns: list[str], kind: np.dtype, start: int, name: str) -> DataFrame:
     """(name, at, data) of records of fixed size, each at its number's place after `start`."""
 
@@ -160,10 +166,11 @@ def _lines(rows: DataFrame, text: Column, width: int, start: int, name: str) ->
     return rows.select(F.lit(name).alias("name"), (F.col("number") * width + start).alias("at"), F.encode(line, "UTF-8").alias("data"))
 
 
-def write_mesh(triangles: DataFrame, folder: str, dims: tuple[int, int, int], suffix: str, rgb: tuple[int, int, int] | None = None) -> str:
+def write_mesh(triangles: DataFrame, folder: str, dims: tuple[int, int, int], suffix: str, rgb: tuple[int, int, int] | Callable[[DataFrame], DataFrame] | None = None) -> str:
     """A mesh as .ply (binary, with colours if given), .stl (binary) or .obj, of records of fixed size that tasks write in place.
 
-    Returns the file's path; ValueError if there are no triangles.
+    rgb is one colour, or gives the points (x, y, z and more) with bytes red, green and blue. Returns the file's path;
+    ValueError if there are no triangles.
     """
     name = export_name(dims, suffix)
     spark = triangles.sparkSession
@@ -184,7 +191,7 @@ def write_mesh(triangles: DataFrame, folder: str, dims: tuple[int, int, int], su
         if suffix == ".ply":
             fields = [(c, "<f4") for c in ("x", "y", "z", "nx", "ny", "nz")]
             if rgb:
-                found = found.select("*", *[F.lit(v).alias(c) for v, c in zip(rgb, ("red", "green", "blue"), strict=True)])
+                found = rgb(found) if callable(rgb) else found.select("*", *[F.lit(v).alias(c) for v, c in zip(rgb, ("red", "green", "blue"), strict=True)])
                 fields += [(c, "u1") for c in ("red", "green", "blue")]
             kinds = {"<f4": "float", "u1": "uchar"}
             listed = "".join(f"property {kinds[k]} {c}\n" for c, k in fields)

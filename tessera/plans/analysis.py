@@ -1,4 +1,4 @@
-"""Queries of the whole void analysis and of crop results, over a volume with caverns whose gray values come from the part table."""
+"""Queries of the whole void analysis and of crop results, over a volume with caverns that grows with the part table, its gray values."""
 
 from __future__ import annotations
 
@@ -8,47 +8,52 @@ from tessera.operators import bricks, crop, voids, volume as V
 from tessera.plans import catalog
 from tessera.plans.catalog import BOX, HIST, NEAR, PLANE, VOXEL, query, table
 
-N = 16
-DIMS = (N, N, N)
+#: A block of 16 x 16 x 16 voxels for every 200 parts, stacked along z.
+N, PARTS = 16, 200
 RATIO, GRAY_MAX, MIN_VOLUME = 0.2, 8.0, 20.0
-#: Squared distances from the middles of two enclosed caverns and one that is open at x = 0.
-_BALLS = ("(x - 5) * (x - 5) + (y - 5) * (y - 5) + (z - 5) * (z - 5) <= 11", "(x - 11) * (x - 11) + (y - 10) * (y - 10) + (z - 9) * (z - 9) <= 5", "x * x + (y - 11) * (y - 11) + (z - 4) * (z - 4) <= 9")
+#: Squared distances from the middles of two enclosed caverns of a block and one that is open at x = 0.
+_BALLS = tuple(f"{xy} + (z % {N} - {c}) * (z % {N} - {c}) <= {r}" for xy, c, r in (("(x - 5) * (x - 5) + (y - 5) * (y - 5)", 5, 11), ("(x - 11) * (x - 11) + (y - 10) * (y - 10)", 9, 5), ("x * x + (y - 11) * (y - 11)", 4, 9)))
 _SHADE = "CASE WHEN " + " OR ".join(_BALLS) + " THEN p_size % 10 ELSE 50 + p_size END"
-CAVERN = f"""g AS (SELECT i AS idx, CAST(i % {N} AS INT) AS x, CAST(i // {N} % {N} AS INT) AS y, CAST(i // {N * N} AS INT) AS z, i % 200 + 1 AS p_partkey FROM range({N**3}) t(i)),
+CAVERN = f"""top AS (SELECT greatest(1, (max(p_partkey) + 1) // {PARTS}) * {N} - 1 AS last FROM part),
+g AS (SELECT i AS idx, CAST(i % {N} AS INT) AS x, CAST(i // {N} % {N} AS INT) AS y, CAST(i // {N * N} AS INT) AS z, {PARTS} * (i // {N**3}) + i % {PARTS} AS p_partkey FROM (SELECT unnest(range({N * N} * (last + 1))) AS i FROM top)),
 voxel AS (SELECT idx, x, y, z, CAST({_SHADE} AS FLOAT) AS value, idx % 112 <> 0 AS valid FROM g JOIN part USING (p_partkey)),
 iso AS (SELECT CAST(min(value) + (max(value) - min(value)) * {RATIO}::DOUBLE AS FLOAT) AS v FROM voxel WHERE valid)"""
 _STEP = "o.x = {a}.x + s.i AND o.y = {a}.y + s.j AND o.z = {a}.z + s.k"
 DARK = f"""{CAVERN}, op AS (SELECT voxel.* FROM voxel, iso WHERE NOT valid OR value < iso.v),
-reach AS (SELECT idx, x, y, z FROM op WHERE NOT valid OR 0 IN (x, y, z) OR {N - 1} IN (x, y, z) UNION SELECT o.idx, o.x, o.y, o.z FROM reach r, {NEAR}, op o WHERE {_STEP.format(a="r")}),
+reach AS (SELECT idx, x, y, z FROM op, top WHERE NOT valid OR 0 IN (x, y, z) OR {N - 1} IN (x, y) OR z = last UNION SELECT o.idx, o.x, o.y, o.z FROM reach r, {NEAR}, op o WHERE {_STEP.format(a="r")}),
 dark AS (SELECT * FROM op WHERE idx NOT IN (SELECT idx FROM reach) AND value <= {GRAY_MAX}),
 walk AS (SELECT idx AS start, idx, x, y, z FROM dark UNION SELECT w.start, o.idx, o.x, o.y, o.z FROM walk w, {NEAR}, dark o WHERE {_STEP.format(a="w")}),
 part_of AS (SELECT d.*, r.root FROM dark d JOIN (SELECT idx, min(start) AS root FROM walk GROUP BY idx) r USING (idx)),
-left1 AS (SELECT c.idx, any_value(c.root) AS root FROM part_of c, {NEAR}, part_of o WHERE {_STEP.format(a="c")} GROUP BY c.idx HAVING count(*) = 6),
-cell AS (SELECT * FROM part_of WHERE root IN (SELECT root FROM left1)),
+left1 AS (SELECT c.idx, c.x, c.y, c.z, c.root FROM part_of c, {NEAR}, part_of o WHERE {_STEP.format(a="c")} GROUP BY ALL HAVING count(*) = 6),
+left2 AS (SELECT c.idx, c.root FROM left1 c, {NEAR}, left1 o WHERE {_STEP.format(a="c")} GROUP BY ALL HAVING count(*) = 6),
+cell AS (SELECT * FROM part_of WHERE root IN (SELECT root FROM left2)),
 region AS (SELECT root, CAST(row_number() OVER (ORDER BY root) AS INT) AS id, count(*) AS voxels FROM cell GROUP BY root HAVING count(*) * 0.5 >= {MIN_VOLUME / 4}),
 label AS (SELECT v.*, coalesce(r.id, 0) AS label FROM voxel v LEFT JOIN cell c ON c.idx = v.idx LEFT JOIN region r ON r.root = c.root)"""
 SPACING = (1.0, 1.0, 0.5)
 
 
-def cavern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = V.with_index(spark.range(N**3).withColumnRenamed("id", "idx"), N, N).withColumn("p_partkey", F.col("idx") % 200 + 1)
-    sizes = F.broadcast(table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_size"))
-    return grid.join(sizes, "p_partkey").select("idx", "x", "y", "z", F.expr(_SHADE).cast("float").alias("value"), (F.col("idx") % 112 != 0).alias("valid"))
+def cavern(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    parts = table(spark, sf_dir, "part")
+    depth = N * max(1, (parts.agg(F.max("p_partkey")).first()[0] + 1) // PARTS)
+    grid = V.with_index(spark.range(N * N * depth).withColumnRenamed("id", "idx"), N, N)
+    grid = grid.withColumn("p_partkey", PARTS * F.expr(f"idx div {N**3}") + F.col("idx") % PARTS)
+    voxels = grid.join(parts.select("p_partkey", "p_size"), "p_partkey")
+    return voxels.select("idx", "x", "y", "z", F.expr(_SHADE).cast("float").alias("value"), (F.col("idx") % 112 != 0).alias("valid")), (N, N, depth)
 
 
 def chain(spark: SparkSession, sf_dir: str, erosions: int) -> DataFrame:
-    v = cavern(spark, sf_dir)
-    return voids.candidates(v, voids.iso_by_ratio(v, RATIO), GRAY_MAX, DIMS, erosions)
+    v, dims = cavern(spark, sf_dir)
+    return voids.candidates(v, voids.iso_by_ratio(v, RATIO), GRAY_MAX, dims, erosions)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = chain(spark, sf_dir, 1)
-    return voids.labels(cavern(spark, sf_dir), cells, voids.region_table(cells, SPACING, min_volume=MIN_VOLUME / 4))
+    cells = chain(spark, sf_dir, 2)
+    return voids.labels(cavern(spark, sf_dir)[0], cells, voids.region_table(cells, SPACING, min_volume=MIN_VOLUME / 4))
 
 
 @query(f"WITH {CAVERN} SELECT v::DOUBLE AS iso FROM iso")
 def iso_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(voids.iso_by_ratio(cavern(spark, sf_dir), RATIO),)], "iso double")
+    return spark.createDataFrame([(voids.iso_by_ratio(cavern(spark, sf_dir)[0], RATIO),)], "iso double")
 
 
 @query(f"WITH RECURSIVE {DARK} SELECT idx, root FROM part_of")
@@ -58,14 +63,14 @@ def void_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {DARK} SELECT idx, root FROM cell")
 def void_candidates_eroded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chain(spark, sf_dir, 1).select("idx", "root")
+    return chain(spark, sf_dir, 2).select("idx", "root")
 
 
 @query(f"""WITH RECURSIVE {DARK} SELECT r.id, r.root, r.voxels, round(r.voxels * 0.5::DOUBLE, 6) AS volume, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z) * 0.5::DOUBLE, 6) AS cz,
 round(avg(value::DOUBLE), 6) AS mean_gray, (max(x) - min(x) + 1)::DOUBLE AS extent_x, (max(y) - min(y) + 1)::DOUBLE AS extent_y, (max(z) - min(z) + 1) * 0.5::DOUBLE AS extent_z
 FROM region r JOIN cell USING (root) GROUP BY r.id, r.root, r.voxels""")
 def void_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = voids.region_table(chain(spark, sf_dir, 1), SPACING, min_volume=MIN_VOLUME / 4)
+    found = voids.region_table(chain(spark, sf_dir, 2), SPACING, min_volume=MIN_VOLUME / 4)
     return found.select("id", "root", "voxels", *[F.round(c, 6).alias(c) for c in ("volume", "cx", "cy", "cz", "mean_gray")], "extent_x", "extent_y", "extent_z")
 
 

@@ -14,9 +14,9 @@ from tessera.storage import new_path
 
 SIDE = 10
 #: A bar of 10 x 10 voxels for every 100 parts.
-BAR = f"""n AS (SELECT CAST(ceil(max(p_partkey) / {SIDE * SIDE}.0) AS INT) AS nz FROM part),
+BAR = f"""n AS (SELECT CAST(ceil((max(p_partkey) + 1) / {SIDE * SIDE}.0) AS INT) AS nz FROM part),
 bar AS (SELECT i AS idx, CAST(i % {SIDE} AS INT) AS x, CAST(i // {SIDE} % {SIDE} AS INT) AS y, CAST(i // {SIDE * SIDE} AS INT) AS z, CAST(coalesce(p_size + p_partkey % 7, 0) AS FLOAT) AS value
-FROM (SELECT unnest(range({SIDE * SIDE} * nz)) AS i FROM n) g LEFT JOIN part ON p_partkey = i + 1)"""
+FROM (SELECT unnest(range({SIDE * SIDE} * nz)) AS i FROM n) g LEFT JOIN part ON p_partkey = i)"""
 _EIGHT = "b AS (SELECT * FROM (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b), (VALUES (0), (1)) c(c))"
 _WEIGHT = " * ".join(f"(CASE {b} WHEN 1 THEN f{c} - floor(f{c}) ELSE 1 - f{c} + floor(f{c}) END)" for b, c in zip("abc", "xyz", strict=True))
 _CORNER = ", ".join(f"floor(f{c}) + {b} AS {c}" for b, c in zip("abc", "xyz", strict=True))
@@ -24,9 +24,9 @@ _CORNER = ", ".join(f"floor(f{c}) + {b} AS {c}" for b, c in zip("abc", "xyz", st
 
 def bar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int, int]]:
     parts = table(spark, sf_dir, "part")
-    nz = -(-parts.agg(F.max("p_partkey")).first()[0] // (SIDE * SIDE))
+    nz = -(-(parts.agg(F.max("p_partkey")).first()[0] + 1) // (SIDE * SIDE))
     grid = V.with_index(spark.range(SIDE * SIDE * nz).withColumnRenamed("id", "idx"), SIDE, SIDE)
-    values = parts.select((F.col("p_partkey") - 1).alias("idx"), (F.col("p_size") + F.col("p_partkey") % 7).cast("float").alias("v"))
+    values = parts.select(F.col("p_partkey").alias("idx"), (F.col("p_size") + F.col("p_partkey") % 7).cast("float").alias("v"))
     return grid.join(values, "idx", "left").select("idx", "x", "y", "z", F.coalesce("v", F.lit(0.0).cast("float")).alias("value")), (SIDE, SIDE, nz)
 
 

@@ -52,6 +52,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.0, min_count: int = 1
     FP-growth finds the token sets in at least min_count bad pages (and a min_support of all labelled pages, if
     that is set), so evidence counts alike at every size. Tokens in fewer bad pages can't be in a rule and go first; rules
     below min_confidence or min_lift are pruned. key is the antecedent's rarest token, under which the rule is indexed.
+    Every row is a page of evidence; fewer than min_count rows, or none, give no rules. Other columns are left out.
     """
     schema = "antecedent array<string>, confidence double, lift double, support double, key string"
     total = labelled.count()
@@ -102,13 +103,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, **options: float) -> DataFra
     An explicit rule decides where one fits. Else a page is blocked if a mined rule fits its tokens; confidence
     is then the best rule's. Labels belong to the page with their doc_id; quality 0 or toxic 1 is bad, null
     labels are neither. Urls that are null or have no `://` have no tokens and are allowed. Pages with equal
-    tokens are matched once.
+    tokens are matched once. Rows that repeat change no verdict: a page with several rows of labels is bad if one of them
+    is, and a page_id counts once for each token set as evidence. An empty table of labels gives no mined rules, one
+    of pages no rows. Other columns of either table are left out, whatever their names.
     """
     host, path = split_url(F.coalesce("url", F.lit("")))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"), url_tokens(F.coalesce("url", F.lit(""))).alias("tokens"))
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
-    marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    rules = mine_rules(cut(urls.join(marks, "page_id").where(F.size("tokens") > 0).select("tokens", "bad"), "labelled"), **options)
+    marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+    labelled = urls.select("page_id", "tokens").join(marks, "page_id").where(F.size("tokens") > 0).distinct()
+    rules = mine_rules(cut(labelled.select("tokens", "bad"), "labelled"), **options)
     matched = cut(match_rules(urls.select("tokens").distinct(), rules), "matched")
     rule = rule_column(F.col("host"), F.col("path"))
     out = with_confidence(urls, matched).select("page_id", "host", "path", rule.alias("rule"), "confidence")

@@ -170,3 +170,25 @@ def test_token_sets_beyond_the_broadcast_limit_match_alike(spark):
     matched = spark.createDataFrame([(["h=b", "p=é"], 0.75)], "tokens array<string>, confidence double")
     small, large = (sorted(map(str, urls.with_confidence(pages, matched, limit).select("page_id", "tokens", "confidence").collect())) for limit in (1 << 20, 0))
     assert small == large and len(small) == 41 and sum("0.75" in r for r in small) == 10
+
+
+def test_url_verdicts_do_not_change_with_repeated_rows(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, f"https://{'casino' if bad and i % 12 else 'news'}{i % 3}.example.org/{'win' if bad else 'read'}/{rng.integers(0, 9)}?id={i}", "x", "y", True))
+    rows += [(500, None, "x", "y", False), (501, "no scheme", "x", "y", False), (502, "https://casino1.example.org/win/" + "a/" * 20_000, "x", "y", False)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, tokens string, host string, bad boolean")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, None, "z") for i in range(300)] + [(None, 0, 1, "z")], "doc_id long, quality int, toxic int, url string")
+    told = lambda p, m: sorted({tuple(r) for r in urls.judge_urls(p, m).collect()}, key=str)
+    want = told(pages, labels)
+    assert sum(r[4] == "block" for r in want) > 60 and len(want) == len(rows)
+    again = labels.union(labels).union(labels.where("doc_id % 8 = 0"))
+    assert told(pages, again) == want
+    some = pages.where("page_id % 3 = 0")
+    assert told(pages.union(some).union(some), labels) == want and urls.judge_urls(pages.union(some), labels).count() == len(rows) + some.count()
+    mixed = labels.union(labels.where("quality = 0").withColumn("quality", F.lit(1)))
+    assert told(pages, mixed) == want
+    assert urls.judge_urls(pages.limit(0), labels).count() == 0
+    assert {r[4] for r in told(pages, labels.limit(0))} == {"allow"}

@@ -15,14 +15,13 @@ from tessera.storage import cut, scratch, small_side
 #: Words of a seed, of which one in KEEP is kept, chosen by its hash alone, so that two texts keep the same ones whatever
 #: stands around them. Where one word in eight differs, runs of seven words have three seeds each.
 SEED, KEEP = 5, 4
-#: Words from a chain's first to its last: a lone seed that two texts share by chance is no chain.
-MIN_CHAIN = 8
 #: Words between seeds of a run that count as covered, and between fragments that count as one passage.
 HOLE, APART = 16, 8
 #: Words of a passage, of a fragment of one, and the share of its words that must match.
 MIN_WORDS, MIN_FRAGMENT, MIN_IDENTITY = 50, 20, 0.8
 #: Words without a seed inside a run of one diagonal, and of the longest gap that is aligned word by word; cost of a gap's
-#: word on either side; words around a chain to extend it. Any alike run of 8 words further out holds a seed of its own.
+#: word on either side; words around a chain to extend it. An alike run further out is found by a seed of its own, if one
+#: of its seeds is kept.
 MAX_GAP, GAP_COST, MARGIN = 48, 0.2, 48
 #: The most seeds whose first occurrence is broadcast (32 bytes each); those that make up more than one in so many of all.
 HOT_SEEDS = 20_000
@@ -198,7 +197,7 @@ def chains(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int, int, int]]
 
 
 def _chained(pairs: DataFrame) -> DataFrame:
-    """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain of MIN_CHAIN words or more."""
+    """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,9 +205,7 @@ def _chained(pairs: DataFrame) -> DataFrame:
             for doc, rep, own in zip(docs, reps, b.column("seeds"), strict=True):
                 flat = own.values
                 x, y = flat.field("pos").to_numpy().astype(np.int64), flat.field("rep_pos").to_numpy().astype(np.int64)
-                for c in chains(x, y):
-                    if c[-1][1] - c[0][0] >= MIN_CHAIN:
-                        found.append((doc, rep, c[0][0], c[-1][1], c[0][2], c[-1][3], [v for r in c for v in r]))
+                found += [(doc, rep, c[0][0], c[-1][1], c[0][2], c[-1][3], [v for r in c for v in r]) for c in chains(x, y)]
             columns = [*zip(*found, strict=True)] or [()] * 7
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "rep_id", "xs", "xe", "ys", "ye", "runs"])
@@ -236,16 +233,34 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _extend(a: list[str], b: list[str]) -> int:
-    """Words by which a and b go on alike, with a few differing ones in between."""
-    score = best = length = 0
-    for n, (v, w) in enumerate(zip(a, b, strict=False), 1):
-        score += 1 if v == w else -2
-        if score > best:
-            best, length = score, n
-        elif score < best - 8:
+#: Words left out of either text to go on behind a differing word, the likeliest first.
+_STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 2), (2, 3), (3, 0), (0, 3))
+
+
+def _extend(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of matching words as far as a and b go on alike, with a few words replaced, inserted or left out in between.
+
+    Behind a differing word the first step goes on after which two words match again.
+    """
+    pairs: list[tuple[int, int]] = []
+    i = j = score = best = kept = 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            pairs.append((i, j))
+            i, j, score = i + 1, j + 1, score + 1
+            if score > best:
+                best, kept = score, len(pairs)
+            continue
+        for p, q in _STEPS:
+            if i + p + 1 < n and j + q + 1 < m and a[i + p] == b[j + q] and a[i + p + 1] == b[j + q + 1]:
+                break
+        else:
+            p = q = 1
+        i, j, score = i + p, j + q, score - 2 * max(p, q)
+        if score < best - 8:
             break
-    return length
+    return pairs[:kept]
 
 
 def _cut_stretches(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -290,28 +305,29 @@ def _cut_stretches(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _bridge(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of matching words in the gap between two runs; in a long one only near its ends."""
+    """Places of matching words in the gap between two runs; in a long one only as far as its ends go on alike."""
     if len(a) == len(b):
-        return [(i, i) for i, same in enumerate(map(str.__eq__, a, b)) if same]
+        same = [(i, i) for i, same in enumerate(map(str.__eq__, a, b)) if same]
+        if 2 * len(same) >= len(a) or len(a) > MAX_GAP:
+            return same
     if max(len(a), len(b)) <= MAX_GAP:
         return _common(a, b)
     left = _extend(a, b)
-    right = min(_extend(a[::-1], b[::-1]), min(len(a), len(b)) - left)
-    ends = [*((i, i) for i in range(left)), *((len(a) - i, len(b) - i) for i in range(right, 0, -1))]
-    return [(i, j) for i, j in ends if a[i] == b[j]]
+    i, j = left[-1] if left else (-1, -1)
+    right = [(len(a) - 1 - p, len(b) - 1 - q) for p, q in reversed(_extend(a[::-1], b[::-1]))]
+    return left + [(p, q) for p, q in right if p > i and q > j]
 
 
 def align(a: list[str], b: list[str], runs: list[int]) -> list[tuple[int, int, int, int, int]]:
     """Passages around a chain's runs, its best-scoring stretches: their ends in word lists a and b, and the words that match."""
     parts = [runs[i : i + 4] for i in range(0, len(runs), 4)]
-    left = _extend(a[: parts[0][0]][::-1], b[: parts[0][2]][::-1])
-    right = _extend(a[parts[-1][1] :], b[parts[-1][3] :])
-    x, y = parts[0][0] - left, parts[0][2] - left
-    pairs: list[tuple[int, int]] = []
-    for xs, xe, ys, ye in [*parts, [parts[-1][1] + right] * 2 + [parts[-1][3] + right] * 2]:
+    x, y = parts[0][0], parts[0][2]
+    pairs = [(x - 1 - i, y - 1 - j) for i, j in reversed(_extend(a[:x][::-1], b[:y][::-1]))]
+    for xs, xe, ys, ye in parts:
         pairs += [(x + i, y + j) for i, j in _bridge(a[x:xs], b[y:ys])]
         pairs += [(xs + i, ys + i) for i, same in enumerate(map(str.__eq__, a[xs:xe], b[ys:ye])) if same]
         x, y = xe, ye
+    pairs += [(x + i, y + j) for i, j in _extend(a[x:], b[y:])]
     ends = [(pairs[i], pairs[j], j - i + 1) for i, j in _cut_stretches(pairs)]
     return [(p[0], q[0] + 1, p[1], q[1] + 1, n) for p, q, n in ends]
 
@@ -410,7 +426,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     documents gives one match for each of its seeds and documents, and no pairs among them; a passage that only one
     document repeats isn't found. The matches of two documents are chained, aligned and cut into stretches; those of
     MIN_FRAGMENT words and MIN_IDENTITY count if they and their neighbours in the document, whichever document these
-    come from, make up MIN_WORDS without a gap of more than APART words.
+    come from, make up MIN_WORDS without a gap of more than APART words. Two documents are compared if they share two kept
+    seeds or more; one seed in KEEP is kept.
 
     Documents with null id or text have no passages. Texts that share a doc_id are documents of their own, with
     positions in their own words; rows that repeat both count once. Columns beside doc_id and text are left out,

@@ -308,3 +308,80 @@ def test_pipeline_stages_keep_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs.count(), corpus_pipeline.cut(stage(spark, docs, SF), "t")
         assert docs.columns == names and 0.5 * before < docs.count() <= before, name
+
+
+def edited(rng, words_, rate):
+    """words_ with so many of them replaced, left out or followed by another one, a third each."""
+    out = []
+    for w in words_:
+        if rng.random() >= rate:
+            out.append(w)
+            continue
+        kind = rng.integers(3)
+        out += [] if kind == 0 else ["other"] if kind == 1 else [w, "other"]
+    return out
+
+
+@pytest.mark.parametrize("n, rate, least", [(60, 0.05, 0.93), (60, 0.1, 0.82), (100, 0.125, 0.93)])
+def test_passages_with_inserted_and_missing_words(spark, n, rate, least):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(100):
+        base = words(rng, n)
+        rows.append((2 * k, words(rng, 90) + base + words(rng, 70)))
+        rows.append((2 * k + 1, words(rng, 60) + edited(rng, base, rate) + words(rng, 90)))
+    rows += [(1000 + k, words(rng, 300)) for k in range(100)]
+    found = {r.doc_id for r in passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    assert len(found & set(range(1, 200, 2))) >= 100 * least
+    assert not found - set(range(1, 200, 2))
+
+
+def common(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for w in a:
+        last = 0
+        for j, v in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if v == w else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_whole_query_against_plain_rules(spark):
+    """Every exact run of 50 words whose seeds first occur in one earlier document is covered, and every row found keeps the rules when worked out plainly."""
+    rng = np.random.default_rng(33)
+    rows, shared = [], [words(rng, int(n)) for n in rng.integers(20, 140, 12)]
+    for i in range(90):
+        w = words(rng, int(rng.integers(0, 120)))
+        for _ in range(int(rng.integers(0, 3))):
+            own = shared[int(rng.integers(len(shared)))]
+            at = int(rng.integers(0, max(1, len(own) - 30)))
+            own = own[at : at + int(rng.integers(20, 140))]
+            w += edited(rng, own, 0.08) if rng.random() < 0.4 else own
+            w += words(rng, int(rng.integers(0, 60)))
+        rows.append((i, w))
+    text = dict(rows)
+    found = passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    covered = {}
+    for r in found:
+        a, b = text[r.doc_id][r.start : r.stop], text[r.rep_id][r.rep_start : r.rep_stop]
+        size = max(len(a), len(b))
+        assert r.rep_id < r.doc_id and len(a) >= 20 and common(a, b) >= r.matched >= 0.8 * size - 1e-9
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+    for held in covered.values():
+        places, islands = sorted(held), []
+        for at in places:
+            if islands and at - islands[-1][1] <= 9:
+                islands[-1][1] = at
+            else:
+                islands.append([at, at])
+        assert all(stop - start + 1 >= 50 for start, stop in islands)
+    first, missed, long = {}, 0, 0
+    for i, w in rows:
+        own = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for g in own:
+            first.setdefault(g, i)
+        for k in range(len(w) - 49):
+            if len(of := {first[g] for g in own[k : k + 46]}) == 1 and of != {i}:  # all from one earlier document
+                long += 50
+                missed += len(set(range(k, k + 50)) - covered.get(i, set()))
+    assert long > 4000 and missed == 0

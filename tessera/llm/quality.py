@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.rows import digest, without
+from tessera.llm.tokens import release_memory
 from tessera.storage import cut, scratch, small_side
 
 #: Longest n-grams, in letters; MARK stands for the places before a text.
 ORDER, MARK = 5, "\u0002"
 #: Letters handled together, and distinct n-grams that a task holds before it hands their counts on.
-CHUNK, HELD_GRAMS = 400_000, 700_000
+CHUNK, HELD_GRAMS = 200_000, 700_000
 #: The most n-grams whose scores are broadcast (12 bytes each, twice over in a table half full); rarer ones are joined by shuffle.
 FREQUENT = 1_000_000
 #: One of so many trusted documents is kept out of the counts; thresholds are quantiles of these.
@@ -133,6 +134,8 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if held:
             held = [merged()]
             yield from out()
+            held = []
+        release_memory()
 
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), "counted")
     counts = rows.mapInArrow(run, "lang string, gram string, n long, c long")
@@ -305,6 +308,7 @@ def score(docs: DataFrame, resolved: DataFrame, order: int = ORDER, most: int =
                 columns += [pa.array(logp, mask=~known), pa.array(letters), pa.array([_variety(t) for t in texts], pa.float64()), lists]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "digest", "lang", "logp", "letters", "variety", "rare"])
+        release_memory()
 
     rows = docs.select("doc_id", digest("text").alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     null = F.lit(None).cast("double")

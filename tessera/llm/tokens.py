@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -108,6 +109,14 @@ class WordCache:
         return out
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task; workers are kept for later tasks, which may not need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Slices of a string column with about CHUNK_CHARS bytes each, as lists, and where they start."""
     sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.rows import digest, free_name
+from tessera.llm.tokens import releasing
 from tessera.storage import cut, scratch, small_side
 
 #: Words of a seed, of which one in KEEP is kept, chosen by its hash alone, so that two texts keep the same ones whatever
@@ -110,7 +111,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + at)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "pos", "seed"])
                 at = stop
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, seed long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, pos int, seed long")
 
 
 class MaxTree:
@@ -210,7 +211,7 @@ def _chained(pairs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "rep_id", "xs", "xe", "ys", "ye", "runs"])
 
-    return pairs.mapInArrow(run, "doc_id long, rep_id long, xs int, xe int, ys int, ye int, runs array<int>")
+    return pairs.mapInArrow(releasing(run), "doc_id long, rep_id long, xs int, xe int, ys int, ye int, runs array<int>")
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -354,7 +355,7 @@ def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
+            for r in (r for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist()):
                 shift = [r["a0"], r["a0"], r["b0"], r["b0"]]
                 for xs, xe, ys, ye, matched in align(r["a"], r["b"], [v - shift[i % 4] for i, v in enumerate(r["runs"])]):
                     if xe - xs >= MIN_FRAGMENT:
@@ -364,7 +365,7 @@ def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "stop", "rep_id", "rep_start", "rep_stop", "matched"])
 
     rows = both.select("doc_id", "rep_id", "a0", "b0", "a", "b", "runs")
-    return rows.mapInArrow(run, "doc_id long, start int, stop int, rep_id long, rep_start int, rep_stop int, matched int")
+    return rows.mapInArrow(releasing(run), "doc_id long, start int, stop int, rep_id long, rep_start int, rep_stop int, matched int")
 
 
 def frequent_seeds(kept: DataFrame) -> DataFrame:
@@ -381,7 +382,7 @@ def frequent_seeds(kept: DataFrame) -> DataFrame:
             often = n > sum(map(len, held)) / (2 * HOT_SEEDS)
             yield pa.RecordBatch.from_arrays([pa.array(seed[often]), pa.array(n[often])], ["seed", "n"])
 
-    own = kept.select("seed").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    own = kept.select("seed").mapInArrow(releasing(run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     return cut(own.where(F.col("n") > kept.count() / HOT_SEEDS).select("seed"), "frequent")
 
 
@@ -484,7 +485,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             left = [not cuts or text is None or _WORD.search(text.encode()) is not None for text, cuts in zip(texts, lists.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(left))
 
-    out = held.select(*docs.columns, spans_name).mapInArrow(run, docs.schema)
+    out = held.select(*docs.columns, spans_name).mapInArrow(releasing(run), docs.schema)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

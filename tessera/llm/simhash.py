@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.rows import digest, without
 from tessera.operators.components import connected_components
+from tessera.llm.tokens import releasing
 from tessera.storage import cut, scratch, small_side
 
 #: Fingerprints of one trie that a task joins by itself; larger ones are split into node pairs first.
@@ -275,7 +276,7 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, lists(fps, WIDE), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), lists(mins, KEYS * LEVELS)], ["doc_id", "digest", "fp", "sig", "mins"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest long, fp array<long>, sig long, mins array<long>")
+    return rows.mapInArrow(releasing(run), "doc_id long, digest long, fp array<long>, sig long, mins array<long>")
 
 
 def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -298,7 +299,7 @@ def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words:
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
     met = texts.join(small_side(asked, 32), ["doc_id", "digest"]).select("id", "text")
-    sets = cut(met.mapInArrow(shingle, "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    sets = cut(met.mapInArrow(releasing(shingle), "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
     both = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,7 @@ def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words:
                 near.append(common / (len(one) + len(two) - common) >= SIMILAR)
             yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    return cut(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long").distinct(), "similar")
+    return cut(both.select("src", "dst", "a", "b").mapInArrow(releasing(run), "src long, dst long").distinct(), "similar")
 
 
 def _links_in_groups(groups: DataFrame, max_bits: int, every: bool) -> DataFrame:
@@ -356,7 +357,7 @@ def _links_in_groups(groups: DataFrame, max_bits: int, every: bool) -> DataFrame
             if waiting:
                 yield solve(waiting)
 
-    return groups.mapInArrow(run, "src long, dst long")
+    return groups.mapInArrow(releasing(run), "src long, dst long")
 
 
 def _live(rows: DataFrame) -> DataFrame:

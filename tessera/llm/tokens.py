@@ -117,6 +117,16 @@ def release_memory() -> None:
         trim(0)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release_memory() at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Slices of a string column with about CHUNK_CHARS bytes each, as lists, and where they start."""
     sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)

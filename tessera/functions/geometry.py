@@ -73,6 +73,27 @@ def check_matrix(m: np.ndarray) -> None:
         raise ValueError("not an invertible affine matrix")
 
 
+def check_layout(dims: tuple[int, int, int], spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0), values: int | None = None) -> int:
+    """The number of voxels. Sizes and spacings are positive, numbers finite, and four bytes a voxel are below 2^63; `values` has as many."""
+    if len(dims) != 3 or any(d <= 0 for d in dims) or not all(math.isfinite(s) and s > 0 for s in spacing) or not all(map(math.isfinite, origin)):
+        raise ValueError("a layout has positive sizes and spacings and a finite origin")
+    count = math.prod(int(d) for d in dims)
+    if 4 * count >= 1 << 63:
+        raise ValueError("too many voxels")
+    if values is not None and values != count:
+        raise ValueError(f"{values} values for {count} voxels")
+    return count
+
+
+def check_snapshot(version: int, dims: tuple[int, int, int], image_dims: tuple[int, int, int], spacing: tuple[float, float, float], origin: tuple[float, float, float], span: tuple[float, float]) -> None:
+    """What an analysis begins from: a published version (not 0) of an image with the sizes it says, and a finite range in order."""
+    check_layout(image_dims, spacing, origin)
+    if version == 0 or tuple(dims) != tuple(image_dims):
+        raise ValueError("not a published version of this image")
+    if not all(map(math.isfinite, span)) or span[0] > span[1]:
+        raise ValueError("the range is not finite and in order")
+
+
 def transformed(point: tuple[Column, Column, Column], m: np.ndarray) -> tuple[Column, Column, Column]:
     """A point after a homogeneous matrix; a zero weight divides nothing."""
     rows = [point[0] * float(r[0]) + point[1] * float(r[1]) + point[2] * float(r[2]) + float(r[3]) for r in np.asarray(m)]
@@ -110,6 +131,23 @@ def crop_table(ops: list[dict]) -> list[dict]:
     return out
 
 
+def check_compiled(ops: list[dict], count: int) -> None:
+    """Of operations as crop_table() gives them, the first `count` are checked: there are as many, with known shapes and modes and finite numbers.
+
+    A box's inverse is three rows of a map that can be inverted; a plane's normal isn't zero.
+    """
+    if not 0 <= count <= len(ops):
+        raise ValueError("more operations are active than there are")
+    for op in ops[:count]:
+        if op["mode"] not in ("keep", "remove") or op["shape"] not in ("box", "plane"):
+            raise ValueError("unknown shape or mode")
+        numbers = np.array(op["inverse"] if op["shape"] == "box" else [op["center"], op["normal"]], dtype=float)
+        if numbers.shape != ((3, 4) if op["shape"] == "box" else (2, 3)) or not np.isfinite(numbers).all():
+            raise ValueError("an operation's numbers are missing or not finite")
+        if np.linalg.det(numbers[:, :3]) == 0 if op["shape"] == "box" else np.linalg.norm(numbers[1]) <= 1e-12:
+            raise ValueError("the box has no inverse, or the plane no normal")
+
+
 def raw_dims(path: str) -> tuple[int, int, int] | None:
     """Sizes at the end of a .raw file's name, as in scan_3x4x5.raw."""
     name = PurePath(path)

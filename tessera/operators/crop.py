@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions.geometry import is_affine
+from tessera.functions.geometry import check_compiled, is_affine
 from tessera.operators import volume as V
 
 GEOMETRY = ("dims", "spacing", "origin", "direction")
@@ -34,6 +34,16 @@ def check_corners(dims: tuple[int, int, int], matrix: np.ndarray) -> None:
         raise ValueError("a corner is out of the range of single precision")
 
 
+def check_input(version: int, bounds: list[tuple[float, float]], volume: dict | None = None, mask: dict | None = None, triangles: DataFrame | None = None) -> None:
+    """A crop starts from one volume, with or without a mask, or from one mesh, which has no mask; of a version other than 0, within bounds in order."""
+    if version == 0 or len(bounds) != 3 or not all(math.isfinite(a) and math.isfinite(b) and a < b for a, b in bounds):
+        raise ValueError("no version, or bounds that are not in order")
+    if (volume is None) == (triangles is None) or (mask is not None and volume is None):
+        raise ValueError("either a volume or a mesh, and a mask for a volume only")
+    if mask is not None:
+        check_mask(volume, mask)
+
+
 def kept_counts(masked: DataFrame) -> DataFrame:
     """(z, kept): valid voxels of each plane; counts are added up on the map side first."""
     return masked.groupBy("z").agg(F.count_if(V.valid_of(masked)).alias("kept"))
@@ -42,8 +52,9 @@ def kept_counts(masked: DataFrame) -> DataFrame:
 def cropped(voxels: DataFrame, ops: list[dict], count: int, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> DataFrame:
     """voxels whose valid column holds where the present mask and the first `count` operations do; values stay.
 
-    Raises EmptyResult if nothing is left.
+    Raises EmptyResult if nothing is left, and ValueError for operations that check_compiled() rejects.
     """
+    check_compiled(ops, count)
     masked = voxels.withColumn("valid", V.valid_of(voxels) & V.kept(V.point(spacing, origin), ops, count))
     if masked.where("valid").isEmpty():
         raise EmptyResult("no voxel is kept")
@@ -54,6 +65,7 @@ def cropped_mesh(triangles: DataFrame, ops: list[dict], count: int) -> DataFrame
     """mesh.clipped() by the first `count` operations; raises EmptyResult if nothing is left."""
     from tessera.operators import mesh
 
+    check_compiled(ops, count)
     left = mesh.clipped(triangles, lambda p: V.kept(tuple(c.cast("float") for c in p), ops, count))
     if left.isEmpty():
         raise EmptyResult("no triangle is kept")

@@ -7,7 +7,7 @@ where the brick is. For a grid, bricks hand what they made to bricks of the new
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -15,13 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions.geometry import check_matrix
+from tessera.functions.geometry import check_layout, check_matrix
 from tessera.operators.dealing import BRICK, SIDE, dealt
 from tessera.storage import cut, small_side
 
 Dims = tuple[int, int, int]
-#: Voxels of a brick of a new grid along x, y and z: cubes for what follows, long rows for files.
-CUBE, ROWS = (32, 32, 32), (256, 16, 8)
+#: Voxels of a brick of a new grid along x, y and z: cubes for what follows, long rows for files; and across and in planes.
+CUBE, ROWS, FLAT = (32, 32, 32), (256, 16, 8), (8, 128, 64)
 #: Points that one brick answers in a group; a brick with more is copied.
 POINTS = 1 << 16
 
@@ -41,6 +41,7 @@ def turned_grid(dims: Dims, spacing: tuple[float, float, float], origin: tuple[f
     It begins at the least coordinates of the eight turned corners (middles of the outermost voxels) and ends at the last
     step within the largest ones; a thousandth of a step beyond them counts as within.
     """
+    check_layout(dims, spacing, origin)
     ends = np.array([[o + s * (d - 1) * b for o, s, d, b in zip(origin, spacing, dims, bits, strict=True)] + [1.0] for bits in product((0, 1), repeat=3)])
     corners = (ends @ np.asarray(matrix, dtype=float).T)[:, :3]
     low, high = corners.min(0), corners.max(0)
@@ -170,6 +171,25 @@ def turned_pieces(voxels: DataFrame, dims: Dims, to: Dims, back: list[list[float
     return _whole(made, to, ROWS, outside, "name string, at long, data binary", give)
 
 
+def turned_planes(voxels: DataFrame, dims: Dims, to: Dims, back: list[list[float]], outside: float, axes: tuple[str, str, str], shade: Callable[[np.ndarray], np.ndarray], nearest: bool = False) -> DataFrame:
+    """(k, u, v, width, data): bytes that shade() makes of values on the grid `to`, as rectangles of the planes across an axis.
+
+    axes are the one across the planes and the two in them; k is the plane, u and v the rectangle's first place in it.
+    """
+    shape = tuple(dict(zip(axes, FLAT, strict=True))[c] for c in "xyz")
+    order = tuple("zyx".index(c) for c in (axes[0], axes[2], axes[1]))
+    made = _made(voxels, dims, to, back, shape, nearest, False)
+
+    def give(low: list[int], sizes: list[int], values: np.ndarray) -> pa.Table:
+        planes = shade(values).astype(np.uint8).transpose(order)
+        k, u, v = (dict(zip("xyz", low, strict=True))[c] for c in axes)
+        n = len(planes)
+        places = {"k": range(k, k + n), "u": [u] * n, "v": [v] * n, "width": [planes.shape[2]] * n}
+        return pa.table({**{c: pa.array(p, pa.int32()) for c, p in places.items()}, "data": pa.array([p.tobytes() for p in planes], pa.binary())})
+
+    return _whole(made, to, shape, outside, "k int, u int, v int, width int, data binary", give)
+
+
 Place = tuple[str, str, str]
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions.geometry import rotation
+from tessera.functions.geometry import rotation, slice_matrix
 from tessera.operators import bricks, gather, mesh, volume as V
 from tessera.plans import catalog
 from tessera.plans.catalog import DIMS, VOXEL, query, table
@@ -57,6 +60,37 @@ def raw_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.read_raw(spark, path, to, flip=False).withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 
+#: Stretched along z, and then turned about the bar's middle line for pictures across it. No gray value lies half way between two.
+STRETCH, ABOUT, ANGLE, WINDOW, CENTER = np.diag([1.0, 1.0, 1.5, 1.0]), (4.5, 4.5, 0.0), 25.0, 61.0, 28.25
+_SEEN = slice_matrix(STRETCH, "top_down", ABOUT, ANGLE)
+_SIZE, _FROM = gather.turned_grid((SIDE, SIDE, 2), (1, 1, 1), (0, 0, 0), _SEEN)
+_AT = ", ".join(f"gx * {float(r[0])!r}::DOUBLE + gy * {float(r[1])!r}::DOUBLE + gz * {float(r[2])!r}::DOUBLE + {float(r[3])!r}::DOUBLE AS f{c}" for r, c in zip(gather.back_map((1, 1, 1), (0, 0, 0), _SEEN, _FROM), "xyz", strict=True))
+
+
+@query(f"""WITH {BAR}, {_EIGHT}, g AS (SELECT i AS id, CAST(i % {_SIZE[0]} AS INT) AS gx, CAST(i // {_SIZE[0]} % {_SIZE[1]} AS INT) AS gy, CAST(i // {_SIZE[0] * _SIZE[1]} AS INT) AS gz
+FROM (SELECT unnest(range({_SIZE[0] * _SIZE[1]} * (CAST(floor((nz - 1) * 1.5 + 1e-3) AS INT) + 1))) AS i FROM n)), p AS (SELECT *, {_AT} FROM g),
+w AS (SELECT p.id, {_WEIGHT} AS w, {_CORNER} FROM p, b, n WHERE fx BETWEEN 0 AND {SIDE - 1} AND fy BETWEEN 0 AND {SIDE - 1} AND fz BETWEEN 0 AND nz - 1),
+s AS (SELECT w.id, sum(w * value::DOUBLE) AS value FROM w JOIN bar USING (x, y, z) WHERE w > 0 GROUP BY w.id),
+q AS (SELECT p.id, gx, gy, gz, CAST(coalesce(s.value, (SELECT min(value)::DOUBLE FROM bar)) AS FLOAT)::DOUBLE AS value, m.idx IS NOT NULL AS seen FROM p LEFT JOIN s ON s.id = p.id
+LEFT JOIN bar m ON m.x = floor(fx + 0.5::DOUBLE) AND m.y = floor(fy + 0.5::DOUBLE) AND m.z = floor(fz + 0.5::DOUBLE) AND m.idx % 5 <> 0)
+SELECT 'Top_down_' || lpad(gz::VARCHAR, 4, '0') || '.png' AS name, gx AS u, gy AS v,
+CASE WHEN seen THEN CAST(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (value - {CENTER - WINDOW / 2}::DOUBLE) / {WINDOW}::DOUBLE)) * 255 + 0.5::DOUBLE) AS INT) ELSE 0 END AS gray FROM q""")
+def slices_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels, from the files, of pictures across the bar, stretched and turned, with every fifth voxel masked."""
+    v, dims = bar(spark, sf_dir)
+    folder, _ = volumes.write_slices(v.withColumn("valid", F.col("idx") % 5 != 0), dims, mounted(spark, "slices"), "top_down", WINDOW, CENTER, STRETCH, degrees=ANGLE, about=ABOUT)
+
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                gray = volumes.png_pixels(data)[::-1]
+                y, x = (a.ravel().astype(np.int32) for a in np.indices(gray.shape))
+                name = pa.array([path.rsplit("/", 1)[-1]] * gray.size)
+                yield pa.RecordBatch.from_arrays([name, pa.array(x), pa.array(y), pa.array(gray.ravel().astype(np.int32))], ["name", "u", "v", "gray"])
+
+    return spark.read.format("binaryFile").load(f"file://{folder}").select("path", "content").mapInArrow(pixels, "name string, u int, v int, gray int")
+
+
 @query(f"""WITH {BAR} SELECT CAST({SIDE - 1} - x + {SIDE} * ({SIDE - 1} - y) + {SIDE * SIDE} * z AS BIGINT) AS idx, {SIDE - 1} - x AS x, {SIDE - 1} - y AS y, z, value::DOUBLE AS value FROM bar, n WHERE z >= nz // 2 AND z < nz - 1""")
 def raw_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle to the last plane but one of the bar, from a file of which only these planes are read."""

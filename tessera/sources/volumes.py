@@ -5,15 +5,16 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import PurePath
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions.geometry import ORIENTATIONS, check_matrix, export_name, resolved_dims
-from tessera.operators.gather import back_map, turned_grid, turned_pieces
-from tessera.operators.volume import lps_to_ras, scalar_range, valid_of, window_gray
+from tessera.functions.geometry import ORIENTATIONS, check_layout, check_matrix, export_name, resolved_dims, slice_matrix
+from tessera.operators.gather import back_map, turned_grid, turned_pieces, turned_planes
+from tessera.operators.volume import lps_to_ras, scalar_range, valid_of, window_gray, with_index
 from tessera.sources.files import write_pieces
 from tessera.sources.raw import RawSource, file_size
 from tessera.sources.tiff import read_planes
@@ -34,6 +35,20 @@ def read_raw(spark: SparkSession, path: str, dims: tuple[int, int, int] = (0, 0,
     return spark.read.format("tessera_raw").options(path=path, nx=nx, ny=ny, nz=nz, flip=flip, first=first, stop=stop).load()
 
 
+def from_buffer(spark: SparkSession, values: np.ndarray, dims: tuple[int, int, int], spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0), flip: bool = True) -> tuple[DataFrame, tuple[float, float, float]]:
+    """Voxels (idx, x, y, z, value) of an array of the driver, x fastest, with x and y flipped from LPS to RAS, and their origin.
+
+    Larger volumes are read from files. ValueError for a bad layout, or unless the array has a value for each voxel.
+    """
+    count = check_layout(dims, spacing, origin, np.size(values))
+    held = pa.table({"idx": pa.array(np.arange(count)), "value": pa.array(np.ascontiguousarray(values, dtype="<f4").ravel())})
+    voxels = with_index(spark.createDataFrame(held), dims[0], dims[1])
+    if not flip:
+        return voxels.select("idx", "x", "y", "z", "value"), tuple(map(float, origin))
+    ends = [-o - (d - 1) * s for o, d, s in zip(origin[:2], dims[:2], spacing[:2], strict=True)]
+    return lps_to_ras(voxels, dims[0], dims[1]).select("idx", "x", "y", "z", "value"), (*map(float, ends), float(origin[2]))
+
+
 def write_turned(voxels: DataFrame, dims: tuple[int, int, int], folder: str, matrix: np.ndarray, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0)) -> tuple[str, tuple[int, int, int]]:
     """A file of the volume after an affine matrix, on the grid that is cut to it; its path and sizes.
 
@@ -102,3 +117,67 @@ def slice_pictures(voxels: DataFrame, dims: tuple[int, int, int], orientation: s
 
     gray = F.when(valid_of(voxels), window_gray(F.col("value"), window, center)).otherwise(0)
     return voxels.select(F.col(axis).alias("k"), F.col(u).alias("u"), F.col(v).alias("v"), gray.alias("gray")).groupBy("k").applyInPandas(draw, "name string, at long, data binary")
+
+
+def write_slices(voxels: DataFrame, dims: tuple[int, int, int], folder: str, orientation: str, window: float, center: float, matrix: np.ndarray | None = None, spacing: tuple[float, float, float] = (1, 1, 1), origin: tuple[float, float, float] = (0, 0, 0), degrees: float | None = None, about: tuple[float, float, float] = (0, 0, 0)) -> tuple[str, tuple[int, int, int]]:
+    """PNG slices of the volume after an affine matrix, on the grid that is cut to it; their folder and the grid's sizes.
+
+    With degrees the volume is turned further, about a point and by the orientation's axis. Values are linear between
+    voxels, and the least value of all voxels where the volume doesn't reach; places whose nearest voxel is invalid, or
+    missing, are 0 if there is a mask. A suffix of the folder's name is left out. Everything is checked before it is made. Bricks of
+    the new grid hand over rectangles of bytes, and a task draws one picture.
+    """
+    if orientation not in ORIENTATIONS:
+        raise ValueError(f"no such orientation: {orientation}")
+    if not np.isfinite([window, center]).all():
+        raise ValueError("window and centre must be finite")
+    place = PurePath(folder)
+    folder = str(place.with_suffix("")) if place.suffix else folder
+    placed = slice_matrix(np.eye(4) if matrix is None else np.asarray(matrix, dtype=float), orientation, about, degrees)
+    check_matrix(placed)
+    to, low = turned_grid(dims, spacing, origin, placed)
+    back = back_map(spacing, origin, placed, low)
+    axes = ORIENTATIONS[orientation][:3]
+    size = dict(zip("xyz", to, strict=True))
+    width, height = size[axes[1]], size[axes[2]]
+    digits = max(4, len(str(size[axes[0]] - 1)))
+    span = max(window, 1e-6)
+
+    def shade(values: np.ndarray) -> np.ndarray:
+        share = (values.astype(np.float32).astype(float) - (center - span / 2)) / span
+        return np.floor(np.clip(share, 0, 1) * 255 + 0.5)
+
+    least = scalar_range(voxels).first()[0]  # one row
+    planes = turned_planes(voxels, dims, to, back, 0.0 if least is None else least, axes, shade).withColumn("seen", F.lit(False))
+    if "valid" in voxels.columns:
+        mask = voxels.select("x", "y", "z", F.when(valid_of(voxels), 1.0).otherwise(0.0).alias("value"))
+        planes = planes.union(turned_planes(mask, dims, to, back, 0.0, axes, lambda v: v != 0, nearest=True).withColumn("seen", F.lit(True)))
+
+    def draw(rows: pa.Table) -> pa.Table:
+        gray, seen = np.zeros((height, width), np.uint8), np.ones((height, width), np.uint8)
+        for u, v, w, data, kind in zip(*(rows[c].to_pylist() for c in ("u", "v", "width", "data", "seen")), strict=True):
+            part = np.frombuffer(data, np.uint8).reshape(-1, w)
+            (seen if kind else gray)[v : v + len(part), u : u + w] = part
+        name = f"{orientation.capitalize()}_{rows['k'][0].as_py():0{digits}d}.png"
+        return pa.table({"name": [name], "at": pa.array([0], pa.int64()), "data": pa.array([png((gray * seen)[::-1])], pa.binary())})
+
+    write_pieces(planes.groupBy("k").applyInArrow(draw, "name string, at long, data binary"), folder)
+    return folder, to
+
+
+def png_pixels(data: bytes) -> np.ndarray:
+    """Gray values of a picture as png() makes it, the top row first; ValueError for any other kind."""
+    at, body, head = 8, b"", None
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        held = data[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + held) != struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0]:
+            raise ValueError("a damaged picture")
+        head, body, at = held if kind == b"IHDR" else head, body + held * (kind == b"IDAT"), at + 12 + size
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or head is None or head[8:] != bytes([8, 0, 0, 0, 0]):
+        raise ValueError("not an 8-bit gray picture")
+    width, height = struct.unpack(">II", head[:8])
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width + 1)
+    if rows[:, 0].any():
+        raise ValueError("filtered rows")
+    return rows[:, 1:]

@@ -446,16 +446,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without words of the given ranges, and without the white space behind them."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    out, at = [], 0
-    for start, stop in sorted(spans):
-        stop = min(stop, len(words))
-        if start >= stop or words[stop - 1][1] <= at:
-            continue
-        out.append(text[at : max(at, words[start][0])])
-        at = words[stop][0] if stop < len(words) else len(text)
-    return b"".join(out) + text[at:]
+    """The text without words of the given ranges, and without the white space behind them. Words are walked through, not listed."""
+    out, kept_from = [], 0
+    ranges = iter(sorted(s for s in spans if s[0] < s[1]))
+    start, stop = next(ranges, (None, None))
+    until = -1  # words before this one are cut
+    for i, word in enumerate(_WORD.finditer(text)):
+        while start == i:
+            if until < i:
+                out.append(text[kept_from : word.start()])
+            until = max(until, stop)
+            start, stop = next(ranges, (None, None))
+        if i == until:
+            kept_from, until = word.start(), -1
+            if start is None:
+                break
+    return b"".join(out) + (b"" if until >= 0 else text[kept_from:])
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
@@ -473,17 +479,24 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(b.num_columns - 1)
-            if lists.null_count == b.num_rows:
-                yield b.select(b.schema.names[:-1])
-                continue
-            texts = []
-            for text, cuts in zip(b.column(at).cast(pa.large_binary()).to_pylist(), lists.to_pylist(), strict=True):
-                texts.append(_without(text, [(s["start"], s["stop"]) for s in cuts]).decode() if cuts and text is not None else None if text is None else text.decode())
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            left = [not cuts or text is None or _WORD.search(text.encode()) is not None for text, cuts in zip(texts, lists.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(left))
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                lists = b.column(b.num_columns - 1)
+                if lists.null_count == b.num_rows:
+                    yield b.select(b.schema.names[:-1])
+                    continue
+                texts, left = [], []
+                for text, cuts in zip(b.column(at).cast(pa.large_binary()), lists.to_pylist(), strict=True):
+                    text = text.as_py()
+                    if cuts and text is not None:
+                        text = _without(text, [(s["start"], s["stop"]) for s in cuts])
+                        left.append(_WORD.search(text) is not None)
+                    else:
+                        left.append(True)
+                    texts.append(text)
+                columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(left))
 
     out = held.select(*docs.columns, spans_name).mapInArrow(releasing(run), docs.schema)
     if "n_chars" in out.columns:

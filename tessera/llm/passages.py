@@ -201,7 +201,7 @@ def _chained(pairs: DataFrame) -> DataFrame:
     """pairs(doc_id, rep_id, seeds): (doc_id, rep_id, xs, xe, ys, ye, runs) of each chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             docs, reps, found = b.column("doc_id").to_pylist(), b.column("rep_id").to_pylist(), []
             for doc, rep, own in zip(docs, reps, b.column("seeds"), strict=True):
                 flat = own.values
@@ -468,37 +468,30 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, n_chars, ...) with repeated passages cut from all but the first document that has them.
 
     n_chars is set anew where a text changed. A document of which no word is left goes. Other columns stay, whatever
-    their names. Rows and texts count as in repeated_passages(): each text loses its own passages only.
+    their names. Only texts with such passages are handed to Python. Rows and texts count as in repeated_passages(): each text loses its own passages only.
     """
     key, spans_name = (free_name(docs.columns, name) for name in ("key", "spans"))
     own, _, repeated = keyed(docs, key)
     with scratch() as keep:
         found = _fragments(own.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text"), repeated)
         spans = keep(cut(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "stop")).alias(spans_name)), "spans"))
-    held = own.join(small_side(spans, 64), key, "left").drop(key)
-    at = docs.columns.index("text")
+    side, at = small_side(spans, 64), docs.columns.index("text")
+    whole = own.join(side.select(key), key, "left_anti").select(docs.columns)
+    held = own.join(side, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                b = whole.slice(first, 256)
-                lists = b.column(b.num_columns - 1)
-                if lists.null_count == b.num_rows:
-                    yield b.select(b.schema.names[:-1])
-                    continue
+        for all_rows in batches:
+            for first in range(0, all_rows.num_rows, 256):
+                b = all_rows.slice(first, 256)
                 texts, left = [], []
-                for text, cuts in zip(b.column(at).cast(pa.large_binary()), lists.to_pylist(), strict=True):
-                    text = text.as_py()
-                    if cuts and text is not None:
-                        text = _without(text, [(s["start"], s["stop"]) for s in cuts])
-                        left.append(_WORD.search(text) is not None)
-                    else:
-                        left.append(True)
+                for text, cuts in zip(b.column(at).cast(pa.large_binary()), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    text = _without(text.as_py(), [(s["start"], s["stop"]) for s in cuts])
+                    left.append(_WORD.search(text) is not None)
                     texts.append(text)
                 columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(left))
 
     out = held.select(*docs.columns, spans_name).mapInArrow(releasing(run), docs.schema)
     if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(out.select(docs.columns))

@@ -12,7 +12,7 @@ from tessera.storage import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: The most bytes that Spark hands to a Python worker at once (one row at least): batches are held by the JVM and by the worker, some of them twice.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def in_small_batches(stage: Stage) -> Stage:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.tokens import byte_texts, chunks
+from tessera.llm.tokens import byte_texts, chunks, releasing
 from tessera.storage import cut
 
 
@@ -48,12 +48,19 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     rows = in_doc_order(docs)
     zero = F.lit(0).cast("long")
     schema = rows.select(zero.alias("part"), zero.alias("at"), "doc_id", zero.alias("n"), F.lit(b"").alias("ids")).schema
-    return cut(rows.mapInArrow(run, schema), "tokens")
+    return cut(rows.mapInArrow(releasing(run), schema), "tokens")
 
 
-def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0) -> DataFrame:
+def _crc(ids: pa.Buffer | bytes) -> int:
+    """CRC-32 of 16-bit ids as little-endian 32 bits."""
+    return zlib.crc32(np.frombuffer(ids, dtype="<u2").astype("<u4"))
+
+
+def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, crc: bool = False) -> DataFrame:
     """Pieces of all documents in windows of `length` ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
+    With crc, ids_crc32 as well, as by with_crc() but in the same pass.
+
     Documents follow each other in the order of doc_id (null first; ties by text) and windows are cut without
     regard to their borders, so only the last one can be short. start counts the document's ids before the
     piece, offset the window's. A null text counts as empty and has its end id only.
@@ -75,12 +82,14 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0) -> Dat
             held = b.column("ids")
             ids = [held[r].as_buffer()[2 * s : 2 * e].to_pybytes() for r, s, e in zip(row.tolist(), start.tolist(), (stop - first[row]).tolist(), strict=True)]
             columns = [b.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(stop - begin), pa.array(n[row]), pa.array(window), pa.array(begin - window * length), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            if crc:
+                columns.append(pa.array([_crc(x) for x in ids], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     zero = F.lit(0).cast("long")
     names = ("start", "length", "doc_tokens", "sequence_id", "offset")
-    schema = based.select("doc_id", *(zero.alias(x) for x in names), "ids").schema
-    return based.select("doc_id", "at", "base", "n", "ids").mapInArrow(run, schema)
+    schema = based.select("doc_id", *(zero.alias(x) for x in names), "ids", *[zero.alias("ids_crc32")] * crc).schema
+    return based.select("doc_id", "at", "base", "n", "ids").mapInArrow(releasing(run), schema)
 
 
 def with_crc(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -88,7 +97,7 @@ def with_crc(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            crcs = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype="<u2").astype("<u4")) for x in b.column("ids")]
+            crcs = [_crc(x.as_buffer()) for x in b.column("ids")]
             kept = b.schema.names if keep_ids else b.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(crcs, pa.int64())], [*kept, "ids_crc32"])
 

@@ -53,7 +53,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(_read(spark, sf_dir, "documents"), BYTE_BPE))
+    return packing.pack(_read(spark, sf_dir, "documents"), BYTE_BPE, crc=True).drop("ids")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

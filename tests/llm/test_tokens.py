@@ -95,6 +95,9 @@ def test_packing_covers_every_id_once(docs):
         at += r.length
     crcs = packing.with_crc(pieces).collect()
     assert sorted(r.ids_crc32 for r in crcs) == sorted(zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in rows)
+    at_once = packing.pack(docs, BYTE, length=64, crc=True)
+    beside = packing.with_crc(pieces, keep_ids=True)
+    assert at_once.columns == beside.columns and sorted(map(str, at_once.collect())) == sorted(map(str, beside.collect()))
     whole = {r.sequence_id: r.ids for r in packing.sequences(pieces, 64).collect()}
     assert [len(whole[k]) for k in sorted(whole)][:-1] == [64] * (len(whole) - 1)
     assert [i for k in sorted(whole) for i in whole[k]][: len(stream)] == stream

@@ -53,7 +53,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @in_small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 token ids, with the ids."""
-    return packing.with_crc(packing.pack(docs, queries.BYTE_BPE), keep_ids=True)
+    return packing.pack(docs, queries.BYTE_BPE, crc=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -28,6 +28,8 @@ WIDE, NEAR_BITS, FIRST_BITS = 16, 200, 22
 SIMILAR = 0.8
 #: Least hashes by which a level deals documents into tries, the levels, and members of a trie that one task joins.
 KEYS, LEVELS, GROUP_LIMIT = 4, 2, 512
+#: Shingles from which on texts count as long: their blocks have fewer members.
+LONG_TEXT = 1000
 
 _SALTS = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -250,9 +252,9 @@ def _wide_fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, digest, fp, sig, mins) of every row that has an id and words, over its distinct word shingles.
+    """(doc_id, digest, fp, sig, size, mins) of every row that has an id and words, over its distinct word shingles.
 
-    digest tells texts of one doc_id apart. fp is a SimHash of WIDE longs, sig a hash of all shingles. mins are the least
+    digest tells texts of one doc_id apart. fp is a SimHash of WIDE longs, sig a hash of all shingles, size their number. mins are the least
     shingle hashes under KEYS x LEVELS hash functions; two documents agree in each with a probability of their Jaccard similarity.
     """
     seeds = _mixed(np.arange(1, KEYS * LEVELS + 1, dtype=np.uint64))
@@ -263,7 +265,7 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, fps, sigs, mins = [], [], [], []
+            at, fps, sigs, sizes, mins = [], [], [], [], []
             for row, text in enumerate(b.column("text").cast(pa.large_binary())):
                 parts = [*_shingle_hashes(text.as_py(), words)]
                 if parts:
@@ -271,22 +273,19 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
                     at.append(row)
                     fps.append(_wide_fingerprint(h))
                     sigs.append(xxhash.xxh64_intdigest(h.tobytes()))
+                    sizes.append(len(h))
                     mins.append(np.array([_mixed(h ^ s).min() for s in seeds], dtype=np.uint64).view(np.int64))
             own = [b.column(c).take(pa.array(at, pa.int32())) for c in ("doc_id", "digest")]
-            yield pa.RecordBatch.from_arrays([*own, lists(fps, WIDE), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), lists(mins, KEYS * LEVELS)], ["doc_id", "digest", "fp", "sig", "mins"])
+            told = [pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, lists(fps, WIDE), *told, lists(mins, KEYS * LEVELS)], ["doc_id", "digest", "fp", "sig", "size", "mins"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
-    return rows.mapInArrow(releasing(run), "doc_id long, digest long, fp array<long>, sig long, mins array<long>")
+    return rows.mapInArrow(releasing(run), "doc_id long, digest long, fp array<long>, sig long, size long, mins array<long>")
 
 
-def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Those of links(src, dst) between classes(id, doc_id, digest) whose sets of word shingles have a Jaccard similarity of SIMILAR or more.
-
-    A class has one text of docs, named by doc_id and digest; its set is made once.
-    """
-    pairs = cut(links.where("src != dst").select("src", "dst").distinct(), "pairs")
-    ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    asked = cut(classes.select("id", "doc_id", "digest").join(ids, "id"), "ids")
+def shingle_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles): the set of word shingles of each class of ids(id). A class has one text of docs, named by doc_id and digest."""
+    asked = cut(classes.select("id", "doc_id", "digest").join(ids.distinct(), "id"), "ids")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,7 +298,16 @@ def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words:
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"), "text")
     met = texts.join(small_side(asked, 32), ["doc_id", "digest"]).select("id", "text")
-    sets = cut(met.mapInArrow(releasing(shingle), "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    return cut(met.mapInArrow(releasing(shingle), "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+
+
+def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Those of links(src, dst) between classes(id, doc_id, digest) whose sets of word shingles have a Jaccard similarity of SIMILAR or more.
+
+    A set is made once for all pairs that it is in.
+    """
+    pairs = cut(links.where("src != dst").select("src", "dst").distinct(), "pairs")
+    sets = shingle_sets(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")), classes, docs, words)
     both = pairs.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,47 +325,123 @@ def similar_links(links: DataFrame, classes: DataFrame, docs: DataFrame, words:
     return cut(both.select("src", "dst", "a", "b").mapInArrow(releasing(run), "src long, dst long").distinct(), "similar")
 
 
-def _links_in_groups(groups: DataFrame, max_bits: int, every: bool) -> DataFrame:
-    """groups(members array<struct<id, open, root, fp>>): links (src, dst) of open members within max_bits.
+def similar_in_blocks(packed: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """packed(i, j, src array, dst array): links (src, dst) that connect the classes of those pairs that are similar, as by similar_links().
 
-    Of members of different root: the link of every pair, or that of each member with its nearest of a smaller
-    id. The trie is made of the first 64 bits; pairs that stay within FIRST_BITS there go on to the other bits.
+    A pair's members are of the blocks i and j. Sets meet by pair of blocks and are compared there, so that a large
+    group of copies makes a row for each member and block, and none for each pair.
     """
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("src", "dst")]
+    packed = cut(packed.groupBy("i", "j").agg(*lists), "proposals")
+    ids = cut(packed.select("i", "j", F.explode(F.array_distinct(F.concat("src", "dst"))).alias("id")), "block-ids")
+    sets = shingle_sets(ids.select("id"), classes, docs, words)
+    members = ids.join(sets, "id").groupBy("i", "j").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
+
+    def compare(ids: np.ndarray, sets: pa.ListArray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        borders = sets.offsets.to_numpy()
+        distinct, at = np.unique(sets.values.to_numpy()[borders[0] : borders[-1]], return_inverse=True)
+        borders = (borders - borders[0]).astype(np.int64)
+        size, order = np.diff(borders), np.argsort(ids)
+        src, dst = (order[np.searchsorted(ids, x, sorter=order)] for x in np.unique(np.stack([src, dst]), axis=1))
+        fit = np.minimum(size[src], size[dst]) >= SIMILAR * np.maximum(size[src], size[dst])  # no similar ones beyond
+        src, dst = src[fit], dst[fit]
+        turn = np.argsort(src, kind="stable")
+        src, dst = src[turn], dst[turn]
+        held, near = np.zeros(len(distinct), dtype=bool), np.zeros(len(src), dtype=bool)
+        firsts = np.flatnonzero(np.concatenate((src[:1] == src[:1], src[1:] != src[:-1])))
+        for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(src)], strict=True):
+            own = at[borders[src[first]] : borders[src[first] + 1]]
+            held[own] = True
+            for k in range(first, last):
+                other = at[borders[dst[k]] : borders[dst[k] + 1]]
+                common = np.count_nonzero(held[other])
+                near[k] = common / (len(own) + len(other) - common) >= SIMILAR
+            held[own] = False
+        root = _spanning(src[near], dst[near], len(ids))
+        child = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[root[child]], ids[child]
 
-    def solve(lists: list[pa.Array]) -> pa.RecordBatch:
-        ids, roots = (np.concatenate([x.field(c).to_numpy() for x in lists]) for c in ("id", "root"))
-        open_ = np.concatenate([x.field("open").to_numpy(zero_copy_only=False) for x in lists])
-        fps = np.concatenate([x.field("fp").flatten().to_numpy() for x in lists]).view(np.uint64).reshape(-1, WIDE)
-        group = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        a, b = trie_links(fps[:, 0], group, FIRST_BITS)
-        near = (open_[a] | open_[b]) & (roots[a] != roots[b])
-        a, b = a[near], b[near]
-        diff = np.zeros(len(a), dtype=np.int64)
-        for w in range(WIDE):
-            diff += np.bitwise_count(fps[a, w] ^ fps[b, w])
-            near = diff <= max_bits
-            a, b, diff = a[near], b[near], diff[near]
-        src, dst = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        if not every:
-            at = np.lexsort((src, diff, dst))
-            src, dst = src[at], dst[at]
-            first = np.concatenate(([True], dst[1:] != dst[:-1]))[: len(dst)]
-            src, dst = src[first], dst[first]
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                own = b.column("members")[row].values
+                pair = [b.column(c)[row].values.to_numpy() for c in ("src", "dst")]
+                found = compare(own.field("id").to_numpy(), own.field("shingles"), *pair)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["src", "dst"])
+
+    met = members.join(packed, ["i", "j"]).select("members", "src", "dst")
+    return cut(met.mapInArrow(releasing(run), "src long, dst long").distinct(), "similar")
+
+
+def _near_in_groups(lists: list[pa.Array], max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Positions a and b of open members of one group and different root within max_bits, the bits they differ in, and all members.
+
+    The trie is made of the first 64 bits; pairs that stay within FIRST_BITS there go on to the other bits.
+    """
+    members = pa.concat_arrays(lists)
+    roots, open_ = (members.field(c).to_numpy(zero_copy_only=False) for c in ("root", "open"))
+    fps = members.field("fp").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+    group = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    a, b = trie_links(fps[:, 0], group, FIRST_BITS)
+    near = (open_[a] | open_[b]) & (roots[a] != roots[b])
+    a, b = a[near], b[near]
+    diff = np.zeros(len(a), dtype=np.int64)
+    for w in range(WIDE):
+        diff += np.bitwise_count(fps[a, w] ^ fps[b, w])
+        near = diff <= max_bits
+        a, b, diff = a[near], b[near], diff[near]
+    return a, b, diff, members
+
+
+def _by_chunks(solve: Callable[[list[pa.Array]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """solve() of about CHUNK members at once, of whole groups; of fewer where groups are over GROUP_LIMIT, as pairs go with the square."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             waiting, rows = [], 0
             for one in b.column(0):
                 waiting.append(one.values)
-                rows += len(waiting[-1])
+                rows += len(waiting[-1]) * max(len(waiting[-1]), GROUP_LIMIT) // GROUP_LIMIT
                 if rows >= CHUNK:
                     yield solve(waiting)
                     waiting, rows = [], 0
             if waiting:
                 yield solve(waiting)
 
-    return groups.mapInArrow(releasing(run), "src long, dst long")
+    return releasing(run)
+
+
+def _nearest_in_groups(groups: DataFrame, max_bits: int) -> DataFrame:
+    """groups(members array<struct<id, open, root, fp>>): links (src, dst) of each member with its nearest of a smaller id."""
+
+    def solve(lists: list[pa.Array]) -> pa.RecordBatch:
+        a, b, diff, members = _near_in_groups(lists, max_bits)
+        ids = members.field("id").to_numpy()
+        src, dst = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        at = np.lexsort((src, diff, dst))
+        src, dst = src[at], dst[at]
+        first = np.concatenate(([True], dst[1:] != dst[:-1]))[: len(dst)]
+        return pa.RecordBatch.from_arrays([pa.array(src[first]), pa.array(dst[first])], ["src", "dst"])
+
+    return groups.mapInArrow(_by_chunks(solve), "src long, dst long")
+
+
+def _pairs_in_groups(groups: DataFrame, max_bits: int) -> DataFrame:
+    """groups(members array<struct<id, open, root, fp, block>>): all their pairs, in one row (i, j, src array, dst array) for each pair of blocks."""
+
+    def solve(lists: list[pa.Array]) -> pa.RecordBatch:
+        a, b, _, members = _near_in_groups(lists, max_bits)
+        ids, blocks = (members.field(c).to_numpy() for c in ("id", "block"))
+        turn = (blocks[a] > blocks[b]) | ((blocks[a] == blocks[b]) & (ids[a] > ids[b]))
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        at = np.lexsort((blocks[b], blocks[a]))
+        i, j = blocks[a[at]], blocks[b[at]]
+        first = np.flatnonzero(np.concatenate((i[:1] == i[:1], (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        borders = pa.array(np.append(first, len(i)).astype(np.int32))
+        pairs = [pa.ListArray.from_arrays(borders, pa.array(ids[x[at]])) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(i[first]), pa.array(j[first]), *pairs], ["i", "j", "src", "dst"])
+
+    return groups.mapInArrow(_by_chunks(solve), "i long, j long, src array<long>, dst array<long>")
 
 
 def _live(rows: DataFrame) -> DataFrame:
@@ -366,12 +450,20 @@ def _live(rows: DataFrame) -> DataFrame:
     return cut(rows.join(small_side(cut(sizes, "sizes"), 24), "item"), "groups")
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("item").agg(F.collect_list(F.struct("id", "open", "root", "fp")).alias("members")).select("members")
+def _members(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("item").agg(F.collect_list(F.struct("id", "open", "root", "fp", *more)).alias("members")).select("members")
+
+
+def _blocks(tries: DataFrame, classes: DataFrame, half: int) -> DataFrame:
+    """(id, block) of all members of tries(trie, n, id): blocks of about `half` members, or the shingles of so many long texts, of an id's largest trie."""
+    home = tries.groupBy("id").agg(F.max(F.struct("n", "trie"))["trie"].alias("home"))
+    home = home.join(classes.select("id", "size"), "id")
+    parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / half, F.sum("size") / (half * LONG_TEXT))).alias("parts"))
+    return home.join(parts, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
 
 
-def near_links(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], max_bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
-    """classes(id, fp, mins), as by wide_fingerprints() without repeats: links (src, dst) that connect similar ones within max_bits.
+def near_links(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], similar_packed: Callable[[DataFrame], DataFrame], max_bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
+    """classes(id, fp, size, mins), as by wide_fingerprints() without repeats: links (src, dst) that connect similar ones within max_bits.
 
     A trie holds the fingerprints that share one of the first KEYS least hashes, which two documents with a
     similarity of 0.8 do with a probability of 0.998. Tries up to `limit` are joined by one task each. In larger ones
@@ -379,15 +471,15 @@ def near_links(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], ma
     members only. If open ones are left, the next KEYS least hashes deal the trie into smaller ones. What is still
     too large after LEVELS of them is compared whole: blocks of open members with every block.
 
-    Tries only propose: similar() tells which links count. It is first asked about each member's nearest one, then
-    about all pairs that these links leave in different components.
+    Tries only propose: similar() tells which links count. It is first asked about each member's nearest one. All pairs
+    that these links leave in different components go to similar_packed(), many in a row.
     """
     keyed = lambda level: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("mins")[level * KEYS + k].alias("m")) for k in range(KEYS)])).alias("key")
     rows = classes.select("id", "fp", "mins", F.lit(True).alias("open"), keyed(0)).withColumn("item", F.xxhash64("key.k", "key.m")).drop("key")
     groups, found = [], []
     for level in range(1, LEVELS + 1):
         live = _live(rows)
-        groups.append(live.where(F.col("n") <= limit).select("item", "id", "open", "fp"))
+        groups.append(live.where(F.col("n") <= limit).select("item", F.col("item").alias("trie"), "n", "id", "open", "fp"))
         big = live.where(F.col("n") > limit).drop("n", "opens")
         if big.isEmpty():
             break
@@ -402,20 +494,21 @@ def near_links(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], ma
             rows = rows.select("id", "fp", "mins", "open", "item", keyed(level)).withColumn("item", F.xxhash64("item", "key.k", "key.m")).drop("key")
     else:
         live = _live(rows)
-        half = limit // 2
-        few = F.ceil(F.col("opens") / half)
-        block = F.when(F.col("open"), F.pmod(F.xxhash64("id"), few)).otherwise(few + F.pmod(F.xxhash64("id"), F.ceil((F.col("n") - F.col("opens")) / half)))
+        few = F.ceil(F.col("opens") / limit)
+        block = F.when(F.col("open"), F.pmod(F.xxhash64("id"), few)).otherwise(few + F.pmod(F.xxhash64("id"), F.ceil((F.col("n") - F.col("opens")) / limit)))
         live = live.withColumn("block", block)
         blocks = live.select("item", "block", "open").distinct()
         pairs = blocks.where("open").select("item", F.col("block").alias("i")).join(blocks.select("item", F.col("block").alias("j")), "item").where("i <= j")
         ends = pairs.select("item", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        dealt = live.join(ends, ["item", "block"]).withColumn("item", F.xxhash64("item", "i", "j"))
-        groups.append(cut(dealt.select("item", "id", "open", "fp"), "blocks"))
-    alone = [_links_in_groups(_members(g.withColumn("root", F.monotonically_increasing_id())), max_bits, False) for g in groups]
+        dealt = live.join(ends, ["item", "block"])
+        groups.append(cut(dealt.select(F.xxhash64("item", "i", "j").alias("item"), F.col("item").alias("trie"), "n", "id", "open", "fp"), "blocks"))
+    alone = [_nearest_in_groups(_members(g.withColumn("root", F.monotonically_increasing_id())), max_bits) for g in groups]
     found.append(similar(_union(alone)))
     roots = connected_components(_union(found))
-    named = [g.join(roots.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("root", F.coalesce("component", "id")) for g in groups]
-    rest = similar(_union([_links_in_groups(_members(g), max_bits, True) for g in named]))
+    blocks = _blocks(_union([g.select("trie", "n", "id") for g in groups]), classes, limit // 2)
+    told = cut(blocks.join(roots.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "block", F.coalesce("component", "id").alias("root")), "told")
+    named = [g.join(told, "id") for g in groups]
+    rest = similar_packed(_union([_pairs_in_groups(_members(g, "block"), max_bits) for g in named]))
     return _union([*found, rest])
 
 
@@ -438,9 +531,10 @@ def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = NEAR_BITS, li
     with scratch() as keep:
         marked = cut(wide_fingerprints(docs, words), "fingerprints")
         rep = F.min(F.struct("doc_id", "digest")).alias("rep")
-        classes = marked.groupBy("sig").agg(rep, F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.count("*").alias("rows"))
-        classes = cut(classes.select(F.col("sig").alias("id"), "rep.doc_id", "rep.digest", "fp", "mins", "rows"), "classes")
-        roots = connected_components(near_links(classes.select("id", "fp", "mins"), lambda links: similar_links(links, classes, docs, words), max_bits, limit))
+        classes = marked.groupBy("sig").agg(rep, *[F.first(c).alias(c) for c in ("fp", "size", "mins")], F.count("*").alias("rows"))
+        classes = cut(classes.select(F.col("sig").alias("id"), "rep.doc_id", "rep.digest", "fp", "size", "mins", "rows"), "classes")
+        asked = [lambda links, f=f: f(links, classes, docs, words) for f in (similar_links, similar_in_blocks)]
+        roots = connected_components(near_links(classes.select("id", "fp", "size", "mins"), *asked, max_bits, limit))
         named = classes.select("id", "doc_id", "digest", "rows").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
         named = cut(named, "roots")
         kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")

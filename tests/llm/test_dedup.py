@@ -1,5 +1,6 @@
 import hashlib
 import re
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
@@ -116,6 +117,36 @@ def test_near_copies_fall_with_their_text(spark, limit):
     assert simhash.simhash_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [512, 64])
+def test_many_copies_below_the_limit_make_no_row_for_each_pair(spark, monkeypatch, limit):
+    rng = np.random.default_rng(17)
+    base, texts = words(rng, 200), []
+    for _ in range(240):
+        w = list(base)
+        for at in rng.choice(200, 3, replace=False).tolist():
+            w[at] = f"own{rng.integers(1 << 40)}"
+        texts.append(w)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    likeness = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(240) for j in range(i + 1, 240)}
+    assert sum(0.7 < x < 0.8 for x in likeness.values()) > 0.4 * len(likeness)
+    near = [p for p, x in likeness.items() if x >= 0.8]
+    root = list(range(240))
+    for _ in range(240):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    rows, cut = [], simhash.cut
+
+    def counted(df, name):
+        rows.append(cut(df, name))
+        return rows[-1]
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(simhash, "scratch", lambda: nullcontext(lambda df: df))
+    left = {r.doc_id for r in simhash.simhash_dedup(table(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), limit=limit).collect()}
+    assert left == set(root)
+    assert max(df.count() for df in rows) < len(likeness) // 2
+
+
 @pytest.mark.parametrize("limit", [512, 8])
 def test_near_copies_around_the_limit_by_exact_similarity(spark, limit):
     rng = np.random.default_rng(13)

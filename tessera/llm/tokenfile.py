@@ -22,6 +22,8 @@ SEGMENT_IDS = 1 << 20
 SPAN = 1 << 62
 #: One position is stored for so many documents, from which select() counts on.
 SAMPLE = 64
+#: For each byte the places of its ones, the lowest first.
+PLACES = np.argsort(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") == 0, axis=1, kind="stable")
 
 
 class EliasFano:
@@ -72,6 +74,13 @@ class EliasFano:
         one = 8 * byte + (word & -word).bit_length() - 1
         return (one - i) << self.low_bits | int(self._low(np.array([i]))[0])
 
+    def selects(self, i: np.ndarray) -> np.ndarray:
+        """select() of many numbers: their bytes by the ones up to each byte, their places in these by a table."""
+        upto = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
+        byte = np.searchsorted(upto, i, side="right")
+        one = 8 * byte + PLACES[self.high[byte], i - upto[byte] + np.bitwise_count(self.high[byte])]
+        return (one - i) << self.low_bits | self._low(i)
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         i = np.arange(self.n)
@@ -152,19 +161,21 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, found in the stored segments by select()."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, found in the stored segments by selects()."""
     bases = part_starts(segments.select("part", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 segment = Segment(memoryview(b.column("data")[i].as_buffer()))
-                ends = np.array([segment.ends.select(j) for j in range(segment.ends.n)])
+                ends = segment.ends.selects(np.arange(segment.ends.n))
                 starts = np.concatenate(([0], ends[:-1]))
                 wide = segment.ids.astype("<u4")
                 crcs = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 offset = b.column("at")[i].as_py() + b.column("base")[i].as_py()
-                names = pa.array([segment.name(j) for j in range(segment.ends.n)], pa.int64())
+                names = pa.array([None] * segment.nulls, pa.int64())
+                if segment.names:
+                    names = pa.concat_arrays([names, pa.array(segment.first + segment.names.selects(np.arange(segment.names.n)))])
                 yield pa.RecordBatch.from_arrays([names, pa.array(starts + offset), pa.array(ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = segments.join(F.broadcast(bases), "part").select("at", "base", "data")

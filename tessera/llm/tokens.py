@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import json
 import os
 import re
@@ -90,6 +91,16 @@ class WordCache:
         return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of a chunk's texts. Its many short lists hold no cycles, so the collector waits until they are gone."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._texts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         first = [words.pop(0) for words, _ in split]
         heads = [list({f for f, (_, s) in zip(first, split, strict=True) if s == simple}) for simple in (False, True)]

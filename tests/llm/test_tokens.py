@@ -160,3 +160,12 @@ def test_queries_over_whole_tables(spark):
         by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length
         assert r.offset + r.length <= 1024
     assert all(by_doc[r.doc_id] == r.doc_tokens for r in pieces)
+
+
+def test_many_positions_are_selected_as_one_by_one():
+    rng = np.random.default_rng(23)
+    for n, most in ((1, 1), (1, 1 << 60), (63, 5), (1000, 40), (5000, 1 << 40)):
+        values = np.sort(rng.integers(0, most, n))
+        coded = tokenfile.EliasFano.from_bytes(memoryview(tokenfile.EliasFano.of(values, most).to_bytes()))
+        i = rng.permutation(n)
+        assert coded.selects(i).tolist() == [coded.select(int(k)) for k in i] == values[i].tolist()

@@ -344,11 +344,13 @@ def similar_in_blocks(packed: DataFrame, classes: DataFrame, docs: DataFrame, wo
         size, order = np.diff(borders), np.argsort(ids)
         src, dst = (order[np.searchsorted(ids, x, sorter=order)] for x in np.unique(np.stack([src, dst]), axis=1))
         fit = np.minimum(size[src], size[dst]) >= SIMILAR * np.maximum(size[src], size[dst])  # no similar ones beyond
+        if not fit.any():
+            return ids[:0], ids[:0]
         src, dst = src[fit], dst[fit]
         turn = np.argsort(src, kind="stable")
         src, dst = src[turn], dst[turn]
         held, near = np.zeros(len(distinct), dtype=bool), np.zeros(len(src), dtype=bool)
-        firsts = np.flatnonzero(np.concatenate((src[:1] == src[:1], src[1:] != src[:-1])))
+        firsts = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
         for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(src)], strict=True):
             own = at[borders[src[first]] : borders[src[first] + 1]]
             held[own] = True

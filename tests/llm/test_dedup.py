@@ -166,6 +166,21 @@ def test_near_copies_around_the_limit_by_exact_similarity(spark, limit):
     assert set(range(200)) <= left and len(wrong) <= 1 and all(x >= 0.8 for x in wrong)
 
 
+@pytest.mark.parametrize("limit", [512, 8])
+def test_blocks_whose_pairs_all_differ_in_length_have_no_link(spark, limit):
+    rng = np.random.default_rng(23)
+    texts = {}
+    for n in range(30):
+        base = words(rng, 400)
+        texts[n], texts[n + 100] = base, base + words(rng, 104)  # 396 of 500 shingles
+        if n % 3 == 0:
+            texts[n + 200] = [*base[:-1], "other"]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    assert all(0.78 < len(sets[n] & sets[n + 100]) / len(sets[n] | sets[n + 100]) < 0.8 for n in range(30))
+    left = {r.doc_id for r in simhash.simhash_dedup(table(spark, [(i, " ".join(w)) for i, w in texts.items()]), limit=limit).collect()}
+    assert left == {i for i in texts if i < 200}
+
+
 def test_wide_fingerprints_by_brute_force(spark):
     rng = np.random.default_rng(10)
     text = " ".join(words(rng, 700))

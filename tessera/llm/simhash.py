@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.rows import digest, without
-from tessera.operators.components import connected_components
+from tessera.operators.components import connected_components, joined_components
 from tessera.llm.tokens import releasing
 from tessera.storage import cut, scratch, small_side
 
@@ -464,8 +464,8 @@ def _blocks(tries: DataFrame, classes: DataFrame, half: int) -> DataFrame:
     return home.join(parts, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
 
 
-def near_links(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], similar_packed: Callable[[DataFrame], DataFrame], max_bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
-    """classes(id, fp, size, mins), as by wide_fingerprints() without repeats: links (src, dst) that connect similar ones within max_bits.
+def near_components(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], similar_packed: Callable[[DataFrame], DataFrame], max_bits: int, limit: int = GROUP_LIMIT) -> DataFrame:
+    """classes(id, fp, size, mins), as by wide_fingerprints() without repeats: (node, component) of those connected by similar ones within max_bits.
 
     A trie holds the fingerprints that share one of the first KEYS least hashes, which two documents with a
     similarity of 0.8 do with a probability of 0.998. Tries up to `limit` are joined by one task each. In larger ones
@@ -511,7 +511,7 @@ def near_links(classes: DataFrame, similar: Callable[[DataFrame], DataFrame], si
     told = cut(blocks.join(roots.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "block", F.coalesce("component", "id").alias("root")), "told")
     named = [g.join(told, "id") for g in groups]
     rest = similar_packed(_union([_pairs_in_groups(_members(g, "block"), max_bits) for g in named]))
-    return _union([*found, rest])
+    return joined_components(roots, rest)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -536,7 +536,7 @@ def simhash_dedup(docs: DataFrame, words: int = 5, max_bits: int = NEAR_BITS, li
         classes = marked.groupBy("sig").agg(rep, *[F.first(c).alias(c) for c in ("fp", "size", "mins")], F.count("*").alias("rows"))
         classes = cut(classes.select(F.col("sig").alias("id"), "rep.doc_id", "rep.digest", "fp", "size", "mins", "rows"), "classes")
         asked = [lambda links, f=f: f(links, classes, docs, words) for f in (similar_links, similar_in_blocks)]
-        roots = connected_components(near_links(classes.select("id", "fp", "size", "mins"), *asked, max_bits, limit))
+        roots = near_components(classes.select("id", "fp", "size", "mins"), *asked, max_bits, limit)
         named = classes.select("id", "doc_id", "digest", "rows").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
         named = cut(named, "roots")
         kept = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.sum("rows").alias("rows")).where("rows > 1").drop("rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import threading
 import uuid
@@ -10,6 +12,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Tables that cut() writes from one collection of the driver's garbage to the next.
+TABLES = 8
+_written = itertools.count(1)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, a temporary one, which only a session of one machine can share."""
@@ -29,16 +35,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and return the table as read from there.
 
-    Unlike a local checkpoint the copy outlives every executor, and later steps plan from real sizes.
+    Unlike a local checkpoint the copy outlives every executor, and later steps plan from real sizes. After every TABLES
+    tables the driver's garbage is collected.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     for held in _open.__dict__.get("scopes", [])[-1:]:
         held[path] = spark
     df.write.parquet(path, compression=compression)
+    if next(_written) % TABLES == 0:
+        collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collects what the driver no longer refers to: plans of queries that ended, and with them the shuffles and broadcasts that
+    Spark's cleaner drops once their plan is gone. Else all that stays until the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _open = threading.local()
 
 

@@ -8,6 +8,7 @@ import xxhash
 
 import corpus_pipeline
 from tessera.llm import exact, passages, queries, simhash
+from tessera.operators import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 SF = "/root/testdata/sf0.001"
@@ -147,6 +148,17 @@ def test_many_copies_below_the_limit_make_no_row_for_each_pair(spark, monkeypatc
     assert max(df.count() for df in rows) < len(likeness) // 2
 
 
+def test_groups_of_near_copies_are_contracted_once(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    base = words(rng, 300)
+    texts = [" ".join([*base[:k], "own", *base[k + 1 :]]) for k in range(0, 300, 10)]
+    names, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, name: names.append(name) or cut(df, name))
+    left = simhash.simhash_dedup(table(spark, list(enumerate(texts)))).collect()
+    # The links of nearest ones, a round or two, and what is left to connect: nothing.
+    assert [r.doc_id for r in left] == [0] and len(names) <= 4
+
+
 @pytest.mark.parametrize("limit", [512, 8])
 def test_near_copies_around_the_limit_by_exact_similarity(spark, limit):
     rng = np.random.default_rng(13)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import storage
 from tessera.operators import components, dealing, volume as V
 
 
@@ -65,6 +66,46 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {r.node: r.component for r in got} == {i: 100 for i in range(100, 141)} | {i: 2 for i in [2, *range(5, 30)]}
 
 
+def counted(monkeypatch, module):
+    """The names of the tables that module writes from now on."""
+    names, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name, *more: names.append(name) or cut(df, name, *more))
+    return names
+
+
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    names = counted(monkeypatch, components)
+    edges = [(1, i) for i in range(2, 30)] + [(40, 31), (31, 41), (7, 7)]
+    got = components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r.node: r.component for r in got} == {i: 1 for i in range(1, 30)} | {i: 31 for i in (31, 40, 41)} and len(got) == 32
+    assert names == ["edges"]
+    none = components.connected_components(spark.createDataFrame([], "src long, dst long"))
+    assert none.count() == 0 and names == ["edges"] * 2
+
+
+def test_components_after_further_edges(spark):
+    random = np.random.default_rng(11)
+    for more in (0, 1, 25):
+        first, then = ([tuple(int(x) for x in pair) for pair in random.integers(0, 150, (n, 2))] for n in (60, more))
+        root = list(range(150))
+        find = lambda i: i if root[i] == i else find(root[i])
+        for a, b in first + then:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        tables = [spark.createDataFrame(x, "src long, dst long") for x in (first, then)]
+        got = components.joined_components(components.connected_components(tables[0]), tables[1]).collect()
+        met = {i for a, b in first + then if a != b for i in (a, b)}
+        assert len(got) == len(met) and {r.node: r.component for r in got} == {i: find(i) for i in met}
+
+
+def test_garbage_of_the_driver_is_collected_after_some_tables(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(storage, "collect_garbage", calls.append)
+    for _ in range(2 * storage.TABLES):
+        storage.cut(spark.range(1), "one")
+    assert calls == [spark, spark]
+
+
 def test_bricks_label_erode_and_count_as_the_whole_does(spark):
     n, random = 9, np.random.default_rng(5)
     there = random.random((n, n, n)) < 0.55

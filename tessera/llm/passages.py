@@ -338,6 +338,13 @@ def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(lowered, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
 
 
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The rows of a column of lists without nulls, as to_pylist() has them but with all their values converted at once."""
+    borders = (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    values = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    return (values[at:stop] for at, stop in zip(borders[:-1], borders[1:], strict=True))
+
+
 def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """found as by _chained(): (doc_id, start, stop, rep_id, rep_start, rep_stop, matched); docs(doc_id, text) may repeat rows."""
     def words_of(column: str) -> DataFrame:
@@ -355,11 +362,13 @@ def _aligned(found: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in (r for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist()):
-                shift = [r["a0"], r["a0"], r["b0"], r["b0"]]
-                for xs, xe, ys, ye, matched in align(r["a"], r["b"], [v - shift[i % 4] for i, v in enumerate(r["runs"])]):
-                    if xe - xs >= MIN_FRAGMENT:
-                        out.append((r["doc_id"], xs + r["a0"], xe + r["a0"], r["rep_id"], ys + r["b0"], ye + r["b0"], matched))
+            for part in (b.slice(at, 256) for at in range(0, b.num_rows, 256)):
+                plain = [part.column(c).to_pylist() for c in ("doc_id", "rep_id", "a0", "b0")]
+                for doc, rep, a0, b0, mine, other, runs in zip(*plain, *(_lists(part.column(c)) for c in ("a", "b", "runs")), strict=True):
+                    shift = [a0, a0, b0, b0]
+                    for xs, xe, ys, ye, matched in align(mine, other, [v - shift[i % 4] for i, v in enumerate(runs)]):
+                        if xe - xs >= MIN_FRAGMENT:
+                            out.append((doc, xs + a0, xe + a0, rep, ys + b0, ye + b0, matched))
             columns = [*zip(*out, strict=True)] or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "stop", "rep_id", "rep_start", "rep_stop", "matched"])

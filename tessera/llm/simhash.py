@@ -19,6 +19,8 @@ from tessera.storage import cut, scratch, small_side
 TRIE_LIMIT = 1024
 #: Fingerprints handed to the kernel at once.
 CHUNK = 8192
+#: Pairs of fingerprints below two nodes of a trie up to which they are compared one by one, and pairs compared at once.
+LEAF_PAIRS, PAIRS = 64, 1 << 17
 #: Bits by which a large trie is deepened in a round.
 STEP = 4
 #: Longs of a wide fingerprint, and the bits by which two may differ in all of it and in its first long to be compared
@@ -90,7 +92,8 @@ def trie_links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.nd
 
     All groups are tries over one sorted array, whose nodes are ranges. The frontier holds pairs of nodes with
     the bits in which they differ so far; each level replaces a pair by the pairs of its children and prunes
-    those beyond the budget.
+    those beyond the budget. Two nodes with LEAF_PAIRS or fewer pairs of fingerprints leave it: these are compared
+    directly, as a wide budget prunes next to nothing before nodes are that small.
     """
     order = np.lexsort((fps, group))
     fps, group = fps[order], group[order]
@@ -99,7 +102,13 @@ def trie_links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.nd
     keep = ahi - alo > 1
     alo, ahi = alo[keep], ahi[keep]
     blo, bhi, diff = alo, ahi, np.zeros(len(alo), dtype=np.int8)
+    leaves = []
     for bit in range(63, -1, -1):
+        few = (ahi - alo) * (bhi - blo) <= LEAF_PAIRS
+        leaves.append([x[few] for x in (alo, ahi, blo, bhi)])
+        alo, ahi, blo, bhi, diff = (x[~few] for x in (alo, ahi, blo, bhi, diff))
+        if not len(alo):
+            break
         ones = np.concatenate(([0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
         amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
         own = alo == blo
@@ -117,14 +126,20 @@ def trie_links(fps: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.nd
         )
         keep = (diff <= max_bits) & (ahi > alo) & (bhi > blo) & ~((alo == blo) & (ahi - alo < 2))
         alo, ahi, blo, bhi, diff = alo[keep], ahi[keep], blo[keep], bhi[keep], diff[keep]
-    # A leaf holds one fingerprint, perhaps several times.
+    # What went down to the last bit holds one fingerprint a node, perhaps many times.
+    alo, ahi, blo, bhi = (np.concatenate(x) for x in zip(*leaves, (alo, ahi, blo, bhi), strict=True))
     wide = bhi - blo
     size = (ahi - alo) * wide
-    pair = np.repeat(np.arange(len(size)), size)
-    nth = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-    a, b = alo[pair] + nth // wide[pair], blo[pair] + nth % wide[pair]
-    keep = (alo[pair] != blo[pair]) | (a < b)
-    return order[a[keep]], order[b[keep]]
+    ends = np.cumsum(size)
+    found = [(order[:0], order[:0])]
+    for at in range(0, int(size.sum()), PAIRS):
+        nth = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        pair = np.searchsorted(ends, nth, side="right")
+        nth -= (ends - size)[pair]
+        a, b = alo[pair] + nth // wide[pair], blo[pair] + nth % wide[pair]
+        keep = (np.bitwise_count(fps[a] ^ fps[b]) <= max_bits) & ((alo[pair] != blo[pair]) | (a < b))
+        found.append((order[a[keep]], order[b[keep]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:

@@ -1,8 +1,10 @@
 import hashlib
 import re
+import tracemalloc
 from contextlib import nullcontext
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -70,6 +72,28 @@ def test_hamming_components_by_brute_force(spark, limit):
     assert [find(i) for i in range(len(fps))] == near(fps, 3)
 
 
+@pytest.mark.parametrize("bits", [3, simhash.FIRST_BITS, 64])
+def test_trie_links_of_groups_with_copies_by_brute_force(bits):
+    rng = np.random.default_rng(bits)
+    fps = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    fps = np.concatenate((fps, fps[:40], fps[:40] ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)), np.repeat(fps[:1], 20)))
+    group = rng.integers(0, 5, len(fps))
+    got = [tuple(sorted(p)) for p in zip(*(x.tolist() for x in simhash.trie_links(fps, group, bits)), strict=True)]
+    a, b = np.triu_indices(len(fps), 1)
+    near = (group[a] == group[b]) & (np.bitwise_count(fps[a] ^ fps[b]) <= bits)
+    assert sorted(got) == list(zip(a[near].tolist(), b[near].tolist(), strict=True))
+
+
+def test_a_wide_budget_walks_no_pair_of_fingerprints_down_the_trie():
+    fps = np.random.default_rng(5).integers(0, 1 << 64, 2 * simhash.GROUP_LIMIT, dtype=np.uint64)
+    tracemalloc.start()
+    try:
+        simhash.trie_links(fps, np.zeros(len(fps), dtype=np.int64), simhash.FIRST_BITS)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20  # node pairs of each level were held: half a million from the tenth on
+    finally:
+        tracemalloc.stop()
+
+
 def test_simhash_query_by_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     fps = {}
@@ -287,6 +311,13 @@ def test_stretches_by_brute_force():
         assert any(sums[b] - sums[a] == best or max(sums[j] - sums[i] for i in range(a, b) for j in range(i, b + 1)) == best for a, b in spans)
 
 
+def test_lists_of_a_column_and_of_its_slices():
+    rows = [["the", "é", ""], [], ["a"] * 300, ["x"]]
+    column = pa.array(rows, pa.list_(pa.string()))
+    assert [[*passages._lists(column.slice(at))] for at in range(5)] == [rows[at:] for at in range(5)]
+    assert [*passages._lists(pa.array([[1, 2], [3]], pa.list_(pa.int32())).slice(1))] == [[3]]
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(6)
     linked = 0
